@@ -8,7 +8,6 @@ from pyspark.sql import DataFrame, functions as F
 
 from tidewatch import schemas
 from tidewatch.functions.times import bucket_hour, bucket_minute
-from tidewatch.plans.latest import latest_by_key
 
 
 def by_did(events: DataFrame) -> DataFrame:
@@ -26,10 +25,6 @@ def flagged(hits: DataFrame) -> DataFrame:
             .select(*schemas.FLAGGED.fieldNames()))
 
 
-def upserted(df: DataFrame, keys: list[str], arrival: list[str] | None = None) -> DataFrame:
-    return latest_by_key(df, keys, arrival or [])
-
-
 def lay_by_did(view: DataFrame) -> DataFrame:
     return _laid(view, ["did", F.desc("received_at"), "id"])
 
