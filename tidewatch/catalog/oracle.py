@@ -202,8 +202,8 @@ ORACLE = {
     "sink_counts": f"""WITH {_FLAGGED}
         SELECT (SELECT count(*) FROM ev) AS events, (SELECT count(*) FROM flagged) AS flags""",
     "reconcile_views": f"""WITH {_LIGHT}
-        SELECT 'events_by_did' AS target, {_sent("true")} AS landed, 0 AS missing,
-               0 AS unexpected
+        SELECT 'events_by_did' AS target, {_sent("true")} AS landed,
+               CAST(0 AS BIGINT) AS missing, CAST(0 AS BIGINT) AS unexpected
         UNION ALL
         SELECT 'events_by_minute', {_sent("kind = 'app.bsky.feed.post'")},
                {_sent("kind <> 'app.bsky.feed.post'")}, 0""",
@@ -266,15 +266,15 @@ ORACLE = {
                row_number() OVER (PARTITION BY did ORDER BY received_at, id) AS seq FROM light""",
     "run_totals": """
         SELECT count(*) AS received, count(*) FILTER (event_type <> 'error') AS processed,
-               0 AS dropped, count(*) FILTER (event_type = 'error') AS errors FROM events""",
+               CAST(0 AS BIGINT) AS dropped, count(*) FILTER (event_type = 'error') AS errors FROM events""",
     "run_summary": f"""WITH {_LIGHT},
         c AS (SELECT count(*) AS received,
                      count(*) FILTER (kind <> 'app.bsky.actor.profile') AS processed,
                      count(*) FILTER (kind = 'app.bsky.feed.post') AS posts,
                      {_PROFILE_SECONDS} AS secs FROM light)
-        SELECT received, processed, 0 AS dropped, received - processed AS errors,
+        SELECT received, processed, CAST(0 AS BIGINT) AS dropped, received - processed AS errors,
                round(received / secs, 9) AS received_per_sec,
-               round(processed / secs, 9) AS processed_per_sec, 0.0 AS drop_pct,
+               round(processed / secs, 9) AS processed_per_sec, CAST(0 AS DOUBLE) AS drop_pct,
                received + posts AS flushed_rows, received - posts AS failed_rows,
                round((received + posts) / secs, 9) AS flushed_per_sec,
                round(100.0 * (received - posts) / (2 * received), 9) AS fail_pct

@@ -19,7 +19,7 @@ from tidewatch.plans.ordered import row_numbers
 from tidewatch.rules import SpamRule
 from tidewatch.sinks.tables import AUTHORS_ONLY, FULL, CountSink, TableSink
 from tidewatch.sources.events import parsed, read_events
-from tidewatch.sources.tables import as_events, light_events, table, table_events
+from tidewatch.sources.tables import COLUMNS, as_events, light_events, table, table_events
 from tidewatch.streaming.ingest import start_ingest, write_drained
 from tidewatch.streaming.live import live_tumbling, start_append
 from tidewatch.streaming.rate import StreamRate
@@ -95,7 +95,7 @@ def _stored_flags(spark, folder) -> DataFrame:
 
 @query
 def view_flagged_events(spark, folder):
-    return plain(_stored_flags(spark, folder))
+    return plain(_stored_flags(spark, folder).drop("bucket_date"))
 
 
 def _counts(tables: dict[str, DataFrame], first: str) -> DataFrame:
@@ -272,8 +272,9 @@ def recent_events_all_authors(spark, folder):
 
 @query
 def recent_flagged(spark, folder):
-    return plain(reads.recent_flagged(_stored_flags(spark, folder), settings.AS_OF,
-                                      settings.SINCE, settings.FLAG_LIMIT))
+    rows = reads.recent_flagged(_stored_flags(spark, folder), settings.AS_OF, settings.SINCE,
+                                settings.FLAG_LIMIT)
+    return plain(rows.drop("bucket_date"))
 
 
 @query
@@ -402,7 +403,7 @@ def partition_skew(spark, folder):
 # Streams
 
 def _stream(spark, folder, name) -> DataFrame:
-    return (spark.readStream.schema(table(spark, folder, name).schema)
+    return (spark.readStream.schema(COLUMNS[name])
             .option("pathGlobFilter", f"{name}.parquet").parquet(folder))
 
 
@@ -411,16 +412,19 @@ def _event_stream(spark, folder) -> DataFrame:
                      table(spark, folder, "pages"))
 
 
-def _drained_ingest(spark, events, name, chain) -> TableSink:
+def _drained_ingest(events, sink: TableSink, chain) -> TableSink:
     """Run a bounded stream to its end, with what still waited."""
-    path = scratch_path(spark, name)
-    sink = TableSink(f"{path}/tables")
-    run = start_ingest(events, sink, chain, f"{path}/checkpoint", availableNow=True)
+    run = start_ingest(events, sink, chain, f"{sink.folder}-checkpoint", availableNow=True)
     run.awaitTermination()
     write_drained(sink, chain, run.lastProgress["batchId"] + 1)
     return sink
 
 
+class _FlagsOnly(TableSink):
+    def write_events(self, events, batch=0):
+        pass
+
+
 def _stream_chain(spark) -> list:
     rules = settings.RULES
     kept = scratch_path(spark, "stream-rate")
@@ -430,7 +434,8 @@ def _stream_chain(spark) -> list:
 
 @query
 def stream_ingest(spark, folder):
-    sink = _drained_ingest(spark, _event_stream(spark, folder), "ingest", _stream_chain(spark))
+    sink = _drained_ingest(_event_stream(spark, folder),
+                           TableSink(scratch_path(spark, "ingest")), _stream_chain(spark))
     flags = sink.flagged_events(spark)
     tables = {"events_by_did": sink.events_by_did(spark),
               "events_by_minute": sink.events_by_minute(spark)}
@@ -442,12 +447,10 @@ def stream_ingest(spark, folder):
 @query
 def stream_rate_spike(spark, folder):
     events = (light_events(_stream(spark, folder, "events"))
-              .select("id", "did", "kind", F.lit("").alias("text"),
-                      F.array().cast("array<string>").alias("langs"),
-                      F.array().cast("array<string>").alias("links"),
-                      "created_at", "received_at"))
-    sink = _drained_ingest(spark, events, "rates", _stream_chain(spark)[2:])
-    return plain(sink.flagged_events(spark).drop("text", "bucket_hour"))
+              .select("id", "did", "kind", F.lit("").alias("text"), "received_at"))
+    sink = _drained_ingest(events, _FlagsOnly(scratch_path(spark, "rates")),
+                           _stream_chain(spark)[2:])
+    return plain(sink.flagged_events(spark).drop("text", "bucket_hour", "bucket_date"))
 
 
 @query

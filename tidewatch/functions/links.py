@@ -35,9 +35,14 @@ def _unescaped(raw: Column) -> Column:
 
 def suffixes(name: Column) -> Column:
     """The host itself, then what follows each dot, longest first."""
-    parts = F.split(name, r"\.")
-    return F.transform(F.sequence(F.lit(1), F.size(parts)),
-                       lambda i: F.array_join(F.slice(parts, i, F.size(parts)), "."))
+    return F.get(each_suffixes(F.array(name)), F.lit(0))
+
+
+def each_suffixes(names: Column) -> Column:
+    """`suffixes` of every host in an array. Nested lambdas keep each step to one evaluation."""
+    parts = F.transform(names, lambda name: F.split(name, r"\."))
+    return F.transform(parts, lambda p: F.transform(
+        F.sequence(F.lit(1), F.size(p)), lambda i: F.array_join(F.slice(p, i, F.size(p)), ".")))
 
 
 def blocklist_entry(value: Column) -> Column:

@@ -17,9 +17,31 @@ def severity_name(value: str | None) -> str:
     return value if value in SEVERITIES else "low"
 
 
+# The letters beyond ASCII that fold to an ASCII letter.
+_FOLDS = {"k": "\\u212A", "s": "\\u017F"}
+
+
 def literal_pattern(keyword: str) -> str:
     """A Java pattern for `keyword` taken literally, in any letter case."""
-    return "(?iu)" + re.sub(r"([!-/:-@\[-`{-~])", r"\\\1", keyword)
+    return "".join(_any_case(letter) for letter in keyword)
+
+
+def _any_case(letter: str) -> str:
+    if not letter.isascii():
+        return f"(?iu:{letter})"
+    if letter.isalpha():
+        low = letter.lower()
+        return f"[{low}{low.upper()}{_FOLDS.get(low, '')}]"
+    return letter if letter.isspace() or letter.isdigit() else "\\" + letter
+
+
+def may_contain(text: Column, keyword: str) -> Column:
+    """True wherever `literal_pattern` matches, at the price of a plain search."""
+    low = keyword.lower()
+    if not low.isascii():
+        return F.lit(True)
+    found = F.lower(text).contains(low)
+    return found | text.contains("\u017F") if "s" in low else found
 
 
 _SPACE = r"\t\n\f\r "
@@ -114,8 +136,10 @@ def check_patterns(spark: SparkSession, patterns: list[str]) -> None:
 
 def display_text(value: Column, limit: int) -> Column:
     """One line of at most `limit` bytes; longer text keeps whole characters and ends in `…`."""
-    line = F.replace(value, F.lit("\n"), F.lit(" "))
-    fits = F.filter(F.sequence(F.lit((limit - 1) // 4), F.lit(limit - 1)),
-                    lambda n: F.octet_length(F.left(line, n)) <= limit - 1)
-    return (F.when(F.octet_length(line) <= limit, line)
-            .otherwise(F.concat(F.left(line, F.array_max(fits)), F.lit("…"))))
+    head = F.replace(F.left(value, F.lit(limit - 1)), F.lit("\n"), F.lit(" "))
+    lengths = F.sequence(F.lit((limit - 1) // 4), F.lit(limit - 1))
+    cut = F.transform(F.array(head), lambda h: F.left(h, F.array_max(
+        F.filter(lengths, lambda n: F.octet_length(F.left(h, n)) <= limit - 1))))
+    return (F.when(F.octet_length(value) <= limit, F.replace(value, F.lit("\n"), F.lit(" ")))
+            .otherwise(F.concat(F.when(F.octet_length(head) <= limit - 1, head)
+                                .otherwise(F.get(cut, F.lit(0))), F.lit("…"))))

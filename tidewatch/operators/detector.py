@@ -38,8 +38,8 @@ def hit_struct(rule_id: str, severity: str, reason: Column, evidence: dict[str,
 
 def row_hits(events: DataFrame, detectors: list[RowDetector]) -> DataFrame:
     """The hits of several row detectors in one pass; most events stop at the filter."""
-    some = reduce(Column.__or__, [d.matched() for d in detectors], F.lit(False))
-    hits = F.array(*[F.when(d.matched(), d.hit()) for d in detectors])
-    return (events.filter(some)
+    matched = [d.matched() for d in detectors]
+    hits = F.array(*[F.when(m, d.hit()) for m, d in zip(matched, detectors)])
+    return (events.filter(reduce(Column.__or__, matched))
             .select(*EVENT, F.explode(F.array_compact(hits)).alias("_hit"))
             .select(*EVENT, "_hit.*"))

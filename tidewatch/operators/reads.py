@@ -2,7 +2,7 @@
 
 from datetime import datetime, timedelta
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from tidewatch.functions.text import display_text
 from tidewatch.functions.times import bucket_hour, bucket_minute, rfc3339
@@ -32,25 +32,28 @@ def recent_flagged(flags: DataFrame, as_of: datetime, since: timedelta = LOOKBAC
                    limit: int = FLAG_LIMIT) -> DataFrame:
     """The newest flags received in the last `since`, from the hour of `as_of` back.
 
-    The hour range is derived here so that only those partitions are read.
+    The hour and date ranges are derived here so that only those partitions are read.
     """
     since = since if since > timedelta(0) else LOOKBACK
-    now = F.lit(as_of.replace(tzinfo=None).isoformat(sep=" ")).cast("timestamp")
-    cutoff = F.lit((as_of.replace(tzinfo=None) - since).isoformat(sep=" ")).cast("timestamp")
-    return (flags.filter(F.col("bucket_hour").between(bucket_hour(cutoff), bucket_hour(now))
-                         & (F.col("received_at") >= cutoff))
-            .orderBy(F.desc("received_at"), "id", "rule_id")
+    now, cutoff = _time(as_of), _time(as_of - since)
+    recent = (F.col("bucket_hour").between(bucket_hour(cutoff), bucket_hour(now))
+              & (F.col("received_at") >= cutoff))
+    if "bucket_date" in flags.columns:
+        recent &= F.col("bucket_date").between(F.to_date(cutoff), F.to_date(now))
+    return (flags.filter(recent).orderBy(F.desc("received_at"), "id", "rule_id")
             .limit(limit if limit > 0 else FLAG_LIMIT))
 
 
+def _time(at: datetime) -> Column:
+    return F.lit(at.replace(tzinfo=None).isoformat(sep=" ")).cast("timestamp")
+
+
 def kind_window(view: DataFrame, kind: str, first: datetime, last: datetime) -> DataFrame:
     """Events of one kind in the minutes `first` to `last`, both included."""
-    def minute(at: datetime):
-        return bucket_minute(F.lit(at.replace(tzinfo=None).isoformat(sep=" ")).cast("timestamp"))
-
-    inside = (F.col("kind") == kind) & F.col("bucket_minute").between(minute(first), minute(last))
+    begin, end = bucket_minute(_time(first)), bucket_minute(_time(last))
+    inside = (F.col("kind") == kind) & F.col("bucket_minute").between(begin, end)
     if "bucket_date" in view.columns:
-        inside &= F.col("bucket_date").between(F.to_date(minute(first)), F.to_date(minute(last)))
+        inside &= F.col("bucket_date").between(F.to_date(begin), F.to_date(end))
     return view.filter(inside)
 
 

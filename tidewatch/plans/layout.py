@@ -35,7 +35,9 @@ def lay_by_minute(view: DataFrame) -> DataFrame:
 
 
 def lay_flagged(rows: DataFrame) -> DataFrame:
-    return _laid(rows, ["bucket_hour", F.desc("received_at"), "id", "rule_id"])
+    # A directory per hour would hold tiny files; within a day the hour is found by min/max.
+    dated = rows.withColumn("bucket_date", F.to_date("bucket_hour"))
+    return _laid(dated, ["bucket_hour", F.desc("received_at"), "id", "rule_id"])
 
 
 def _laid(df, order):

@@ -15,9 +15,10 @@ class SpamRule:
     regexes: tuple[str, ...] = ()
     severity: str = "low"
 
-    def patterns(self) -> list[str]:
-        return ([literal_pattern(k) for k in self.keywords if k]
-                + [java_pattern(r) for r in self.regexes if r])
+    def patterns(self) -> list[tuple[str | None, str]]:
+        """Each pattern with the keyword it stands for, if it is one. Empty ones are skipped."""
+        return ([(k, literal_pattern(k)) for k in self.keywords if k]
+                + [(None, java_pattern(r)) for r in self.regexes if r])
 
 
 @dataclass(frozen=True)

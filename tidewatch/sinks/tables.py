@@ -54,7 +54,7 @@ class TableSink:
 
     def write_flagged(self, rows: DataFrame, batch: int = 0, part: str = "all") -> None:
         rows = self._upserted(rows, schemas.FLAGGED_KEY)
-        self._write(layout.lay_flagged(rows), FLAGGED_TABLE, batch, ["bucket_hour"], part)
+        self._write(layout.lay_flagged(rows), FLAGGED_TABLE, batch, ["bucket_date"], part)
 
     def _upserted(self, rows, key):
         return rows if self.unique else latest_by_key(rows, key, [])
@@ -72,7 +72,8 @@ class TableSink:
                           [*schemas.BY_MINUTE_KEY, "bucket_date"])
 
     def flagged_events(self, spark: SparkSession) -> DataFrame:
-        return self._read(spark, FLAGGED_TABLE, schemas.FLAGGED.fieldNames(), schemas.FLAGGED_KEY)
+        columns = [*schemas.FLAGGED.fieldNames(), "bucket_date"]
+        return self._read(spark, FLAGGED_TABLE, columns, [*schemas.FLAGGED_KEY, "bucket_date"])
 
     def _read(self, spark, table, columns, key):
         """Rows of all batches; of equal keys the one from the latest batch."""
@@ -80,7 +81,7 @@ class TableSink:
         types |= {"bucket_minute": T.TimestampType(), "bucket_date": T.DateType(),
                   BATCH: T.LongType(), "part": T.StringType()}
         schema = T.StructType([T.StructField(c, types[c]) for c in [*columns, BATCH, "part"]])
-        rows = spark.read.schema(schema).parquet(f"{self.folder}/{table}").drop("part")
+        rows = spark.read.schema(schema).parquet(f"{self.folder}/{table}").select(*columns, BATCH)
         return (rows if self.unique else latest_by_key(rows, key, [BATCH])).drop(BATCH)
 
 
@@ -117,5 +118,6 @@ def create_tables(spark: SparkSession, database: str) -> None:
         USING parquet PARTITIONED BY (kind, bucket_date)""")
     spark.sql(f"""CREATE TABLE IF NOT EXISTS {database}.{FLAGGED_TABLE} (
         received_at TIMESTAMP, id STRING, rule_id STRING, did STRING, kind STRING, text STRING,
-        severity STRING, reason STRING, evidence MAP<STRING, STRING>, bucket_hour TIMESTAMP)
-        USING parquet PARTITIONED BY (bucket_hour)""")
+        severity STRING, reason STRING, evidence MAP<STRING, STRING>, bucket_hour TIMESTAMP,
+        bucket_date DATE)
+        USING parquet PARTITIONED BY (bucket_date)""")

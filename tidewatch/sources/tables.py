@@ -13,8 +13,15 @@ KINDS = {"click": schemas.POST, "view": schemas.POST, "purchase": schemas.REPOST
          "signup": schemas.FOLLOW, "error": schemas.PROFILE}
 
 
+# The columns of the given tables that are read here.
+COLUMNS = {
+    "events": "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double",
+    "documents": "doc_id bigint, text string, lang string",
+    "pages": "page_id bigint, url string"}
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/{name}.parquet")
+    return spark.read.schema(COLUMNS[name]).parquet(f"{folder}/{name}.parquet")
 
 
 def table_events(spark: SparkSession, folder: str) -> DataFrame:
@@ -33,7 +40,9 @@ def as_events(events: DataFrame, documents: DataFrame, pages: DataFrame) -> Data
     return (light_events(events)
             .withColumn("doc_id", F.col("event_id") % n_documents)
             .withColumn("page_id", F.col("event_id") % n_pages)
-            .join(documents.select("doc_id", F.col("text").alias("body"), "lang"), "doc_id")
+            # Both sides grow, so both are shuffled, which also spreads the texts over the tasks.
+            .join(documents.select("doc_id", F.col("text").alias("body"), "lang").hint("merge"),
+                  "doc_id")
             .join(pages.select("page_id", "url"), "page_id")
             .select("id", "did", "kind",
                     F.when(post, F.col("body")).otherwise("").alias("text"),
