@@ -1,0 +1,51 @@
+"""Plans that must hold at scale."""
+
+from pyspark.sql import functions as F
+
+from tests.rows import event, events
+from tidewatch.functions.times import SECOND
+from tidewatch.operators.blocklist import LinkDetector
+from tidewatch.operators.keyword import SpamDetector
+from tidewatch.operators.rate import sliding_counts
+from tidewatch.plans.ordered import row_numbers
+from tidewatch.rules import RuleSet
+from tidewatch.operators.detector import row_hits
+
+
+def plan(df) -> str:
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def stored(spark, tmp_path):
+    data = events(spark, *[event(f"e{i}", f"d{i % 3}", text="buy now", seconds=i / 10)
+                           for i in range(300)])
+    data.write.parquet(str(tmp_path / "events"))
+    return spark.read.schema(data.schema).parquet(str(tmp_path / "events"))
+
+
+def test_content_rules_need_no_shuffle(spark, tmp_path):
+    rules = RuleSet()
+    hits = row_hits(stored(spark, tmp_path), [SpamDetector(rules.spam()),
+                                              LinkDetector(rules.links())])
+    assert "Exchange" not in plan(hits) and "Python" not in plan(hits)
+    assert "langs" not in plan(hits) and plan(hits).count("FileScan") == 1
+
+
+def test_rate_rule_shuffles_once_after_pruning(spark, tmp_path):
+    found = plan(sliding_counts(stored(spark, tmp_path), SECOND, 4))
+    assert found.count("hashpartitioning") == 1 and "BroadcastHashJoin" in found
+    assert "CartesianProduct" not in found and "BroadcastNestedLoopJoin" not in found
+
+
+def test_large_keys_are_sliced_by_range(spark, tmp_path):
+    df = stored(spark, tmp_path)
+    assert "_slice" not in plan(row_numbers(df, ["did"], ["received_at", "id"], "n"))
+    sliced = row_numbers(df, ["did"], ["received_at", "id"], "n", max_rows=20)
+    assert "_slice" in plan(sliced)
+    sizes = sliced.filter("did = 'd1'").agg(F.max("n"), F.count_distinct("n")).first()
+    assert tuple(sizes) == (100, 100)
+
+
+def test_only_needed_columns_are_read(spark, tmp_path):
+    text = plan(stored(spark, tmp_path).groupBy("did").count())
+    assert "ReadSchema: struct<did:string>" in text

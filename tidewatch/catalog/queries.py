@@ -414,9 +414,9 @@ def _event_stream(spark, folder) -> DataFrame:
 
 def _drained_ingest(events, sink: TableSink, chain) -> TableSink:
     """Run a bounded stream to its end, with what still waited."""
-    run = start_ingest(events, sink, chain, f"{sink.folder}-checkpoint", availableNow=True)
-    run.awaitTermination()
-    write_drained(sink, chain, run.lastProgress["batchId"] + 1)
+    start_ingest(events, sink, chain, f"{sink.folder}-checkpoint",
+                 availableNow=True).awaitTermination()
+    write_drained(sink, chain)
     return sink
 
 

@@ -8,17 +8,20 @@ from pyspark.sql import DataFrame, SparkSession
 CHECKPOINT_DIR = "spark.checkpoint.dir"
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder named in `spark.checkpoint.dir`; a temporary one only where it is unset."""
-    folder = spark.conf.get(CHECKPOINT_DIR, None)
-    if not folder:
-        folder = _LOCAL.setdefault(spark.sparkContext.applicationId,
-                                   None) or tempfile.mkdtemp(prefix="tidewatch-")
-        _LOCAL[spark.sparkContext.applicationId] = folder
-    return folder.rstrip("/")
+_LOCAL_FOLDERS: dict[str, str] = {}
 
 
-_LOCAL: dict[str, str | None] = {}
+def shared_folder(spark: SparkSession) -> str:
+    """The folder named in `spark.checkpoint.dir`. Only a local master may leave it unset."""
+    folder = spark.conf.get(CHECKPOINT_DIR, None)
+    if folder:
+        return folder.rstrip("/")
+    context = spark.sparkContext
+    if not context.master.startswith("local"):
+        raise ValueError(f"set {CHECKPOINT_DIR} to a folder that all machines share")
+    if context.applicationId not in _LOCAL_FOLDERS:
+        _LOCAL_FOLDERS[context.applicationId] = tempfile.mkdtemp(prefix="tidewatch-")
+    return _LOCAL_FOLDERS[context.applicationId]
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:

@@ -64,8 +64,9 @@ def start_ingest(events: DataFrame, sink: Sink, chain: list, checkpoint: str,
             .option("checkpointLocation", checkpoint).trigger(**trigger).start())
 
 
-def write_drained(sink: Sink, chain: list, batch_id: int) -> None:
+def write_drained(sink: Sink, chain: list) -> None:
     """Flags of events that still waited when a bounded stream ended, as one more batch."""
     for place, detector in enumerate(chain):
         if isinstance(detector, StreamRate):
-            sink.write_flagged(flagged(detector.drain()), batch_id, part=str(place))
+            hits = flagged(detector.drain())
+            sink.write_flagged(hits, detector.batches(), part=str(place))
