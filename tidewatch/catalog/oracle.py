@@ -351,4 +351,16 @@ ORACLE = {
         SELECT window_start, events, events // 5 AS per_sec FROM w
         WHERE window_start + INTERVAL 5 SECOND
               <= (SELECT max(received_at) - INTERVAL 10 MINUTE FROM light)""",
+    "display_flagged": f"""WITH {_FLAGGED}
+        SELECT strftime(received_at, '%Y-%m-%dT%H:%M:%SZ') AS received_at, rule_id AS rule,
+               severity, did, reason FROM flagged""",
+    "stream_sliding_rate": f"""WITH {_LIGHT},
+        w AS (SELECT {_tumble(5)} - INTERVAL 5 SECOND * k AS window_start
+              FROM light, range(0, 6) r(k))
+        SELECT window_start, count(*) AS events, round(count(*) / 30, 9) AS per_sec
+        FROM w GROUP BY 1
+        HAVING window_start + INTERVAL 30 SECOND
+               <= (SELECT max(received_at) - INTERVAL 10 MINUTE FROM light)""",
+    "stream_without_replays": f"""WITH {_LIGHT}
+        SELECT did, received_at, id FROM light""",
 }

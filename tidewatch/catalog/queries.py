@@ -21,7 +21,8 @@ from tidewatch.sinks.tables import AUTHORS_ONLY, FULL, CountSink, TableSink
 from tidewatch.sources.events import parsed, read_events
 from tidewatch.sources.tables import COLUMNS, as_events, light_events, table, table_events
 from tidewatch.streaming.ingest import start_ingest, write_drained
-from tidewatch.streaming.live import live_tumbling, start_append
+from tidewatch.streaming.live import (live_sliding, live_tumbling, start_append,
+                                      without_replays)
 from tidewatch.streaming.rate import StreamRate
 
 QUERIES = {}
@@ -277,6 +278,11 @@ def recent_flagged(spark, folder):
     return plain(rows.drop("bucket_date"))
 
 
+@query
+def display_flagged(spark, folder):
+    return reads.display_flagged(flag(table_events(spark, folder), detectors(settings.RULES)))
+
+
 @query
 def author_sequence(spark, folder):
     rows = row_numbers(light(spark, folder), ["did"], ["received_at", "id"], "seq")
@@ -460,3 +466,23 @@ def stream_throughput(spark, folder):
     counts = live_tumbling(events, settings.DELAY)
     start_append(counts, f"{path}/rows", f"{path}/checkpoint", availableNow=True).awaitTermination()
     return plain(spark.read.schema(counts.schema).parquet(f"{path}/rows"))
+
+
+@query
+def stream_sliding_rate(spark, folder):
+    path = scratch_path(spark, "sliding")
+    rates = live_sliding(light_events(_stream(spark, folder, "events")), settings.DELAY)
+    start_append(rates, f"{path}/rows", f"{path}/checkpoint", availableNow=True).awaitTermination()
+    rows = spark.read.schema(rates.schema).parquet(f"{path}/rows")
+    return plain(rows.withColumn("per_sec", F.round("per_sec", 9)))
+
+
+@query
+def stream_without_replays(spark, folder):
+    """Every event arrives twice and is kept once."""
+    path = scratch_path(spark, "replays")
+    sent = light_events(_stream(spark, folder, "events"))
+    sent = sent.unionByName(light_events(_stream(spark, folder, "events")))
+    kept = without_replays(sent.select(*schemas.BY_DID_KEY), schemas.BY_DID_KEY, settings.DELAY)
+    start_append(kept, f"{path}/rows", f"{path}/checkpoint", availableNow=True).awaitTermination()
+    return plain(spark.read.schema(kept.schema).parquet(f"{path}/rows"))
