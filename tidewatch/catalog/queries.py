@@ -160,9 +160,9 @@ def reconcile_views(spark, folder):
 
 @query
 def severity_normalize(spark, folder):
-    given = (F.when(F.col("event_type") == "click", "low").when(F.col("event_type") == "view", "MEDIUM")
-             .when(F.col("event_type") == "purchase", "medium")
-             .when(F.col("event_type") == "signup", "high").otherwise(""))
+    kind = F.col("event_type")
+    given = (F.when(kind == "click", "low").when(kind == "view", "MEDIUM")
+             .when(kind == "purchase", "medium").when(kind == "signup", "high").otherwise(""))
     return (table(spark, folder, "events")
             .select("event_id", given.alias("given"), severity(given).alias("severity")))
 
@@ -308,9 +308,8 @@ def run_summary(spark, folder):
     counts = rollups.totals(parsed(_raw_lines(spark, folder)),
                             F.col("_corrupt_record").isNotNull())
     landed = _partly_stored(spark, folder)
-    span = table(spark, folder, "events").agg(
-        ((F.unix_micros(F.max("ts").cast("timestamp")) - F.unix_micros(F.min("ts").cast("timestamp")))
-         / 1000000).alias("seconds"))
+    at = F.unix_micros(F.col("ts").cast("timestamp"))
+    span = table(spark, folder, "events").agg(((F.max(at) - F.min(at)) / 1000000).alias("seconds"))
     report = rollups.summary(counts, landed.agg(F.sum("landed")).scalar(),
                              landed.agg(F.sum("missing")).scalar(), span.scalar())
     return report.select(*[F.round(c, 9).alias(c) if t == "double" else F.col(c)

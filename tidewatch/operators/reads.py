@@ -1,6 +1,6 @@
 """Newest events, newest flags and time windows."""
 
-from datetime import datetime, timedelta
+from datetime import datetime, timedelta, timezone
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -25,7 +25,7 @@ def recent_events(view: DataFrame, did: str, limit: int = EVENT_LIMIT) -> DataFr
 def recent_events_per_author(view: DataFrame, limit: int = EVENT_LIMIT) -> DataFrame:
     """The newest events of every author."""
     return first_per_key(view, ["did"], [F.desc("received_at"), F.col("id")],
-                         limit if limit > 0 else EVENT_LIMIT, spread=["id", "received_at"])
+                         limit if limit > 0 else EVENT_LIMIT)
 
 
 def recent_flagged(flags: DataFrame, as_of: datetime, since: timedelta = LOOKBACK,
@@ -45,7 +45,9 @@ def recent_flagged(flags: DataFrame, as_of: datetime, since: timedelta = LOOKBAC
 
 
 def _time(at: datetime) -> Column:
-    return F.lit(at.replace(tzinfo=None).isoformat(sep=" ")).cast("timestamp")
+    """A time without zone counts as UTC."""
+    at = at.astimezone(timezone.utc) if at.tzinfo else at
+    return F.lit(at.replace(tzinfo=None).isoformat(sep=" ") + "Z").cast("timestamp")
 
 
 def kind_window(view: DataFrame, kind: str, first: datetime, last: datetime) -> DataFrame:

@@ -7,6 +7,8 @@ it spreads over many tasks; each slice is summed on its own and then lifted by t
 the slices before it.
 """
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tidewatch.plans.durable import written
@@ -15,21 +17,24 @@ MAX_ROWS = 5_000_000
 MAX_LARGE_KEYS = 100_000
 
 
-def row_numbers(df: DataFrame, keys: list[str], order: list[str], name: str,
+def row_numbers(df: DataFrame, keys: list[str], order: list, name: str,
                 max_rows: int = MAX_ROWS) -> DataFrame:
     return running_total(df, keys, order, F.lit(1), name, max_rows)
 
 
-def running_total(df: DataFrame, keys: list[str], order: list[str], value: Column, name: str,
+def running_total(df: DataFrame, keys: list[str], order: list, value: Column, name: str,
                   max_rows: int = MAX_ROWS) -> DataFrame:
-    """Add `name`: the sum of `value` up to and including each row, in ascending `order`."""
+    """Add `name`: the sum of a whole-number `value` up to and including each row.
+
+    `order` holds column names or columns; a null key is a key like any other.
+    """
     sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("size"))
     limit, slices = size_limit(sizes, max_rows)
     if limit is None:
         return window_total(df, keys, order, value, name)
     large = written(sizes.filter(F.col("size") > limit).select(*keys), "large-keys")
-    usual = df.join(F.broadcast(large), keys, "left_anti").select(*df.columns)
-    hot = df.join(F.broadcast(large), keys, "left_semi").select(*df.columns)
+    usual = _broadcast_join(df, large, keys, "left_anti")
+    hot = _broadcast_join(df, large, keys, "left_semi")
     return (window_total(usual, keys, order, value, name)
             .unionByName(sliced_total(hot, keys, order, value, name, slices)))
 
@@ -48,7 +53,7 @@ def size_limit(sizes: DataFrame, max_rows: int) -> tuple[int | None, int]:
     return limit, max(shuffles, 2 * total // max_rows)
 
 
-def window_total(df: DataFrame, keys: list[str], order: list[str], value: Column,
+def window_total(df: DataFrame, keys: list[str], order: list, value: Column,
                  name: str) -> DataFrame:
     """The running total by a plain window: for keys of bounded size."""
     upto = (Window.partitionBy(*keys).orderBy(*order)
@@ -56,7 +61,7 @@ def window_total(df: DataFrame, keys: list[str], order: list[str], value: Column
     return df.withColumn(name, F.sum(value).over(upto).cast("long"))
 
 
-def sliced_total(df: DataFrame, keys: list[str], order: list[str], value: Column, name: str,
+def sliced_total(df: DataFrame, keys: list[str], order: list, value: Column, name: str,
                  slices: int) -> DataFrame:
     """The running total by `slices` ranges of the order: for keys of any size."""
     # `_row` parts rows that are equal in every key and order column.
@@ -71,6 +76,13 @@ def sliced_total(df: DataFrame, keys: list[str], order: list[str], value: Column
     before = (sums.withColumn("_before", F.sum("_sum").over(earlier))
               .filter("_before IS NOT NULL").drop("_sum"))
     return (window_total(laid, [*keys, "_slice"], [*order, "_row"], F.col("_value"), "_local")
-            .join(F.broadcast(before), [*keys, "_slice"], "left")
+            .transform(_broadcast_join, before, [*keys, "_slice"], "left")
             .withColumn(name, F.col("_local") + F.coalesce("_before", F.lit(0)))
             .select(*df.columns, name))
+
+
+def _broadcast_join(df: DataFrame, small: DataFrame, keys: list[str], how: str) -> DataFrame:
+    """Join a side of bounded size on keys that may be null."""
+    renamed = small.withColumnsRenamed({key: f"_small_{key}" for key in keys})
+    same = reduce(Column.__and__, [F.col(k).eqNullSafe(F.col(f"_small_{k}")) for k in keys])
+    return df.join(F.broadcast(renamed), same, how)

@@ -7,7 +7,7 @@ from pyspark.sql import types as T
 
 from tidewatch import schemas
 from tidewatch.plans import layout
-from tidewatch.plans.latest import latest_by_key
+from tidewatch.plans.latest import latest_by_key, repeats
 
 FULL = "full"
 AUTHORS_ONLY = "did_only"
@@ -35,8 +35,9 @@ def write_mode(name: str) -> str:
 class TableSink:
     """Parquet tables under one folder. Each batch owns a directory in each table.
 
-    Equal keys within a batch become one row, which costs a shuffle of the rows; say `unique`
-    when the source never repeats a key.
+    Equal keys within a batch become one row. Whether there are any is found from the key columns
+    alone, so that rows without repeats are not shuffled for it. Say `unique` when the source never
+    repeats a key, also not across batches; then neither writes nor reads look for repeats.
     """
 
     def __init__(self, folder: str, mode: str = FULL, unique: bool = False):
@@ -45,20 +46,21 @@ class TableSink:
         self.unique = unique
 
     def write_events(self, events: DataFrame, batch: int = 0) -> None:
-        view = self._upserted(layout.by_did(events), schemas.BY_DID_KEY)
+        # These two columns are part of both primary keys.
+        once = self.unique or not repeats(events, ["received_at", "id"])
+        view = layout.by_did(events)
+        view = view if once else latest_by_key(view, schemas.BY_DID_KEY, [])
         self._write(layout.lay_by_did(view), BY_DID_TABLE, batch)
         if self.mode == FULL:
-            view = self._upserted(layout.by_minute(events), schemas.BY_MINUTE_KEY)
+            view = layout.by_minute(events)
+            view = view if once else latest_by_key(view, schemas.BY_MINUTE_KEY, [])
             self._write(layout.lay_by_minute(view), BY_MINUTE_TABLE, batch,
                         ["kind", "bucket_date"])
 
     def write_flagged(self, rows: DataFrame, batch: int = 0, part: str = "all") -> None:
-        rows = self._upserted(rows, schemas.FLAGGED_KEY)
+        rows = rows if self.unique else latest_by_key(rows, schemas.FLAGGED_KEY, [])
         self._write(layout.lay_flagged(rows), FLAGGED_TABLE, batch, ["bucket_date"], part)
 
-    def _upserted(self, rows, key):
-        return rows if self.unique else latest_by_key(rows, key, [])
-
     def _write(self, df, table, batch, partitions=(), part="all"):
         (df.write.mode("overwrite").partitionBy(*partitions)
          .parquet(f"{self.folder}/{table}/{BATCH}={batch}/part={part}"))
