@@ -1,6 +1,6 @@
 """SimHash near-duplicates by a segment-popcount embedding.
 
-A fingerprint of 64 bits becomes a point of 16 numbers: the bits set in each of its 4-bit segments.
+A fingerprint of 64 bits becomes a point of 32 numbers: the bits set in each of its 2-bit segments.
 Flipping a bit moves one number by one, so the Manhattan distance of two points never exceeds the
 bits in which their fingerprints differ. Points at distance 2 or less have a grid point within 1 of
 both. Each point is therefore put on the grid points within 1 of it, and only fingerprints that meet
@@ -19,15 +19,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import xxhash
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tidewatch.llm.components import components
 from tidewatch.llm.frames import map_documents, texts
 from tidewatch.plans.durable import written
 
 SEED = 42
-SEGMENT_BITS = 4
-_SEGMENTS = 64 // SEGMENT_BITS
+SEGMENT_BITS = 2
 
 
 def fingerprint(text: str, shingle: int = 3) -> int:
@@ -63,23 +62,22 @@ def fingerprints(df: DataFrame, shingle: int = 3, id_col: str = "doc_id",
 
 
 def segment_counts(fp: Column) -> Column:
-    """The bits set in each 4-bit segment, packed in the same 4 bits."""
-    def half(bits: Column) -> Column:  # 32 bits at a time, so that no sum leaves the range of a long
-        pairs = bits - F.shiftrightunsigned(bits, 1).bitwiseAND(0x55555555)
-        return pairs.bitwiseAND(0x33333333) + F.shiftrightunsigned(pairs, 2).bitwiseAND(0x33333333)
+    """The bits set in each 2-bit segment, packed in the same 2 bits."""
+    def half(bits: Column) -> Column:  # 32 bits at a time, so that no difference leaves its range
+        return bits - F.shiftrightunsigned(bits, 1).bitwiseAND(0x55555555)
 
     high, low = F.shiftrightunsigned(fp, 32), fp.bitwiseAND(0xFFFFFFFF)
     return F.shiftleft(half(high), 32).bitwiseOR(half(low))
 
 
 def _grid_points(point: Column) -> Column:
-    """The point itself and those one step away. Steps that leave the range of a count are left out."""
+    """The point itself and those one step away: a count of 0 steps to 1, 1 to 0 and 2, 2 to 1."""
     steps = [point]
-    for s in range(_SEGMENTS):
-        shift = s * SEGMENT_BITS
-        count = F.shiftrightunsigned(point, shift).bitwiseAND(0xF)
-        unit = F.shiftleft(F.lit(1).cast("long"), shift)
-        steps += [F.when(count < SEGMENT_BITS, point + unit), F.when(count > 0, point - unit)]
+    for shift in range(0, 64, SEGMENT_BITS):
+        count = F.shiftrightunsigned(point, shift).bitwiseAND(3)
+        one, three = (F.shiftleft(F.lit(n).cast("long"), shift) for n in (1, 3))
+        steps += [F.when(count < 2, point.bitwiseXOR(one)),
+                  F.when(count > 0, point.bitwiseXOR(three))]
     return F.array_compact(F.array(*steps))
 
 
@@ -92,9 +90,9 @@ def _within_one_bit(fp: Column) -> Column:
 def candidates(distinct: DataFrame) -> DataFrame:
     """The fingerprints of `distinct(fp)` with another one at Manhattan distance 2 or less."""
     placed = distinct.select("fp", F.explode(_grid_points(segment_counts(F.col("fp")))).alias("cell"))
-    shared = (placed.groupBy("cell").agg(F.min("fp").alias("a"), F.max("fp").alias("b"))
-              .filter("a < b").select("cell"))
-    return placed.join(shared, "cell", "left_semi").select("fp").distinct()
+    cell = Window.partitionBy("cell")
+    return (placed.select("fp", (F.min("fp").over(cell) < F.max("fp").over(cell)).alias("met"))
+            .filter("met").select("fp").distinct())
 
 
 def links(distinct: DataFrame) -> DataFrame:
