@@ -2,8 +2,9 @@
 
 from pyspark.sql import functions as F
 
-from tidewatch.llm import secret_scan, simhash
+from tidewatch.llm import packing, quality_rules, secret_scan, simhash, token_files
 from tidewatch.llm.frames import table
+from tidewatch.plans.durable import scratch_path
 
 QUERIES = {}
 ORACLE = {}
@@ -26,6 +27,32 @@ def op1_secret_scan(spark, folder):
                         secret_scan.joined(F.col("all")).alias("spans"))
 
 
+@query
+def op3_token_files(spark, folder):
+    path = scratch_path(spark, "token-files")
+    token_files.write_tokens(table(spark, folder, "documents"), path, "byte_bpe_50k.json", end=0)
+    return token_files.digests(spark, path)
+
+
+@query
+def op4_quality_rules(spark, folder):
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    rules = quality_rules.fit(docs, table(spark, folder, "labels"))
+    found = quality_rules.judged(docs, rules, "_found")
+    stats = [F.col(f"_found.stats.{c}").alias(c) for c in (
+        "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")]
+    return found.select("doc_id", *stats, "_found.base_failed", "_found.kept",
+                        F.col("_found.rule").alias("rule"))
+
+
+@query
+def op9_packing(spark, folder):
+    path = scratch_path(spark, "sequences")
+    packing.write_sequences(table(spark, folder, "documents"), path, "word_bpe_49k.json", end=2,
+                            longest=4096)
+    return packing.packed(spark, path)
+
+
 @query
 def op10_simhash(spark, folder):
     linked = simhash.simhash_components(table(spark, folder, "documents"), shingle=3, max_bits=2)
