@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from tidewatch.llm import packing, quality_rules, secret_scan, simhash, token_files
+from tidewatch.llm import decontaminate, packing, quality_rules, secret_scan, simhash, token_files
 from tidewatch.llm.frames import table
 from tidewatch.plans.durable import scratch_path
 
@@ -45,6 +45,31 @@ def op4_quality_rules(spark, folder):
                         F.col("_found.rule").alias("rule"))
 
 
+@query
+def op7_decontaminate(spark, folder):
+    return decontaminate.contaminated(table(spark, folder, "documents"),
+                                      table(spark, folder, "benchmark"))
+
+
+ORACLE["op7_decontaminate"] = """
+WITH item AS (SELECT item_id, regexp_extract_all(lower(coalesce(text, '')), '[\\p{L}\\p{N}_]+') AS w
+              FROM benchmark),
+item_shingle AS (
+  SELECT DISTINCT item_id,
+         unnest([array_to_string(w[i:i + 4], ' ') FOR i IN range(1, len(w) - 3)]) AS s FROM item),
+size AS (SELECT item_id, count(*) AS n_shingles FROM item_shingle GROUP BY item_id),
+doc AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[\\p{L}\\p{N}_]+') AS w
+        FROM documents),
+doc_shingle AS (
+  SELECT DISTINCT doc_id,
+         unnest([array_to_string(w[i:i + 4], ' ') FOR i IN range(1, len(w) - 3)]) AS s FROM doc),
+hit AS (SELECT doc_id, item_id, count(*) AS n_shared
+        FROM doc_shingle JOIN item_shingle USING (s) GROUP BY ALL)
+SELECT doc_id, item_id, CAST(n_shingles AS INTEGER) AS n_shingles,
+       CAST(n_shared AS INTEGER) AS n_shared, n_shared / n_shingles AS containment
+FROM hit JOIN size USING (item_id) WHERE n_shared >= ceil(round(n_shingles * 0.8, 9))"""
+
+
 @query
 def op9_packing(spark, folder):
     path = scratch_path(spark, "sequences")
