@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from tidewatch.llm import decontaminate, packing, quality_rules, secret_scan, simhash, token_files
+from tidewatch.llm import decontaminate, packing, quality_rules, secret_scan, simhash, substrings, token_files
 from tidewatch.llm.frames import table
 from tidewatch.plans.durable import scratch_path
 
@@ -70,6 +70,26 @@ SELECT doc_id, item_id, CAST(n_shingles AS INTEGER) AS n_shingles,
 FROM hit JOIN size USING (item_id) WHERE n_shared >= ceil(round(n_shingles * 0.8, 9))"""
 
 
+@query
+def op8_substring_dedup(spark, folder):
+    return substrings.repeat_digests(table(spark, folder, "documents"), length=13, start=7)
+
+
+ORACLE["op8_substring_dedup"] = """
+WITH doc AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^ \\t-\\r]+') AS w FROM documents),
+win AS (SELECT doc_id, i, array_to_string(w[i:i + 12], ' ') AS s
+        FROM (SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS i FROM doc)),
+first AS (SELECT s, min(doc_id) AS least FROM win GROUP BY s),
+gone AS (SELECT doc_id, list(DISTINCT p) AS g
+         FROM (SELECT doc_id, unnest(range(i, i + 13)) AS p
+               FROM win JOIN first USING (s) WHERE least < doc_id) GROUP BY doc_id)
+SELECT doc.doc_id, CAST(len(w) AS BIGINT) AS n_words,
+       CAST(coalesce(len(g), 0) AS BIGINT) AS n_removed,
+       sha256(coalesce(array_to_string([w[p] FOR p IN range(1, len(w) + 1)
+              IF NOT list_contains(coalesce(g, []), p)], ' '), '')) AS kept_sha256
+FROM doc LEFT JOIN gone USING (doc_id)"""
+
+
 @query
 def op9_packing(spark, folder):
     path = scratch_path(spark, "sequences")
