@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from tidewatch.llm import decontaminate, packing, quality_rules, secret_scan, simhash, substrings, token_files
+from tidewatch.llm import decontaminate, packing, quality_rules, secret_scan, simhash, substrings, token_files, warc
 from tidewatch.llm.frames import table
 from tidewatch.plans.durable import scratch_path
 
@@ -45,6 +45,23 @@ def op4_quality_rules(spark, folder):
                         F.col("_found.rule").alias("rule"))
 
 
+@query
+def op5_warc(spark, folder):
+    path = scratch_path(spark, "warc")
+    warc.write_warc(table(spark, folder, "pages"), path)
+    return warc.inventory(spark, path)
+
+
+ORACLE["op5_warc"] = """
+WITH page AS (SELECT page_id, coalesce(html, '') AS html,
+                     octet_length(encode(coalesce(html, ''))) AS n FROM pages),
+large AS (SELECT html, max(page_id) AS largest FROM page WHERE n >= 1000 GROUP BY html)
+SELECT page_id, n AS payload_bytes, sha1(page.html) AS payload_digest,
+       CASE WHEN largest <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN largest <> page_id THEN largest END AS refers_to
+FROM page LEFT JOIN large USING (html)"""
+
+
 @query
 def op7_decontaminate(spark, folder):
     return decontaminate.contaminated(table(spark, folder, "documents"),
