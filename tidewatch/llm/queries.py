@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from tidewatch.llm import decontaminate, packing, quality_rules, secret_scan, simhash, substrings, token_files, warc
+from tidewatch.llm import decontaminate, lm_score, packing, quality_rules, secret_scan, simhash, substrings, token_files, toxicity, warc
 from tidewatch.llm.frames import table
 from tidewatch.plans.durable import scratch_path
 
@@ -27,6 +27,11 @@ def op1_secret_scan(spark, folder):
                         secret_scan.joined(F.col("all")).alias("spans"))
 
 
+@query
+def op2_lm_score(spark, folder):
+    return lm_score.lm_scores(table(spark, folder, "documents"))
+
+
 @query
 def op3_token_files(spark, folder):
     path = scratch_path(spark, "token-files")
@@ -62,6 +67,17 @@ SELECT page_id, n AS payload_bytes, sha1(page.html) AS payload_digest,
 FROM page LEFT JOIN large USING (html)"""
 
 
+@query
+def op6_toxicity(spark, folder):
+    def held_out():
+        return F.crc32(F.col("doc_id").cast("string")) % 3 == 1
+
+    found = toxicity.toxicity(table(spark, folder, "documents"), table(spark, folder, "labels"),
+                              learn_from=~held_out())
+    return found.select("doc_id", F.coalesce(held_out(), F.lit(False)).alias("held_out"), "score",
+                        F.when(F.col("score") >= 0.7, 1).otherwise(0).alias("predicted"), "evidence")
+
+
 @query
 def op7_decontaminate(spark, folder):
     return decontaminate.contaminated(table(spark, folder, "documents"),
