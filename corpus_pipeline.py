@@ -1,10 +1,19 @@
 """The corpus pipeline: stages over `documents`, each written and read again as the next one's input."""
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tidewatch.llm import secret_scan, simhash
-from tidewatch.llm.frames import table
-from tidewatch.plans.durable import written
+from tidewatch.llm import decontaminate, packing, quality_rules, secret_scan, simhash
+from tidewatch.llm.frames import fresh, table
+from tidewatch.plans.durable import scratch_path, written
+
+
+def quality_rules_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the base rules or the learned decision list reject go. The list is learned from the
+    labels of the documents that came in."""
+    rules = quality_rules.fit(docs, table(spark, sf_dir, "labels"))
+    name = fresh(docs, "_judged")
+    judged = quality_rules.judged(docs, rules, name)
+    return judged.filter(F.col(name)["kept"]).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -12,14 +21,32 @@ def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     return simhash.keep_first(docs, shingle=3, max_bits=2)
 
 
+def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item go."""
+    return decontaminate.clean(docs, table(spark, sf_dir, "benchmark"))
+
+
 def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document stays; secrets in its text are masked and `n_chars` follows."""
-    return secret_scan.redacted(docs)
+    """Every document stays; the secrets in its text are masked, and `n_chars` follows where they were."""
+    masked = secret_scan.redacted(docs.withColumn("_before", F.col("text")))
+    changed = ~F.col("text").eqNullSafe(F.col("_before"))
+    return (masked.withColumn("n_chars", F.when(changed, F.length("text").cast("long"))
+                              .otherwise(F.col("n_chars"))).drop("_before"))
+
+
+def sequence_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents in sequences of power-of-two length."""
+    path = scratch_path(spark, "pipeline-sequences")
+    packing.write_sequences(docs, path, "word_bpe_49k.json", end=2, longest=4096)
+    return packing.packed(spark, path)
 
 
 STAGES = [
+    ("quality_rules", quality_rules_stage),
     ("simhash_near_dedup", simhash_near_dedup),
+    ("benchmark_decontamination", benchmark_decontamination),
     ("secret_scans", secret_scans),
+    ("sequence_packing", sequence_packing),
 ]
 
 #: Learned rules, fingerprints and token ids are not SQL; tests hold the rows against brute force.
