@@ -22,7 +22,7 @@ from tidewatch.sources.events import parsed, read_events
 from tidewatch.sources.tables import COLUMNS, as_events, light_events, table, table_events
 from tidewatch.streaming.ingest import start_ingest, write_drained
 from tidewatch.streaming.live import (live_sliding, live_tumbling, start_append,
-                                      without_replays)
+                                      with_open_windows, without_replays)
 from tidewatch.streaming.rate import StreamRate
 
 QUERIES = {}
@@ -408,8 +408,15 @@ def partition_skew(spark, folder):
 # Streams
 
 def _stream(spark, folder, name) -> DataFrame:
-    return (spark.readStream.schema(COLUMNS[name])
-            .option("pathGlobFilter", f"{name}.parquet").parquet(folder))
+    """The table as a stream, be it one file or a folder of them. A pattern may name either.
+
+    Files need not be in the order of time, and a stream drops what comes too late. So all files that
+    are there make up one batch, unless `FILES_PER_TRIGGER` says otherwise for files in order.
+    """
+    reader = spark.readStream.schema(COLUMNS[name])
+    if settings.FILES_PER_TRIGGER:
+        reader = reader.option("maxFilesPerTrigger", settings.FILES_PER_TRIGGER)
+    return reader.parquet(f"{folder}/{name}.parque[t]")
 
 
 def _event_stream(spark, folder) -> DataFrame:
@@ -464,7 +471,8 @@ def stream_throughput(spark, folder):
     events = light_events(_stream(spark, folder, "events"))
     counts = live_tumbling(events, settings.DELAY)
     start_append(counts, f"{path}/rows", f"{path}/checkpoint", availableNow=True).awaitTermination()
-    return plain(spark.read.schema(counts.schema).parquet(f"{path}/rows"))
+    emitted = spark.read.schema(counts.schema).parquet(f"{path}/rows")
+    return plain(with_open_windows(emitted, rollups.tumbling(light(spark, folder))))
 
 
 @query
@@ -472,7 +480,8 @@ def stream_sliding_rate(spark, folder):
     path = scratch_path(spark, "sliding")
     rates = live_sliding(light_events(_stream(spark, folder, "events")), settings.DELAY)
     start_append(rates, f"{path}/rows", f"{path}/checkpoint", availableNow=True).awaitTermination()
-    rows = spark.read.schema(rates.schema).parquet(f"{path}/rows")
+    emitted = spark.read.schema(rates.schema).parquet(f"{path}/rows")
+    rows = with_open_windows(emitted, rollups.sliding(light(spark, folder)))
     return plain(rows.withColumn("per_sec", F.round("per_sec", 9)))
 
 

@@ -26,3 +26,4 @@ FLAG_LIMIT = 100
 WINDOW_FIRST = datetime(2024, 1, 10, 0, 0)
 WINDOW_LAST = datetime(2024, 1, 10, 11, 59)
 DELAY = "10 minutes"
+FILES_PER_TRIGGER: int | None = None

@@ -30,34 +30,36 @@ def table_events(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def as_events(events: DataFrame, documents: DataFrame, pages: DataFrame) -> DataFrame:
-    n_documents = documents.select(F.count(F.lit(1))).scalar()
-    n_pages = pages.select(F.count(F.lit(1))).scalar()
-    post = F.col("kind") == schemas.POST
+    """Every event once: one whose document or page is missing has no text or link."""
     none = F.array().cast(schemas.STRINGS)
     again = F.regexp_replace("url", "^https?://([^/?#]*).*$", "HTTPS://user@$1:8443/again")
-    links = (F.when(F.col("event_type") == "view", F.array("url", again))
-             .when(post, F.array("url")).otherwise(none))
-    return (light_events(events)
-            .withColumn("doc_id", F.col("event_id") % n_documents)
-            .withColumn("page_id", F.col("event_id") % n_pages)
-            # Both sides grow, so both are shuffled, which also spreads the texts over the tasks.
-            .join(documents.select("doc_id", F.col("text").alias("body"), "lang").hint("merge"),
-                  "doc_id")
-            .join(pages.select("page_id", "url"), "page_id")
-            .select("id", "did", "kind",
-                    F.when(post, F.col("body")).otherwise("").alias("text"),
-                    F.when(post, F.array("lang")).otherwise(none).alias("langs"),
-                    links.alias("links"), "created_at", "received_at"))
+    links = F.when(F.col("event_type") == "view", F.array("url", again)).otherwise(F.array("url"))
+    # An empty table leaves no remainder to take.
+    n_documents, n_pages = (F.greatest(t.select(F.count(F.lit(1))).scalar(), F.lit(1))
+                            for t in (documents, pages))
+    light, post = light_events(events), F.col("kind") == schemas.POST
+    posts = (light.filter(post).withColumn("doc_id", F.pmod("event_id", n_documents))
+             .withColumn("page_id", F.pmod("event_id", n_pages))
+             # Both sides grow, so both are shuffled, which also spreads the texts over the tasks.
+             .join(documents.select("doc_id", F.col("text").alias("body"), "lang").hint("merge"),
+                   "doc_id", "left")
+             .join(pages.select("page_id", "url"), "page_id", "left")
+             .select("id", "did", "kind", F.coalesce("body", F.lit("")).alias("text"),
+                     F.array_compact(F.array("lang")).alias("langs"),
+                     F.array_compact(links).alias("links"), "created_at", "received_at"))
+    rest = light.filter(~post).select("id", "did", "kind", F.lit("").alias("text"),
+                                      none.alias("langs"), none.alias("links"), "created_at",
+                                      "received_at")
+    return posts.unionByName(rest)
 
 
 def light_events(events: DataFrame) -> DataFrame:
     """The events without text and links: no join needed."""
-    return (events.filter(F.col("event_type").isin(*KINDS))
-            .select("event_id", "event_type",
-                    F.concat(F.lit("evt-"), F.col("event_id")).alias("id"), did(F.col("user_id")),
-                    _kind(F.col("event_type")).alias("kind"),
-                    F.col("ts").cast("timestamp").alias("created_at"),
-                    F.col("ts").cast("timestamp").alias("received_at")))
+    return events.select("event_id", "event_type",
+                         F.concat(F.lit("evt-"), F.col("event_id")).alias("id"),
+                         did(F.col("user_id")), _kind(F.col("event_type")).alias("kind"),
+                         F.col("ts").cast("timestamp").alias("created_at"),
+                         F.col("ts").cast("timestamp").alias("received_at"))
 
 
 def did(user: Column) -> Column:
@@ -65,7 +67,8 @@ def did(user: Column) -> Column:
 
 
 def _kind(event_type: Column) -> Column:
-    kind = F.when(F.lit(False), F.lit(""))
+    """The kind an event type reads as. Any other type is a kind by its own name, none is empty."""
+    kind = F.when(event_type.isNull(), F.lit(""))
     for name, value in KINDS.items():
         kind = kind.when(event_type == name, F.lit(value))
-    return kind
+    return kind.otherwise(event_type)
