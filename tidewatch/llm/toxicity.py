@@ -33,6 +33,8 @@ from tidewatch.plans.durable import written
 WORDS = re.compile(r"\w+").findall
 #: Labelled examples of each label at most: those with the smallest hash of their id.
 SAMPLE = 4000
+#: Texts whose terms a task counts at a time.
+SLICE = 200
 #: Terms at most, and the likelihood ratio that a term's link to the label must reach.
 TERMS, LINK = 4096, 30.0
 NEAREST, BLOCK = 15, 64
@@ -45,32 +47,33 @@ def terms_of(word: str) -> list[str]:
     return [word, *[f"{word[:n]}*" for n in PREFIXES if len(word) > n]]
 
 
-def term_counts(text: str) -> Counter:
-    found: Counter = Counter()
-    for word, n in Counter(WORDS(text.lower())).items():
-        for term in terms_of(word):
-            found[term] += n
-    return found
-
-
-def chosen_terms(documents: list[set[str]], toxic: np.ndarray) -> list[str]:
-    """Terms by the likelihood ratio of being in a document and the label."""
-    n1, n0 = int(toxic.sum()), int((~toxic).sum())
-    inside = (Counter(), Counter())
-    for found, label in zip(documents, toxic):
-        inside[int(label)].update(found)
-    rated = []
-    for term in set(inside[0]) | set(inside[1]):
-        a, b = inside[1][term], inside[0][term]
-        if a + b < 3:
-            continue
-        table = np.array([[a, n1 - a], [b, n0 - b]], dtype=float)
-        expected = table.sum(1, keepdims=True) * table.sum(0, keepdims=True) / table.sum()
-        with np.errstate(divide="ignore", invalid="ignore"):
-            ratio = 2 * np.nansum(table * np.log(table / expected))
-        if ratio >= LINK:
-            rated.append((-ratio, term))
-    return [term for _, term in sorted(rated)[:TERMS]]
+def chosen_terms(sample: DataFrame) -> list[str]:
+    """Terms of `sample(text, toxic)` by the likelihood ratio of being in a document and the label. Only
+    the terms that are kept reach the driver."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, SLICE):
+                part, found = batch.slice(at, SLICE), (Counter(), Counter())
+                for text, label in zip(part["text"].to_pylist(), part["toxic"].to_pylist()):
+                    words = set(WORDS(text.lower()))
+                    found[label].update({t for word in words for t in terms_of(word)})
+                terms = list(found[0].keys() | found[1].keys())
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(terms, pa.string()), pa.array([found[1][t] for t in terms], pa.int64()),
+                     pa.array([found[0][t] for t in terms], pa.int64())], names=["term", "bad", "good"])
+
+    n1, n0 = sample.agg(F.count_if(F.col("toxic") == 1), F.count_if(F.col("toxic") == 0)).first()
+    counts = (sample.select("text", "toxic").mapInArrow(run, "term string, bad long, good long")
+              .groupBy("term").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good")))
+    total, ratio = float(n1 + n0 or 1), F.lit(0.0)
+    for cell, row, column in ((F.col("bad"), n1, F.col("bad") + F.col("good")),
+                              (F.col("good"), n0, F.col("bad") + F.col("good")),
+                              (n1 - F.col("bad"), n1, total - F.col("bad") - F.col("good")),
+                              (n0 - F.col("good"), n0, total - F.col("bad") - F.col("good"))):
+        ratio = ratio + F.when(cell > 0, cell * F.log(cell * total / (row * column))).otherwise(0.0)
+    rated = counts.filter("bad + good >= 3").select("term", (2 * ratio).alias("ratio"))
+    kept = rated.filter(F.col("ratio") >= LINK).orderBy(F.desc("ratio"), "term").limit(TERMS)
+    return [row["term"] for row in kept.collect()]
 
 
 class Index:
@@ -186,35 +189,31 @@ def vectors(docs: DataFrame, terms: dict[str, int]) -> DataFrame:
 
 
 def sampled(docs: DataFrame, labels: DataFrame, learn_from: Column, sample: int,
-            label_col: str = "toxic") -> list:
-    """`doc_id, toxic, text, weight` of at most `sample` documents of each label. The weight is how many
-    labelled rows each stands for."""
+            label_col: str = "toxic") -> DataFrame:
+    """`doc_id, text, toxic, weight` of at most `sample` documents of each label, as a written table. The
+    weight is how many labelled rows each stands for."""
     known = written(labels.select(F.col("doc_id").cast("long").alias("doc_id"),
-                                  F.col(label_col).alias("toxic"))
-                    .dropna().filter(learn_from).groupBy("doc_id").agg(F.max("toxic").alias("toxic")),
-                    "toxicity-labels")
-    sizes = {r["toxic"]: r["n"] for r in known.filter("toxic IN (0, 1)").groupBy("toxic").agg(
+                                  F.col(label_col).cast("int").alias("toxic"))
+                    .dropna().filter(learn_from & F.col("toxic").isin(0, 1))
+                    .groupBy("doc_id").agg(F.max("toxic").alias("toxic")), "toxicity-labels")
+    sizes = {r["toxic"]: r["n"] for r in known.groupBy("toxic").agg(
         F.count(F.lit(1)).alias("n")).collect()}
     picked = [known.filter(F.col("toxic") == label).orderBy(F.xxhash64("doc_id"), "doc_id")
-              .limit(sample) for label in (0, 1)]
-    # At most 2 * sample rows: the bound of what is broadcast and collected.
-    rows = docs.join(F.broadcast(picked[0].unionByName(picked[1])), "doc_id").collect()
-    # Of equal ids the first text; ids in order, so that learning does not hang on that of the rows.
-    rows = {r["doc_id"]: r for r in sorted(rows, key=lambda r: (r["doc_id"], r["text"]), reverse=True)}
-    return [(d, bool(r["toxic"]), r["text"], sizes[r["toxic"]] / min(sample, sizes[r["toxic"]]))
-            for d, r in sorted(rows.items())]
+              .limit(sample).withColumn("weight", F.lit(float(max(1.0, sizes.get(label, 0) / sample))))
+              for label in (0, 1)]
+    # At most 2 * sample rows: the bound of what is broadcast. Of equal ids one text is taken.
+    found = docs.join(F.broadcast(picked[0].unionByName(picked[1])), "doc_id")
+    return written(found.groupBy("doc_id", "toxic", "weight").agg(F.min("text").alias("text")),
+                   "toxicity-sample")
 
 
-def fit(examples: list) -> tuple[dict[str, int], list[tuple]]:
+def fit(sample: DataFrame) -> tuple[dict[str, int], list[tuple]]:
     """The kept terms, and for each example its id, label, weight, terms and counts."""
-    counted = [term_counts(text) for _, _, text, _ in examples]
-    toxic = np.array([label for _, label, _, _ in examples], dtype=bool)
-    terms = {t: i for i, t in enumerate(chosen_terms([set(c) for c in counted], toxic))}
-    rows = []
-    for (doc_id, label, _, weight), found in zip(examples, counted):
-        own = sorted((terms[t], n) for t, n in found.items() if t in terms)
-        rows.append((doc_id, label, weight, [t for t, _ in own], [n for _, n in own]))
-    return terms, rows
+    terms = {t: i for i, t in enumerate(chosen_terms(sample))}
+    known = {r["doc_id"]: (bool(r["toxic"]), r["weight"])
+             for r in sample.select("doc_id", "toxic", "weight").collect()}
+    found = vectors(sample, terms).collect()
+    return terms, sorted((r["doc_id"], *known[r["doc_id"]], r["terms"], r["counts"]) for r in found)
 
 
 def built(terms: dict[str, int], rows: list[tuple], idf: np.ndarray) -> Model:
