@@ -364,4 +364,12 @@ ORACLE = {
         FROM w GROUP BY 1""",
     "stream_without_replays": f"""WITH {_LIGHT}
         SELECT did, received_at, id FROM light""",
+    "two_writes_upsert": f"""WITH {_EV}
+        SELECT did, received_at, id, kind,
+               CASE WHEN kind = 'app.bsky.graph.follow' THEN 'again' ELSE text END AS text
+        FROM ev""",
+    "compacted_views": f"""WITH {_FLAGGED}
+        SELECT 'events_by_did' AS target, count(*) AS rows FROM ev
+        UNION ALL SELECT 'events_by_minute', count(*) FROM ev
+        UNION ALL SELECT 'flagged_events', (SELECT count(*) FROM spam) + (SELECT count(*) FROM link)""",
 }

@@ -130,6 +130,35 @@ def upsert_latest_by_key(spark, folder):
     return plain(kept.select("did", "received_at", "id", "kind", "text", "arrival"))
 
 
+@query
+def two_writes_upsert(spark, folder):
+    """Events in two writes without numbers, and a third that sends some again: nothing replaces more
+    than its own keys."""
+    events = table_events(spark, folder)
+    sink = TableSink(scratch_path(spark, "two-writes"), AUTHORS_ONLY)
+    late = F.col("kind") == schemas.POST
+    sink.write_events(events.filter(~late))
+    sink.write_events(events.filter(late))
+    sink.write_events(events.filter(F.col("kind") == schemas.FOLLOW)
+                      .withColumn("text", F.lit("again")))
+    return plain(sink.events_by_did(spark).select("did", "received_at", "id", "kind", "text"))
+
+
+@query
+def compacted_views(spark, folder):
+    """Both views and the flags after several batches were merged."""
+    events = table_events(spark, folder)
+    sink = TableSink(scratch_path(spark, "compacted"))
+    sink.write_events(events)
+    sink.write_events(events.filter(F.col("kind") == schemas.FOLLOW))
+    for detector in detectors(settings.RULES)[:2]:
+        sink.write_flagged(flag(events, [detector]))
+    sink.compact(spark)
+    return _counts({"events_by_did": sink.events_by_did(spark),
+                    "events_by_minute": sink.events_by_minute(spark),
+                    "flagged_events": sink.flagged_events(spark)}, "target")
+
+
 @query
 def sink_counts(spark, folder):
     sink, events = CountSink(), table_events(spark, folder)
@@ -433,7 +462,7 @@ def _drained_ingest(events, sink: TableSink, chain) -> TableSink:
 
 
 class _FlagsOnly(TableSink):
-    def write_events(self, events, batch=0):
+    def write_events(self, events, batch=None):
         pass
 
 

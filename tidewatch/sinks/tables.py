@@ -1,5 +1,8 @@
 """File tables of the two event views and the flags, a count-only sink, and their protocol."""
 
+import hashlib
+import time
+from copy import copy
 from typing import Protocol
 
 from pyspark.sql import DataFrame, Observation, SparkSession, functions as F
@@ -7,12 +10,15 @@ from pyspark.sql import types as T
 
 from tidewatch import schemas
 from tidewatch.plans import layout
+from tidewatch.plans.durable import folders, removed, staged
 from tidewatch.plans.latest import latest_by_key, repeats
 
 FULL = "full"
 AUTHORS_ONLY = "did_only"
 
 BATCH = "batch_id"
+#: Records in one file at most.
+FILE_RECORDS = 2_000_000
 
 BY_DID_TABLE = "events_by_did"
 BY_MINUTE_TABLE = "events_by_minute"
@@ -20,11 +26,13 @@ FLAGGED_TABLE = "flagged_events"
 
 
 class Sink(Protocol):
-    """Takes events first, then flags. A repeated `batch` replaces what it wrote before."""
+    """Takes events first, then flags. A repeated `batch` replaces what it wrote before; without a
+    number each write adds to what is there."""
 
-    def write_events(self, events: DataFrame, batch: int = 0) -> None: ...
+    def write_events(self, events: DataFrame, batch: int | None = None) -> None: ...
 
-    def write_flagged(self, rows: DataFrame, batch: int = 0, part: str = "all") -> None: ...
+    def write_flagged(self, rows: DataFrame, batch: int | None = None,
+                      part: str = "all") -> None: ...
 
 
 def write_mode(name: str) -> str:
@@ -35,56 +43,124 @@ def write_mode(name: str) -> str:
 class TableSink:
     """Parquet tables under one folder. Each batch owns a directory in each table.
 
+    A write without a number takes one from the clock, so it never meets another. Numbers of a stream
+    start where the clock stood when the stream first wrote (see `for_stream`), so two streams, or a
+    stream and a job, do not meet either. Of equal keys the row with the greatest number is read.
+
     Equal keys within a batch become one row. Whether there are any is found from the key columns
     alone, so that rows without repeats are not shuffled for it. Say `unique` when the source never
-    repeats a key, also not across batches; then neither writes nor reads look for repeats.
+    repeats a key, also not across batches; then neither writes nor reads look for repeats. The input
+    is evaluated once: it is staged as a table, which both views are laid out from.
     """
 
-    def __init__(self, folder: str, mode: str = FULL, unique: bool = False):
+    def __init__(self, folder: str, mode: str = FULL, unique: bool = False, base: int = 0):
         self.folder = folder.rstrip("/")
         self.mode = write_mode(mode)
         self.unique = unique
-
-    def write_events(self, events: DataFrame, batch: int = 0) -> None:
-        # These two columns are part of both primary keys.
-        once = self.unique or not repeats(events, ["received_at", "id"])
-        view = layout.by_did(events)
-        view = view if once else latest_by_key(view, schemas.BY_DID_KEY, [])
-        self._write(layout.lay_by_did(view), BY_DID_TABLE, batch)
-        if self.mode == FULL:
-            view = layout.by_minute(events)
-            view = view if once else latest_by_key(view, schemas.BY_MINUTE_KEY, [])
-            self._write(layout.lay_by_minute(view), BY_MINUTE_TABLE, batch,
-                        ["kind", "bucket_date"])
-
-    def write_flagged(self, rows: DataFrame, batch: int = 0, part: str = "all") -> None:
-        rows = rows if self.unique else latest_by_key(rows, schemas.FLAGGED_KEY, [])
-        self._write(layout.lay_flagged(rows), FLAGGED_TABLE, batch, ["bucket_date"], part)
-
-    def _write(self, df, table, batch, partitions=(), part="all"):
+        self.base = base
+
+    def for_stream(self, spark: SparkSession, name: str) -> "TableSink":
+        """This sink for one stream, whose repeated batches replace their own rows. `name` is one that
+        only this stream has, such as its checkpoint folder."""
+        mark = f"{self.folder}/_streams/{hashlib.sha1(name.encode()).hexdigest()}"
+        own = copy(self)
+        own.base = _marked(spark, mark)
+        if own.base is None:
+            (spark.createDataFrame([(_clock(),)], "base bigint").coalesce(1)
+             .write.mode("overwrite").parquet(mark))
+            own.base = _marked(spark, mark)
+        return own
+
+    def write_events(self, events: DataFrame, batch: int | None = None) -> None:
+        with staged(events, "events") as rows:
+            # These two columns are part of both primary keys.
+            once = self.unique or not repeats(rows, ["received_at", "id"])
+            number = self._number(batch)
+            view = layout.by_did(rows)
+            view = view if once else latest_by_key(view, schemas.BY_DID_KEY, [])
+            self._write(layout.lay_by_did(view), BY_DID_TABLE, number)
+            if self.mode == FULL:
+                view = layout.by_minute(rows)
+                view = view if once else latest_by_key(view, schemas.BY_MINUTE_KEY, [])
+                self._write(layout.lay_by_minute(view), BY_MINUTE_TABLE, number,
+                            ["kind", "bucket_date"])
+
+    def write_flagged(self, rows: DataFrame, batch: int | None = None, part: str = "all") -> None:
+        with staged(rows, "flags") as found:
+            if not self.unique and repeats(found, schemas.FLAGGED_KEY):
+                found = latest_by_key(found, schemas.FLAGGED_KEY, [])
+            self._write(layout.lay_flagged(found), FLAGGED_TABLE, self._number(batch),
+                        ["bucket_date"], part)
+
+    def _number(self, batch: int | None) -> int:
+        return _clock() if batch is None else self.base + batch
+
+    def _write(self, df, table, number, partitions=(), part="all"):
         (df.write.mode("overwrite").partitionBy(*partitions)
-         .parquet(f"{self.folder}/{table}/{BATCH}={batch}/part={part}"))
+         .option("maxRecordsPerFile", FILE_RECORDS)
+         .parquet(f"{self.folder}/{table}/{BATCH}={number}/part={part}"))
 
     def events_by_did(self, spark: SparkSession) -> DataFrame:
         return self._read(spark, BY_DID_TABLE, schemas.BY_DID, schemas.BY_DID_KEY)
 
     def events_by_minute(self, spark: SparkSession) -> DataFrame:
         columns = [*schemas.BY_MINUTE, "bucket_date"]
-        return self._read(spark, BY_MINUTE_TABLE, columns,
+        rows = self._read(spark, BY_MINUTE_TABLE, columns,
                           [*schemas.BY_MINUTE_KEY, "bucket_date"])
+        # An empty kind is the name of no folder, and comes back as null.
+        return rows.withColumn("kind", F.coalesce("kind", F.lit("")))
 
     def flagged_events(self, spark: SparkSession) -> DataFrame:
         columns = [*schemas.FLAGGED.fieldNames(), "bucket_date"]
         return self._read(spark, FLAGGED_TABLE, columns, [*schemas.FLAGGED_KEY, "bucket_date"])
 
+    def compact(self, spark: SparkSession) -> None:
+        """Make one batch of all that are there, under the greatest of their numbers.
+
+        The merged rows are in place before the batches go that they are made of: a run that stops in
+        between leaves rows twice, which reads sort out. Run it while nothing else writes or reads.
+        """
+        readers = {BY_DID_TABLE: (self.events_by_did, layout.lay_by_did, []),
+                   BY_MINUTE_TABLE: (self.events_by_minute, layout.lay_by_minute,
+                                     ["kind", "bucket_date"]),
+                   FLAGGED_TABLE: (self.flagged_events, layout.lay_flagged, ["bucket_date"])}
+        for table, (read, lay, partitions) in readers.items():
+            batches = self._batches(spark, table)
+            if len(batches) < 2:
+                continue
+            self._write(lay(read(spark)), table, max(batches) + 1, partitions)
+            for batch in batches:
+                removed(spark, f"{self.folder}/{table}/{BATCH}={batch}")
+
+    def _batches(self, spark, table) -> list[int]:
+        return [int(name.split("=")[1]) for name in folders(spark, f"{self.folder}/{table}")
+                if name.startswith(f"{BATCH}=")]
+
     def _read(self, spark, table, columns, key):
         """Rows of all batches; of equal keys the one from the latest batch."""
         types = {f.name: f.dataType for f in [*schemas.EVENT, *schemas.FLAGGED]}
         types |= {"bucket_minute": T.TimestampType(), "bucket_date": T.DateType(),
                   BATCH: T.LongType(), "part": T.StringType()}
         schema = T.StructType([T.StructField(c, types[c]) for c in [*columns, BATCH, "part"]])
-        rows = spark.read.schema(schema).parquet(f"{self.folder}/{table}").select(*columns, BATCH)
-        return (rows if self.unique else latest_by_key(rows, key, [BATCH])).drop(BATCH)
+        path, batches = f"{self.folder}/{table}", self._batches(spark, table)
+        if not batches:
+            return spark.createDataFrame([], schema).select(*columns)
+        rows = spark.read.schema(schema).parquet(path).select(*columns, BATCH)
+        # One part of one batch has no key twice.
+        single = len(batches) == 1 and len(folders(spark, f"{path}/{BATCH}={batches[0]}")) == 1
+        return (rows if self.unique or single else latest_by_key(rows, key, [BATCH])).drop(BATCH)
+
+
+def _clock() -> int:
+    return time.time_ns()
+
+
+def _marked(spark: SparkSession, mark: str) -> int | None:
+    parent, _, name = mark.rpartition("/")
+    if name not in folders(spark, parent):
+        return None
+    row = spark.read.schema("base bigint").parquet(mark).first()
+    return row and row["base"]
 
 
 class CountSink:
@@ -94,10 +170,10 @@ class CountSink:
         self.events = 0
         self.flags = 0
 
-    def write_events(self, events: DataFrame, batch: int = 0) -> None:
+    def write_events(self, events: DataFrame, batch: int | None = None) -> None:
         self.events += _counted(events)
 
-    def write_flagged(self, rows: DataFrame, batch: int = 0, part: str = "all") -> None:
+    def write_flagged(self, rows: DataFrame, batch: int | None = None, part: str = "all") -> None:
         self.flags += _counted(rows)
 
 

@@ -39,7 +39,9 @@ class IngestStep:
                 hits = self._hits(detector, batch, batch_id)
                 self.sink.write_flagged(flagged(hits), batch_id, part=str(place))
             except Exception as error:
-                errors.append(RuntimeError(f"detector {place}: {error}"))
+                failed = RuntimeError(f"detector {place}: {error}")
+                failed.__cause__ = error
+                errors.append(failed)
         if errors:
             raise ExceptionGroup(f"flags of batch {batch_id}", errors)
 
@@ -60,13 +62,15 @@ def start_ingest(events: DataFrame, sink: Sink, chain: list, checkpoint: str,
     `availableNow=True` stops at the end of the input. Rows per batch are the source's options,
     such as `maxFilesPerTrigger` or `maxOffsetsPerTrigger`.
     """
+    if hasattr(sink, "for_stream"):
+        sink = sink.for_stream(events.sparkSession, checkpoint)
     return (events.writeStream.foreachBatch(IngestStep(sink, chain))
             .option("checkpointLocation", checkpoint).trigger(**trigger).start())
 
 
 def write_drained(sink: Sink, chain: list) -> None:
-    """Flags of events that still waited when a bounded stream ended, as one more batch."""
+    """Flags of events that still waited when a bounded stream ended, as a batch of their own."""
     for place, detector in enumerate(chain):
         if isinstance(detector, StreamRate):
             hits = flagged(detector.drain())
-            sink.write_flagged(hits, detector.batches(), part=str(place))
+            sink.write_flagged(hits, part=str(place))
