@@ -141,4 +141,5 @@ def keep_first(df: DataFrame, shingle: int = 3, max_bits: int = 2, id_col: str =
                    .groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")), "simhash-kept")
     if not kept.filter("n > 1").isEmpty():
         df = df.dropDuplicates([id_col])
-    return df.join(kept, df[id_col].eqNullSafe(kept["doc_id"]), "left_semi")
+    # Kept ids grow with the documents, so both sides are shuffled at any size.
+    return df.join(kept.hint("merge"), df[id_col].eqNullSafe(kept["doc_id"]), "left_semi")
