@@ -7,7 +7,9 @@ from tidewatch.functions.times import SECOND
 from tidewatch.operators.blocklist import LinkDetector
 from tidewatch.operators.keyword import SpamDetector
 from tidewatch.operators.rate import sliding_counts
-from tidewatch.plans.ordered import row_numbers
+from tidewatch.operators import rate
+from tidewatch.plans.durable import written
+from tidewatch.plans.ordered import row_numbers, window_total
 from tidewatch.rules import RuleSet
 from tidewatch.operators.detector import row_hits
 
@@ -31,10 +33,21 @@ def test_content_rules_need_no_shuffle(spark, tmp_path):
     assert "langs" not in plan(hits) and plan(hits).count("FileScan") == 1
 
 
-def test_rate_rule_shuffles_once_after_pruning(spark, tmp_path):
-    found = plan(sliding_counts(stored(spark, tmp_path), SECOND, 4))
-    assert found.count("hashpartitioning") == 1 and "BroadcastHashJoin" in found
-    assert "CartesianProduct" not in found and "BroadcastNestedLoopJoin" not in found
+def test_rate_rule_shuffles_narrow_rows_of_busy_cells(spark, tmp_path):
+    data = stored(spark, tmp_path)
+    known = rate._narrow(data, SECOND)
+    cells = written(rate._busy_cells(known, 4), "cells")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        steps = plan(window_total(rate._steps(known, cells, SECOND), ["did", "_cell"],
+                                  ["_at", "_last", "_id"], F.col("_step"), "total"))
+        whole = plan(sliding_counts(data, SECOND, 4))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "text" not in steps and "Generate" not in steps and "Expand" not in steps
+    assert steps.index("Union") < steps.index("SortMergeJoin")
+    assert "Window" not in whole and whole.count("FileScan") == 2
+    assert "CartesianProduct" not in steps and "BroadcastNestedLoopJoin" not in whole
 
 
 def test_large_keys_are_split_by_range(spark, tmp_path):
