@@ -9,7 +9,7 @@ from functools import lru_cache
 import numpy as np
 
 #: Words of which a Python worker remembers the ids. Beyond it, it forgets all and starts again.
-REMEMBERED = 1_500_000
+REMEMBERED = 1_200_000
 
 
 def vocabulary(name: str) -> str:
@@ -89,8 +89,13 @@ class Encoder:
             if word != piece and word and max(word) < _FOLDS_APART and word.isalpha():
                 tails[piece] = word
         words = {tails.get(piece, piece) for piece in pieces}
-        self._learn_words([w for w in words if w not in known and (
-            " " not in w if self.byte_level else w.isalpha())])
+        words = {w for w in words if w not in known and (
+            " " not in w if self.byte_level else w.isalpha())}
+        # The other kind of vocabulary folds case, so words that differ in it alone are learned once.
+        folded = {} if self.byte_level else {
+            w: w.lower() for w in words if max(w) < _FOLDS_APART and not w.islower()}
+        self._learn_words([w for w in {folded.get(w, w) for w in words} if w not in known])
+        known.update((w, known[f]) for w, f in folded.items())
         for piece in pieces:
             if piece in tails:
                 word, tail = tails[piece], piece[len(tails[piece]):]
