@@ -77,38 +77,49 @@ def chosen_terms(sample: DataFrame) -> list[str]:
 
 
 class Index:
-    """Unit vectors of examples in posting lists, in blocks with the greatest weights."""
+    """Unit vectors of examples in posting lists, in blocks with the greatest weights.
+
+    Within a block a posting list is a row of `BLOCK` weights. The rows are laid out where they are first
+    used and never sent; they take at most 8 bytes for each term and example."""
 
     def __init__(self, vectors: list[tuple[np.ndarray, np.ndarray]], n_terms: int):
-        self.n = len(vectors)
-        blocks = max(1, -(-self.n // BLOCK))
+        self.vectors, self.n_terms = vectors, n_terms
+        blocks = max(1, -(-len(vectors) // BLOCK))
         self.bounds = np.zeros((n_terms, blocks))
-        lists: list[list] = [[] for _ in range(n_terms)]
         for example, (terms, weights) in enumerate(vectors):
-            for term, weight in zip(terms, weights):
-                lists[term].append((example, weight))
-        self.examples = [np.array([e for e, _ in x], dtype=np.int64) for x in lists]
-        self.weights = [np.array([w for _, w in x]) for x in lists]
-        self.cuts = []
-        for term in range(n_terms):
-            of = self.examples[term] // BLOCK
-            np.maximum.at(self.bounds[term], of, self.weights[term])
-            self.cuts.append(np.searchsorted(of, np.arange(blocks + 1)))
+            column = self.bounds[:, example // BLOCK]
+            column[terms] = np.maximum(column[terms], weights)
+        self.rows: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+    def __getstate__(self) -> dict:
+        return {**self.__dict__, "rows": {}}
+
+    def lists(self, block: int) -> tuple[np.ndarray, np.ndarray]:
+        """Which row of the block each term has, and the rows. Row 0 is that of terms not in the block."""
+        if block not in self.rows:
+            own = np.flatnonzero(self.bounds[:, block])
+            place = np.zeros(self.n_terms, dtype=np.int64)
+            place[own] = np.arange(1, len(own) + 1)
+            rows = np.zeros((len(own) + 1, BLOCK))
+            for at, (terms, weights) in enumerate(self.vectors[block * BLOCK:(block + 1) * BLOCK]):
+                rows[place[terms], at] = weights
+            self.rows[block] = place, rows
+        return self.rows[block]
 
     def nearest(self, terms: np.ndarray, weights: np.ndarray, k: int,
                 without: int = -1) -> list[tuple[float, int]]:
-        """The `k` examples of the greatest cosine above 0, as `cosine, example`."""
+        """The `k` examples of the greatest cosine above 0, as `cosine, example`. Cosines are rounded to
+        12 places, so that equal examples tie wherever they lie; the smaller example comes first."""
         bounds = weights @ self.bounds[terms]
         best: list[tuple[float, int]] = []
-        for block in np.argsort(-bounds, kind="stable"):
-            if bounds[block] <= 0 or len(best) == k and bounds[block] < -best[-1][0] - 1e-12:
+        for block in np.argsort(-bounds, kind="stable").tolist():
+            least = -best[-1][0] if len(best) == k else 0.0
+            if bounds[block] <= 0 or bounds[block] < least - 1e-11:
                 break
-            scores = np.zeros(BLOCK)
-            for term, weight in zip(terms, weights):
-                a, b = self.cuts[term][block], self.cuts[term][block + 1]
-                scores[self.examples[term][a:b] - block * BLOCK] += weight * self.weights[term][a:b]
-            hits = np.flatnonzero(scores > 0)
-            best = sorted(best + [(-float(scores[i]), int(block) * BLOCK + int(i)) for i in hits
+            place, rows = self.lists(block)
+            scores = np.round(weights @ rows[place[terms]], 12)
+            hits = np.flatnonzero((scores > 0) & (scores >= least)).tolist()
+            best = sorted(best + [(-float(scores[i]), block * BLOCK + i) for i in hits
                                   if block * BLOCK + i != without])[:k]
         return [(-s, e) for s, e in best]
 
@@ -188,6 +199,22 @@ def vectors(docs: DataFrame, terms: dict[str, int]) -> DataFrame:
         run, "doc_id long, terms array<int>, counts array<int>")
 
 
+def frequencies(found: DataFrame, n_terms: int) -> DataFrame:
+    """`term, df`: in how many rows of `found(terms)` each term is, added up in each task before the
+    shuffle."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(n_terms, dtype=np.int64)
+        for batch in batches:
+            own = batch["terms"].flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+            total += np.bincount(own, minlength=n_terms)
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(total[at], pa.int64())],
+                                         names=["term", "n"])
+
+    return (found.select("terms").mapInArrow(run, "term int, n long").groupBy("term")
+            .agg(F.sum("n").alias("df")))
+
+
 def sampled(docs: DataFrame, labels: DataFrame, learn_from: Column, sample: int,
             label_col: str = "toxic") -> DataFrame:
     """`doc_id, text, toxic, weight` of at most `sample` documents of each label, as a written table. The
@@ -249,8 +276,7 @@ def toxicity(df: DataFrame, labels: DataFrame, learn_from: Column, sample: int =
     found = written(vectors(docs, terms), "toxicity-vectors")
     n = found.count()
     idf = np.full(len(terms), math.log(n + 1) + 1)
-    counts = found.select(F.explode("terms").alias("term")).groupBy("term").agg(
-        F.count(F.lit(1)).alias("df"))  # as many rows as terms are kept, at most
+    counts = frequencies(found, len(terms))  # as many rows as terms are kept, at most
     for row in counts.collect():
         idf[row["term"]] = math.log((n + 1) / (row["df"] + 1)) + 1
     model = spark.sparkContext.broadcast(built(terms, rows, idf))
