@@ -254,6 +254,24 @@ ORACLE = {
     "detect_blocklist": f"WITH {_EV}, {_LINK} SELECT {_NO_TEXT} FROM link",
     "detect_blocklist_table": f"WITH {_EV}, {_links(_PAGE_LISTED)} SELECT {_NO_TEXT} FROM link",
     "detect_rate_spike": f"WITH {_LIGHT_TEXT}, {_HOURLY} SELECT {_NO_TEXT} FROM rate",
+    "detect_excessive_caps": fr"""WITH {_EV}, counted AS (
+        SELECT id, did, length(regexp_replace(text, '[^\p{{L}}]', '', 'g')) AS letters,
+               length(regexp_replace(text, '[^\p{{Lu}}]', '', 'g')) AS uppercase
+        FROM ev WHERE kind = 'app.bsky.feed.post')
+      SELECT id, did, letters, uppercase FROM counted
+      WHERE letters >= 20 AND uppercase * 10 >= letters * 7""",
+    "detect_mention_storm": f"""WITH {_EV}, each_link AS (
+        SELECT did, date_trunc('day', received_at) AS window_start,
+               lower(regexp_extract(unnest(links), '{_HOST_PATTERN}', 1)) AS handle
+        FROM ev)
+      SELECT did, window_start, count(DISTINCT handle) AS mentions FROM each_link
+      WHERE did <> '' AND handle <> '' GROUP BY ALL HAVING count(DISTINCT handle) >= 2""",
+    "detect_repetition_exact": fr"""WITH {_EV}, posts AS (
+        SELECT id, did, trim(regexp_replace(lower(text), '[ \t\n\f\r]+', ' ', 'g')) AS body
+        FROM ev WHERE kind = 'app.bsky.feed.post' AND text <> '')
+      SELECT id, did, min(id) OVER (PARTITION BY body) AS first_id,
+             count(*) OVER (PARTITION BY body) AS copies
+      FROM posts QUALIFY count(*) OVER (PARTITION BY body) >= 2""",
     "flagged_all_rules": f"WITH {_FLAGGED} SELECT bucket_hour, {_COLUMNS} FROM flagged",
     "recent_events_by_author": f"""WITH {_EV}
         SELECT did, received_at, id, kind, text, langs, {_EVENT_LINKS}, created_at FROM ev

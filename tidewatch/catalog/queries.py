@@ -7,7 +7,7 @@ from tidewatch.catalog import settings
 from tidewatch.functions.links import host
 from tidewatch.functions.text import severity
 from tidewatch.functions.times import MINUTE
-from tidewatch.operators import reads, rollups
+from tidewatch.operators import reads, rollups, signals
 from tidewatch.operators.blocklist import LinkDetector, LinkTableDetector, normalised
 from tidewatch.operators.composite import detectors, flag
 from tidewatch.operators.keyword import SpamDetector, is_post_with_text
@@ -286,6 +286,24 @@ def flagged_all_rules(spark, folder):
     return plain(flag(table_events(spark, folder), detectors(settings.RULES)))
 
 
+@query
+def detect_excessive_caps(spark, folder):
+    return signals.excessive_caps(table_events(spark, folder))
+
+
+@query
+def detect_mention_storm(spark, folder):
+    """The given texts mention nobody, so each post mentions the hosts it links to."""
+    named = F.transform("links", lambda link: F.concat(F.lit(" @"), host(link)))
+    events = table_events(spark, folder).withColumn("text", F.concat("text", F.array_join(named, "")))
+    return plain(signals.mention_storms(events, *settings.STORM))
+
+
+@query
+def detect_repetition_exact(spark, folder):
+    return signals.repeated_posts(table_events(spark, folder))
+
+
 # Reads
 
 @query
@@ -470,7 +488,7 @@ def _stream_chain(spark) -> list:
     rules = settings.RULES
     kept = scratch_path(spark, "stream-rate")
     return [SpamDetector(rules.spam()), LinkDetector(rules.links()),
-            StreamRate(spark, kept, rules.rate(), 10 * MINUTE)]
+            StreamRate(spark, kept, rules.rate(), 10 * MINUTE, span=settings.SPAN)]
 
 
 @query
