@@ -357,8 +357,10 @@ def run_summary(spark, folder):
     landed = _partly_stored(spark, folder)
     at = F.unix_micros(F.col("ts").cast("timestamp"))
     span = table(spark, folder, "events").agg(((F.max(at) - F.min(at)) / 1000000).alias("seconds"))
-    report = rollups.summary(counts, landed.agg(F.sum("landed")).scalar(),
-                             landed.agg(F.sum("missing")).scalar(), span.scalar())
+    # One subquery, which both uses share.
+    sums = landed.agg(F.struct(F.sum("landed").alias("landed"),
+                               F.sum("missing").alias("missing")).alias("sums")).scalar()
+    report = rollups.summary(counts, sums["landed"], sums["missing"], span.scalar())
     return report.select(*[F.round(c, 9).alias(c) if t == "double" else F.col(c)
                            for c, t in report.dtypes])
 
@@ -397,14 +399,11 @@ def sampled_percentiles(spark, folder):
 @query
 def histogram_exponential(spark, folder):
     events = table(spark, folder, "events")
-    result = None
-    for name, bounds in (("processing", rollups.PROCESSING_BOUNDS),
-                         ("batch", rollups.BATCH_BOUNDS),
-                         ("flag_write", rollups.FLAG_WRITE_BOUNDS)):
-        one = rollups.histogram(events, latency(events), rollups.exponential_bounds(*bounds))
-        one = one.select(F.lit(name).alias("series"), "le", "count")
-        result = one if result is None else result.unionByName(one)
-    return result
+    return rollups.histograms(events, {
+        name: (latency(events), rollups.exponential_bounds(*bounds))
+        for name, bounds in (("processing", rollups.PROCESSING_BOUNDS),
+                             ("batch", rollups.BATCH_BOUNDS),
+                             ("flag_write", rollups.FLAG_WRITE_BOUNDS))})
 
 
 @query

@@ -165,13 +165,21 @@ def exponential_bounds(start: float, factor: float, count: int) -> list[float]:
 
 def histogram(df: DataFrame, value: Column, bounds: list[float]) -> DataFrame:
     """Cumulative counts per upper bound (inclusive), and over all values."""
-    counts = df.select(value.alias("v")).agg(
-        *[F.count_if(F.col("v") <= b).alias(f"b{i}") for i, b in enumerate(bounds)],
-        F.count("v").alias("all"))
-    rows = [F.struct(F.lit(f"{b:.15g}").alias("le"), F.col(f"b{i}").alias("count"))
-            for i, b in enumerate(bounds)]
-    rows.append(F.struct(F.lit("+Inf").alias("le"), F.col("all").alias("count")))
-    return counts.select(F.inline(F.array(*rows)))
+    return histograms(df, {"": (value, bounds)}).drop("series")
+
+
+def histograms(df: DataFrame, series: dict[str, tuple[Column, list[float]]]) -> DataFrame:
+    """The histogram of each named series, out of one scan."""
+    values = df.select(*[value.alias(f"v{n}") for n, (value, _) in enumerate(series.values())])
+    counts, rows = [], []
+    for n, (name, (_, bounds)) in enumerate(series.items()):
+        v = F.col(f"v{n}")
+        counts += [F.count_if(v <= b).alias(f"v{n}_{i}") for i, b in enumerate(bounds)]
+        counts.append(F.count(v).alias(f"v{n}_{len(bounds)}"))
+        rows += [F.struct(F.lit(name).alias("series"), F.lit(le).alias("le"),
+                          F.col(f"v{n}_{i}").alias("count"))
+                 for i, le in enumerate([*[f"{b:.15g}" for b in bounds], "+Inf"])]
+    return values.agg(*counts).select(F.inline(F.array(*rows)))
 
 
 def windowed_quantiles(df: DataFrame, ts: str, value: Column, bounds: list[float],
@@ -217,23 +225,20 @@ def trips_by_window(hits: DataFrame) -> DataFrame:
 
 
 def key_skew(df: DataFrame, keys: dict[str, list[Column]], buckets: int = 64) -> DataFrame:
-    """How evenly rows spread over each named key and over hashed buckets of it."""
-    reports = [_skew(df, name, columns, buckets) for name, columns in keys.items()]
-    result = reports[0]
-    for report in reports[1:]:
-        result = result.unionByName(report)
-    return result
-
-
-def _skew(df, name, columns, buckets):
-    text = F.concat_ws("|", *[c.cast("string") for c in columns])
-    sizes = df.groupBy(text.alias("_key")).agg(F.count(F.lit(1)).alias("n"))
-    hashed = F.conv(F.left(F.md5("_key"), F.lit(8)), 16, 10).cast("long") % buckets
-    return (sizes.groupBy(hashed.alias("_bucket"))
+    """How evenly rows spread over each named key and over hashed buckets of it, out of one scan. An
+    empty input has no report."""
+    each = [F.struct(F.lit(name).alias("key"),
+                     F.concat_ws("|", *[c.cast("string") for c in columns]).alias("_value"))
+            for name, columns in keys.items()]
+    sizes = (df.select(F.inline(F.array(*each))).groupBy("key", "_value")
+             .agg(F.count(F.lit(1)).alias("n")))
+    hashed = F.conv(F.left(F.md5("_value"), F.lit(8)), 16, 10).cast("long") % buckets
+    return (sizes.groupBy("key", hashed.alias("_bucket"))
             .agg(F.count(F.lit(1)).alias("k"), F.sum("n").alias("rows"), F.max("n").alias("top"))
+            .groupBy("key")
             .agg(F.sum("k").alias("keys"), F.sum("rows").alias("rows"),
                  F.max("top").alias("largest_key"), F.count(F.lit(1)).alias("buckets_hit"),
                  F.max("rows").alias("largest_bucket"))
-            .select(F.lit(name).alias("key"), "keys", "rows", "largest_key",
+            .select("key", "keys", "rows", "largest_key",
                     (F.col("largest_key") * F.col("keys") / F.col("rows")).alias("largest_to_mean"),
                     "buckets_hit", "largest_bucket"))
