@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from tidewatch.llm import decontaminate, lm_score, packing, quality_rules, secret_scan, simhash, substrings, token_files, toxicity, warc
+from tidewatch.llm import decontaminate, lm_score, packing, quality_rules, secret_scan, simhash, substrings, term_scan, token_files, toxicity, warc
 from tidewatch.llm.frames import table
 from tidewatch.plans.durable import scratch_path
 
@@ -136,3 +136,34 @@ def op10_simhash(spark, folder):
     linked = simhash.simhash_components(table(spark, folder, "documents"), shingle=3, max_bits=2)
     return linked.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),
                          "component_id")
+
+
+@query
+def op13_term_scan(spark, folder):
+    return term_scan.ranked(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+ORACLE["op13_term_scan"] = """
+WITH doc AS (
+  SELECT doc_id, regexp_extract_all(
+           translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+           '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS terms FROM documents),
+total AS (SELECT count(*) FILTER (len(terms) > 0) AS n_docs,
+                 CAST(sum(len(terms)) AS BIGINT) AS n_all FROM doc),
+item AS (
+  SELECT item_id, term, count(*) AS times FROM (SELECT item_id, unnest(regexp_extract_all(
+           translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+           '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark)
+  GROUP BY ALL),
+tf AS (SELECT doc_id, 25 + (75 * len(terms) * n_docs) // n_all AS m, term, count(*) AS tf
+       FROM (SELECT doc_id, terms, unnest(terms) AS term FROM doc), total
+       WHERE term IN (SELECT term FROM item) GROUP BY ALL),
+weight AS (SELECT term, CAST(floor(1000 * ln((2 * n_docs + 2) / (2 * df + 1))) AS BIGINT) AS w
+           FROM (SELECT term, count(*) AS df FROM tf GROUP BY term), total),
+scored AS (SELECT item_id, doc_id,
+                  CAST(sum(times * w * ((1000000000 * tf) // (1000 * tf + 8 * m))) AS BIGINT) AS score
+           FROM tf JOIN weight USING (term) JOIN item USING (term) GROUP BY ALL),
+placed AS (SELECT item_id, row_number() OVER (PARTITION BY item_id
+                                              ORDER BY score DESC, doc_id) AS rank, doc_id, score
+           FROM scored WHERE score > 0)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM placed WHERE rank <= 10"""
