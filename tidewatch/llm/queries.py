@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from tidewatch.llm import decontaminate, lm_score, packing, quality_rules, secret_scan, simhash, substrings, term_scan, token_files, toxicity, warc
+from tidewatch.llm import decontaminate, license_scan, lm_score, packing, quality_rules, secret_scan, simhash, substrings, term_scan, token_files, toxicity, warc, whiten
 from tidewatch.llm.frames import table
 from tidewatch.plans.durable import scratch_path
 
@@ -138,6 +138,16 @@ def op10_simhash(spark, folder):
                          "component_id")
 
 
+@query
+def op11_whitening(spark, folder):
+    return whiten.whitened(table(spark, folder, "embeddings"), components=4, scale=256)
+
+
+@query
+def op12_license_scan(spark, folder):
+    return license_scan.report(license_scan.scan_licenses(table(spark, folder, "documents")))
+
+
 @query
 def op13_term_scan(spark, folder):
     return term_scan.ranked(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
