@@ -1,14 +1,18 @@
 """Token files and packing against the tokenizers library itself."""
 
 import zlib
+from functools import lru_cache
 
 import numpy as np
+import public_tokenizers
+import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 from hypothesis import given, settings, strategies as st
+from tokenizers import Tokenizer
 
 from tests.llm.corpora import FOLDER, clashing, documents, prose
-from tidewatch.llm import packing, token_files
+from tidewatch.llm import packing, token_files, token_ids
 from tidewatch.llm.frames import table
 from tidewatch.llm.queries import QUERIES
 from tidewatch.llm.token_ids import encoder
@@ -18,21 +22,58 @@ ODD = ["", " ", "a", "a  b", " a ", "a \n b", "\n", "it's 5 o'clock", "<|endofte
        "İ İx, aΣ Σ.", "a b 　c", "x\x1c y", "漢字 かな", "a,b. c!! \U0001f600", "word " * 5000]
 
 
+@lru_cache
+def library(name):
+    return Tokenizer.from_file(public_tokenizers.path(name))
+
+
 def direct(name, texts):
-    tool = encoder(name).tokenizer
-    return [e.ids for e in tool.encode_batch(texts, add_special_tokens=False)]
+    return [e.ids for e in library(name).encode_batch(texts, add_special_tokens=False)]
+
+
+def by_words(name, texts):
+    ids, ends = encoder(name).encode(pa.array(texts, pa.string()))
+    return [ids[a:b].tolist() for a, b in zip(ends, ends[1:])]
 
 
 @pytest.mark.parametrize("name", [BYTES, WORD])
 def test_word_by_word_equals_the_library(name):
-    assert [list(map(int, x)) for x in encoder(name).encode(ODD)] == direct(name, ODD)
+    assert by_words(name, ODD) == direct(name, ODD)
+    assert by_words(name, ODD[::-1]) == direct(name, ODD[::-1])  # what was met before is the same
+    assert by_words(name, []) == []
+
+
+@pytest.mark.parametrize("name", [BYTES, WORD])
+def test_special_tokens_are_read_as_the_library_does(name):
+    texts = ["a <|endoftext|> b", "<|endoftext|>", "x<|startoftext|>y", "A <|ENDOFTEXT|> b", "<|endof text|>"]
+    assert by_words(name, texts) == direct(name, texts)
+    assert 50256 in by_words(BYTES, texts)[0] and 49407 in by_words(WORD, texts)[0]
+
+
+def test_forgetting_changes_nothing(monkeypatch):
+    monkeypatch.setattr(token_ids, "REMEMBERED", 3)
+    for name in (BYTES, WORD):
+        tool, texts = token_ids.Encoder(name), [prose(i, 30) for i in range(4)]
+        for _ in range(3):
+            ids, ends = tool.encode(pa.array(texts))
+            assert [ids[a:b].tolist() for a, b in zip(ends, ends[1:])] == direct(name, texts)
+
+
+def test_slices_hold_every_row_once(monkeypatch):
+    monkeypatch.setattr(token_ids, "SLICE_BYTES", 100)
+    for sizes in ([], [0], [0, 0, 0], [500], [30] * 20, [99, 1, 1, 250, 0, 100, 3]):
+        batch = pa.record_batch([pa.array(range(len(sizes)), pa.int64()),
+                                 pa.array(["x" * n for n in sizes], pa.string())], names=["doc_id", "text"])
+        found = list(token_ids.slices(batch))
+        assert [i for s in found for i in s["doc_id"].to_pylist()] == list(range(len(sizes)))
+        assert all(len(s) == 1 or sum(map(len, s["text"].to_pylist()[:-1])) < 200 for s in found)
 
 
 @settings(max_examples=150, deadline=None)
 @given(st.lists(st.text(alphabet="aB é́'!.1\n\t  Σİ漢", max_size=20), min_size=1, max_size=5))
 def test_any_text_equals_the_library(texts):
     for name in (BYTES, WORD):
-        assert [list(map(int, x)) for x in encoder(name).encode(texts)] == direct(name, texts)
+        assert by_words(name, texts) == direct(name, texts)
 
 
 def crc(ids):
@@ -75,9 +116,11 @@ def test_token_files_read_in_part(spark, tmp_path):
 
 @pytest.mark.parametrize("n", [1, 2, 3, 7, 8, 4095, 4096, 4097, 13000])
 def test_pieces(n):
-    found = packing.pieces(n, 4096)
-    assert [a for a, _ in found] == [0, *np.cumsum([b for _, b in found])[:-1]]
-    assert sum(b for _, b in found) == n and all(b & (b - 1) == 0 and b <= 4096 for _, b in found)
+    owner, length = packing.pieces(np.array([n, 5, n]), 4096)
+    for i, size in enumerate((n, 5, n)):
+        own = length[owner == i].tolist()
+        assert own == [4096] * (size // 4096) + [1 << b for b in range(11, -1, -1) if size >> b & 1]
+    assert owner.tolist() == sorted(owner.tolist())
 
 
 def test_packing_query(spark):

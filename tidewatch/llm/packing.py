@@ -20,26 +20,26 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from tidewatch.llm.frames import texts
-from tidewatch.llm.token_ids import crc32, encoder
+from tidewatch.llm.token_ids import crc32, encoder, slices, with_end
 
 SCHEMA = ("doc_id long, start long, ids_crc32 long, doc_tokens long, part int, place long, "
           "tokens array<int>, length int")
-SLICE = 256
 
 
-def pieces(n: int, longest: int) -> list[tuple[int, int]]:
-    """`start, length` of the pieces of `n` ids; `longest` is a power of two."""
-    out, at = [], 0
-    for _ in range(n // longest):
-        out.append((at, longest))
-        at += longest
+def pieces(sizes: np.ndarray, longest: int) -> tuple[np.ndarray, np.ndarray]:
+    """The pieces of documents of `sizes` ids, in order: of which document each is, and its length.
+    `longest` is a power of two."""
+    every = np.arange(len(sizes))
+    owners, lengths = [np.repeat(every, sizes // longest)], [np.full((sizes // longest).sum(), longest)]
     length = longest >> 1
-    while at < n:
-        if n - at >= length:
-            out.append((at, length))
-            at += length
+    while length:
+        having = every[(sizes & length) > 0]
+        owners.append(having)
+        lengths.append(np.full(len(having), length))
         length >>= 1
-    return out
+    owner, length = np.concatenate(owners), np.concatenate(lengths)
+    order = np.argsort(owner, kind="stable")  # falling lengths within a document
+    return owner[order], length[order]
 
 
 def write_sequences(df: DataFrame, path: str, vocabulary: str = "word_bpe_49k.json", end: int = 2,
@@ -50,26 +50,25 @@ def write_sequences(df: DataFrame, path: str, vocabulary: str = "word_bpe_49k.js
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tool, part = encoder(vocabulary), TaskContext.get().partitionId()
-        places: dict[int, int] = {}
+        placed: dict[int, int] = {}
         for batch in batches:
-            for at in range(0, batch.num_rows, SLICE):
-                rows, out, ids = batch.slice(at, SLICE), [], []
-                for doc_id, x in zip(rows["doc_id"].to_pylist(),
-                                     tool.encode(rows["text"].to_pylist())):
-                    x = np.append(x, np.uint32(end))
-                    for start, length in pieces(len(x), longest):
-                        piece = x[start:start + length]
-                        place = places[length] = places.get(length, -1) + 1
-                        out.append((doc_id, start, crc32(piece), len(x), part, place, length))
-                        ids.append(piece)
-                columns = [list(c) for c in zip(*out)]
-                ends = np.concatenate([[0], np.cumsum([len(x) for x in ids])])
-                lists = pa.ListArray.from_arrays(
-                    pa.array(ends, pa.int32()), pa.array(np.concatenate(ids).astype(np.int32)))
-                kinds = [pa.int64()] * 4 + [pa.int32(), pa.int64()]
+            for rows in slices(batch):
+                ids, ends = with_end(*tool.encode(rows["text"]), end)
+                sizes = np.diff(ends)
+                owner, length = pieces(sizes, longest)
+                cuts = np.concatenate([[0], np.cumsum(length)])
+                place = np.zeros(len(length), dtype=np.int64)
+                for each in np.unique(length).tolist():
+                    same = np.flatnonzero(length == each)
+                    place[same] = placed.get(each, 0) + np.arange(len(same))
+                    placed[each] = placed.get(each, 0) + len(same)
+                sums = [crc32(ids[a:b]) for a, b in zip(cuts, cuts[1:])]
+                lists = pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(ids.astype(np.int32)))
                 yield pa.RecordBatch.from_arrays(
-                    [*[pa.array(c, k) for c, k in zip(columns, kinds)], lists,
-                     pa.array(columns[-1], pa.int32())],
+                    [rows["doc_id"].take(pa.array(owner)), pa.array(cuts[:-1] - ends[owner]),
+                     pa.array(sums, pa.int64()), pa.array(sizes[owner]),
+                     pa.array(np.full(len(length), part, dtype=np.int32)), pa.array(place), lists,
+                     pa.array(length.astype(np.int32))],
                     names=["doc_id", "start", "ids_crc32", "doc_tokens", "part", "place", "tokens",
                            "length"])
 

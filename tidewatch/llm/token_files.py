@@ -21,11 +21,9 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from tidewatch.llm.frames import texts
-from tidewatch.llm.token_ids import crc32, encoder
+from tidewatch.llm.token_ids import crc32, encoder, slices, with_end
 
 SCHEMA = "doc_id long, part int, first long, n_tokens long, tokens array<int>"
-#: Documents that are encoded at a time.
-SLICE = 256
 
 
 def encoded(docs: DataFrame, vocabulary: str, end: int) -> DataFrame:
@@ -33,18 +31,14 @@ def encoded(docs: DataFrame, vocabulary: str, end: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tool, part, first = encoder(vocabulary), TaskContext.get().partitionId(), 0
         for batch in batches:
-            for at in range(0, batch.num_rows, SLICE):
-                rows = batch.slice(at, SLICE)
-                ids = [np.append(x, np.uint32(end)) for x in tool.encode(rows["text"].to_pylist())]
-                sizes = np.array([len(x) for x in ids], dtype=np.int64)
-                before = np.concatenate([[0], np.cumsum(sizes)])
-                lists = pa.ListArray.from_arrays(
-                    pa.array(before, pa.int32()), pa.array(np.concatenate(ids).astype(np.int32)))
+            for rows in slices(batch):
+                ids, ends = with_end(*tool.encode(rows["text"]), end)
+                lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids.astype(np.int32)))
                 yield pa.RecordBatch.from_arrays(
-                    [rows["doc_id"], pa.array(np.full(len(ids), part, dtype=np.int32)),
-                     pa.array(first + before[:-1]), pa.array(sizes), lists],
+                    [rows["doc_id"], pa.array(np.full(len(rows), part, dtype=np.int32)),
+                     pa.array(first + ends[:-1]), pa.array(np.diff(ends)), lists],
                     names=["doc_id", "part", "first", "n_tokens", "tokens"])
-                first += int(before[-1])
+                first += int(ends[-1])
 
     return docs.select("doc_id", "text").mapInArrow(run, SCHEMA)
 

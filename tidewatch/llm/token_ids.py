@@ -1,4 +1,8 @@
-"""Texts to token ids with the tokenizers library, one lookup per word that was met before."""
+"""Texts to token ids with the tokenizers library, one lookup per word that was met before.
+
+Words of many texts are taken together: Arrow cuts the texts and finds the distinct words, only new ones go
+to the library, and the ids of all words are put together by their places in one array.
+"""
 
 import os
 import string
@@ -7,9 +11,13 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 #: Words of which a Python worker remembers the ids. Beyond it, it forgets all and starts again.
 REMEMBERED = 1_200_000
+#: Bytes of text that are encoded at a time; a longer text is one slice.
+SLICE_BYTES = 16 << 20
 
 
 def vocabulary(name: str) -> str:
@@ -17,108 +25,181 @@ def vocabulary(name: str) -> str:
     import public_tokenizers
     return public_tokenizers.path(name)
 
-_ODD = [pair for c in map(chr, range(0x3001)) if c.isspace() for pair in (f"{c} ", f" {c}")]
+
+def slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """`batch`, which has a column `text`, in parts of about `SLICE_BYTES`."""
+    before = np.cumsum(pc.binary_length(batch["text"]).to_numpy(zero_copy_only=False))
+    cuts = np.unique(np.searchsorted(before, np.arange(SLICE_BYTES, before[-1] + SLICE_BYTES, SLICE_BYTES))
+                     if len(before) else [])
+    start = 0
+    for end in [*(min(int(c) + 1, batch.num_rows) for c in cuts), batch.num_rows]:
+        if end > start:
+            yield batch.slice(start, end - start)
+            start = end
+
+
 _PUNCTUATION = string.punctuation
-#: Letters below it fold to one letter and do not combine with what follows.
-_FOLDS_APART = "\u0130"
+# All characters that any of the libraries takes for white space.
+_SPACES = "\\t-\\r\\x1c-\\x20\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200b}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}"
+_ODD = f"^ | $|[{_SPACES}] | [{_SPACES}]"
+#: Letters that fold to one letter and do not combine with what follows.
+_LETTERS = "[A-Za-z\\x{aa}\\x{b5}\\x{ba}\\x{c0}-\\x{d6}\\x{d8}-\\x{f6}\\x{f8}-\\x{12f}]+"
+_LINE = 1000
+
+
+class Store:
+    """Arrays of ids by row number."""
+
+    def __init__(self):
+        self.ids = np.zeros(1 << 16, dtype="<u4")
+        self.starts = np.zeros((1 << 12) + 1, dtype=np.int64)
+        self.rows = 0
+
+    def add(self, ids: np.ndarray, sizes: np.ndarray) -> int:
+        """The number of the first of the rows that are added."""
+        first, used = self.rows, int(self.starts[self.rows])
+        while used + len(ids) > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
+        while first + len(sizes) + 1 > len(self.starts):
+            self.starts = np.concatenate([self.starts, np.zeros_like(self.starts)])
+        self.ids[used:used + len(ids)] = ids
+        self.rows += len(sizes)
+        self.starts[first + 1:self.rows + 1] = used + np.cumsum(sizes)
+        return first
+
+    def sizes(self, rows: np.ndarray) -> np.ndarray:
+        return self.starts[rows + 1] - self.starts[rows]
+
+    def gather(self, rows: np.ndarray) -> np.ndarray:
+        """The ids of the rows, one after another."""
+        sizes = self.sizes(rows)
+        shift = self.starts[rows] - (np.cumsum(sizes) - sizes)
+        return self.ids[np.arange(sizes.sum()) + np.repeat(shift, sizes)]
 
 
 class Encoder:
     """Encodes whole texts, word by word.
 
-    Neither of the two kinds of vocabulary here joins characters across a single space between two
-    characters that are not white space, so a text is cut there and each piece is encoded by itself,
-    once. A text with any other white space next to a space is cut only where this holds.
+    The byte-level vocabulary does not join characters across a single space between two characters that are
+    not white space; the other kind drops white space and joins nothing across it. So texts are cut there.
+    A text that has other white space next to a space (byte-level only), or that names a special token, is
+    encoded by the library in one piece.
     """
 
     def __init__(self, name: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(vocabulary(name))
-        self.tokenizer.encode_special_tokens = True  # their names in a text are ordinary text
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         tokens = self.tokenizer.get_vocab(with_added_tokens=False)
         size = max(tokens.values()) + 1
-        self.starts, self.ends = np.zeros(size, dtype=bool), np.zeros(size, dtype=bool)
+        self.begins, self.ends = np.zeros(size, dtype=bool), np.zeros(size, dtype=bool)
         for token, number in tokens.items():
-            self.starts[number] = token.startswith("Ġ")
+            self.begins[number] = token.startswith("Ġ")
             self.ends[number] = token.endswith("</w>")
         self.byte_level = not self.ends.any()
-        self.known: dict[str, bytes] = {}
-        self.tails: dict[str, bytes] = {}
-
-    def pieces(self, text: str) -> list[str]:
-        parts = text.split(" ")
-        if parts[0] and parts[-1] and not any(pair in text for pair in _ODD):
-            return parts
-        out: list[str] = []
-        for part in parts:
-            # Not a cut: a space next to white space. The pieces beside it are put together again.
-            if out and (not part or not out[-1] or part[0].isspace() or out[-1][-1].isspace()):
-                out[-1] = f"{out[-1]} {part}"
-            else:
-                out.append(part)
-        return out
-
-    def encode(self, texts: list[str]) -> Iterator[np.ndarray]:
-        """The ids of each text, as unsigned 32-bit numbers."""
-        if len(self.known) > REMEMBERED:
-            self.known.clear()
-            self.tails.clear()
-        known = self.known
-        for text in texts:
-            cut = self.pieces(text)
-            first = cut.pop(0)
-            new = list({piece for piece in cut if piece not in known})
-            if new:
-                self._learn(new)
-            head = self._plain(first)
-            yield np.frombuffer(head + b"".join([known[piece] for piece in cut]), dtype="<u4")
-
-    def _plain(self, text: str) -> bytes:
-        if not text:
-            return b""
-        ids = self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids
-        return np.array(ids, dtype="<u4").tobytes()
-
-    def _learn(self, pieces: list[str]) -> None:
-        """Pieces that follow a space. Plain words are encoded in one go, as the ids show where each
-        begins, and so are words before punctuation, whose ids come after those of the word."""
-        known, tails = self.known, {}
-        for piece in pieces:
-            word = piece.rstrip(_PUNCTUATION)
-            if word != piece and word and max(word) < _FOLDS_APART and word.isalpha():
-                tails[piece] = word
-        words = {tails.get(piece, piece) for piece in pieces}
-        words = {w for w in words if w not in known and (
-            " " not in w if self.byte_level else w.isalpha())}
-        # The other kind of vocabulary folds case, so words that differ in it alone are learned once.
-        folded = {} if self.byte_level else {
-            w: w.lower() for w in words if max(w) < _FOLDS_APART and not w.islower()}
-        self._learn_words([w for w in {folded.get(w, w) for w in words} if w not in known])
-        known.update((w, known[f]) for w, f in folded.items())
-        for piece in pieces:
-            if piece in tails:
-                word, tail = tails[piece], piece[len(tails[piece]):]
-                if tail not in self.tails:
-                    self.tails[tail] = self._plain(tail)
-                known[piece] = known[word] + self.tails[tail]
-            elif piece not in known:
-                known[piece] = self._plain(" " + piece)
-
-    def _learn_words(self, words: list[str]) -> None:
-        for at in range(0, len(words), 1000):
-            part = words[at:at + 1000]
-            line = " " + " ".join(part)
-            ids = np.frombuffer(self._plain(line), dtype="<u4")
-            if self.byte_level:
-                cuts = np.flatnonzero(self.starts[ids])
-            else:
-                cuts = np.concatenate([[0], np.flatnonzero(self.ends[ids])[:-1] + 1])
+        self._forget()
+
+    def _forget(self) -> None:
+        self.store = Store()
+        #: Stems after a space, words at the start of a text, and punctuation after a stem.
+        self.words: dict[str, int] = {}
+        self.heads: dict[str, int] = {}
+        self.tails: dict[str, int] = {}
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, one after another, and where each text begins and the last one ends."""
+        if len(self.words) + len(self.heads) > REMEMBERED:
+            self._forget()
+        whole = np.zeros(len(texts), dtype=bool)
+        for name in self.special:
+            whole |= _mask(pc.match_substring(texts, name, ignore_case=True))
+        if self.byte_level:
+            whole |= _mask(pc.match_substring_regex(texts, _ODD))
+        if not whole.any():
+            return self._by_words(texts)
+        parts: list = [None] * len(texts)
+        ids, ends = self._by_words(texts.filter(pa.array(~whole)))
+        for i, (a, b) in zip(np.flatnonzero(~whole), zip(ends, ends[1:])):
+            parts[i] = ids[a:b]
+        at = np.flatnonzero(whole)
+        for i, found in zip(at, self._library(texts.take(pa.array(at)).to_pylist())):
+            parts[i] = np.array(found, dtype="<u4")
+        return np.concatenate(parts), _ends([len(p) for p in parts])
+
+    def _library(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _by_words(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        lists = pc.split_pattern(texts, " ") if self.byte_level else pc.ascii_split_whitespace(texts)
+        cuts, words = lists.offsets.to_numpy().astype(np.int64), lists.values
+        coded = words.dictionary_encode()
+        which = coded.indices.to_numpy().astype(np.int64)
+        found = Store()  # the ids of the distinct words
+        found.add(*self._words(coded.dictionary))
+        if self.byte_level:  # every text has a first word, be it empty, that follows no space
+            heads = words.take(pa.array(cuts[:-1]))
+            rows = self._rows(heads, self.heads, self._library)
+            which[cuts[:-1]] = found.add(self.store.gather(rows), self.store.sizes(rows)) + np.arange(len(rows))
+        return found.gather(which), _ends(found.sizes(which))[cuts]
+
+    def _words(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids and their number of distinct words after a space. Punctuation has ids of its own, after
+        those of its word; and the kind of vocabulary that folds case has the same ids for words that
+        differ in it alone. So what is remembered are stems and punctuation."""
+        stems = pc.utf8_rtrim(words, characters=_PUNCTUATION)
+        plain = pc.match_substring_regex(stems, f"^{_LETTERS}$")
+        tails = pc.if_else(plain, pc.replace_substring_regex(words, f"^{_LETTERS}", ""), "")
+        stems = pc.if_else(plain, stems if self.byte_level else pc.utf8_lower(stems), words)
+        rows = np.stack([self._rows(stems, self.words, self._spaced),
+                         self._rows(tails, self.tails, self._library)], axis=1)
+        sizes = self.store.sizes(rows.ravel()).reshape(-1, 2).sum(axis=1)
+        return self.store.gather(rows.ravel()), sizes
+
+    def _rows(self, words: pa.Array, memory: dict[str, int], encode) -> np.ndarray:
+        """The rows of the store that hold the words' ids; `encode` gives those of new ones."""
+        coded = words.dictionary_encode()
+        distinct = coded.dictionary.to_pylist()
+        rows = np.fromiter((memory.get(w, -1) for w in distinct), dtype=np.int64, count=len(distinct))
+        new = np.flatnonzero(rows < 0)
+        if len(new):
+            unknown = [distinct[i] for i in new]
+            rows[new] = self._stored(encode(unknown))
+            memory.update(zip(unknown, rows[new].tolist()))
+        return rows[coded.indices.to_numpy()]
+
+    def _stored(self, found: list[list[int]] | np.ndarray) -> np.ndarray:
+        if isinstance(found, np.ndarray):
+            return found
+        ids = np.fromiter((i for one in found for i in one), dtype="<u4")
+        return self.store.add(ids, np.array([len(one) for one in found])) + np.arange(len(found))
+
+    def _spaced(self, words: list[str]) -> np.ndarray:
+        """Rows of words after a space. They are encoded in lines, as the ids show where each begins; with
+        the vocabulary that folds case only words of letters are."""
+        rows = np.zeros(len(words), dtype=np.int64)
+        fits = np.array([bool(w) if self.byte_level else w.isalpha() for w in words], dtype=bool)
+        lined, single = np.flatnonzero(fits), np.flatnonzero(~fits)
+        for at in range(0, len(lined), _LINE):
+            part = lined[at:at + _LINE]
+            ids = np.array(self._library([" " + " ".join([words[i] for i in part])])[0], dtype="<u4")
+            cuts = (np.flatnonzero(self.begins[ids]) if self.byte_level else
+                    np.concatenate([[0], np.flatnonzero(self.ends[ids])[:-1] + 1]))
             if len(cuts) == len(part):  # each word has one mark at least
-                raw, ends = ids.tobytes(), [*(4 * cuts).tolist(), 4 * len(ids)]
-                self.known.update((w, raw[a:b]) for w, a, b in zip(part, ends, ends[1:]))
+                rows[part] = self.store.add(ids, np.diff(np.append(cuts, len(ids)))) + np.arange(len(part))
             else:
-                self.known.update((w, self._plain(" " + w)) for w in part)
+                single = np.concatenate([single, part])
+        if len(single):
+            rows[single] = self._stored(self._library([" " + words[i] if words[i] else "" for i in single]))
+        return rows
+
+
+def _mask(values) -> np.ndarray:
+    return values.to_numpy(zero_copy_only=False).astype(bool)
+
+
+def _ends(sizes) -> np.ndarray:
+    return np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)])
 
 
 @lru_cache(maxsize=4)
@@ -127,6 +208,11 @@ def encoder(name: str) -> Encoder:
     return Encoder(name)
 
 
+def with_end(ids: np.ndarray, ends: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:
+    """`encode`'s result with the id `end` after each text."""
+    return np.insert(ids, ends[1:], np.uint32(end)), ends + np.arange(len(ends))
+
+
 def crc32(ids: np.ndarray) -> int:
     """Of the ids as little-endian unsigned 32-bit integers."""
-    return zlib.crc32(np.ascontiguousarray(ids, dtype="<u4").tobytes())
+    return zlib.crc32(np.ascontiguousarray(ids, dtype="<u4").data)
