@@ -15,6 +15,7 @@ from tidewatch.operators.reconcile import reconcile
 from tidewatch.plans import layout
 from tidewatch.plans.latest import GROUP_LIMIT, first_per_key, latest_by_key
 from tidewatch.rules import RuleSet, SpamRule
+from tidewatch.sinks.commits import CommitLog, Conflict, Record, Written
 from tidewatch.sinks.tables import CountSink, TableSink, create_tables, write_mode
 from tidewatch.sources.events import parsed, quarantined, read_events, valid
 from tidewatch.streaming.ingest import IngestStep
@@ -45,7 +46,7 @@ def test_write_mode(spark, tmp_path):
     assert [write_mode(m) for m in ("full", "did_only", "other", "")] == [
         "full", "did_only", "full", "full"]
     TableSink(str(tmp_path), "did_only").write_events(events(spark, event()))
-    assert [p.name for p in tmp_path.iterdir()] == ["events_by_did"]
+    assert sorted(p.name for p in tmp_path.iterdir()) == ["_commits", "events_by_did"]
 
 
 def test_replays_are_idempotent(spark, tmp_path):
@@ -76,13 +77,143 @@ def test_writes_without_a_number_add_up(spark, tmp_path):
 
 def test_streams_and_jobs_do_not_meet(spark, tmp_path):
     sink = TableSink(str(tmp_path), "did_only")
-    one, two = (sink.for_stream(spark, name) for name in ("first", "second"))
-    for writer, name in ((one, "a"), (two, "b"), (one, "c"), (sink.for_stream(spark, "second"), "d")):
+    one, two = (sink.for_stream(name) for name in ("first", "second"))
+    for writer, name in ((one, "a"), (two, "b"), (one, "c"), (sink.for_stream("second"), "d")):
         writer.write_events(events(spark, event(name)), 0)
     sink.write_events(events(spark, event("e")))
     assert {r.id for r in sink.events_by_did(spark).collect()} == {"c", "d", "e"}
 
 
+def texts(sink, spark):
+    return {r.id: r.text for r in sink.events_by_did(spark).collect()}
+
+
+def test_a_stream_goes_on_after_a_compaction(spark, tmp_path):
+    sink = TableSink(str(tmp_path), "did_only")
+    stream = sink.for_stream("s")
+    for i in range(3):
+        stream.write_events(events(spark, event(f"e{i}", seconds=i)), i)
+    sink.compact(spark, timedelta(0))
+    stream.write_events(events(spark, event("e3", seconds=3)), 3)
+    assert set(texts(sink, spark)) == {"e0", "e1", "e2", "e3"}
+    sink.compact(spark, timedelta(0))
+    stream.write_events(events(spark, event("e3", seconds=3)), 3)    # the last batch comes again
+    assert set(texts(sink, spark)) == {"e0", "e1", "e2", "e3"}
+
+
+def test_the_row_that_was_committed_last_is_read(spark, tmp_path):
+    sink = TableSink(str(tmp_path), "did_only")
+    stream = sink.for_stream("s")
+    stream.write_events(events(spark, event("e", text="stream 0")), 0)
+    sink.write_events(events(spark, event("e", text="job")))
+    assert texts(sink, spark) == {"e": "job"}
+    stream.write_events(events(spark, event("e", text="stream 1")), 1)
+    assert texts(sink, spark) == {"e": "stream 1"}
+    sink.compact(spark, timedelta(0))
+    sink.write_events(events(spark, event("e", text="job again")))
+    assert texts(sink, spark) == {"e": "job again"}
+
+
+def test_rows_written_during_a_compaction_stay_the_newer_ones(spark, tmp_path, monkeypatch):
+    sink = TableSink(str(tmp_path), "did_only")
+    for i in range(3):
+        sink.write_events(events(spark, event("e", text=f"t{i}"), event(f"e{i}")))
+    write, other = TableSink.write_set, TableSink(str(tmp_path), "did_only")
+
+    def late(self, *args):
+        one = write(self, *args)
+        if self is sink:
+            other.write_events(events(spark, event("e", text="meanwhile")))
+        return one
+
+    monkeypatch.setattr(TableSink, "write_set", late)
+    sink.compact(spark, timedelta(0))
+    assert texts(sink, spark)["e"] == "meanwhile" and len(texts(sink, spark)) == 4
+
+
+def test_a_compaction_whose_sets_were_replaced_fails(spark, tmp_path, monkeypatch):
+    sink = TableSink(str(tmp_path), "did_only")
+    stream = sink.for_stream("s")
+    for i in range(2):
+        stream.write_events(events(spark, event(f"e{i}")), i)
+    write = TableSink.write_set
+
+    def late(self, *args):
+        one = write(self, *args)
+        if self is sink:
+            stream.write_events(events(spark, event("e9")), 1)
+        return one
+
+    monkeypatch.setattr(TableSink, "write_set", late)
+    with pytest.raises(Conflict):
+        sink.compact(spark, timedelta(0))
+    assert set(texts(sink, spark)) == {"e0", "e9"}
+
+
+def test_two_commits_do_not_take_one_number(spark, tmp_path):
+    log, asked = CommitLog(spark, str(tmp_path / "log")), []
+
+    def first(live, number):
+        asked.append(number)
+        if len(asked) == 1:    # somebody else is faster
+            CommitLog(spark, str(tmp_path / "log")).add(lambda l, n: Record([Written("t", "b", "all", 1, order=n)]))
+        return Record([Written("t", "a", "all", 1, order=number)])
+
+    log.add(first)
+    assert asked == [0, 1]
+    assert {s.name: s.order for s in log.live()} == {"b": 0, "a": 1}
+    assert not [p for p in (tmp_path / "log").iterdir() if p.name.startswith(".") and "crc" not in p.name]
+
+
+def test_a_batch_is_seen_whole_or_not_at_all(spark, tmp_path):
+    sink = TableSink(str(tmp_path)).for_stream("s")
+    data = events(spark, event("e0", text="buy now"))
+    batch = sink.open(spark, 0)
+    batch.write_events(data)
+    batch.write_flagged(flags_at(spark, 0), part="0")
+    assert sink.events_by_did(spark).count() == sink.flagged_events(spark).count() == 0
+    batch.commit()
+    assert sink.events_by_did(spark).count() == sink.events_by_minute(spark).count() == 1
+    assert sink.flagged_events(spark).count() == 1
+    again = sink.open(spark, 0)    # the repeated batch finds no flags any more
+    again.write_events(data)
+    again.commit()
+    assert sink.events_by_did(spark).count() == 1 and sink.flagged_events(spark).count() == 0
+
+
+def test_only_sets_that_may_share_a_key_are_compared(spark, tmp_path):
+    sink = TableSink(str(tmp_path))
+    for i in range(3):
+        sink.write_events(events(spark, event(f"e{i}", seconds=10 * i), event(f"f{i}", seconds=10 * i + 5)))
+        sink.write_flagged(flags_at(spark, i))
+
+    def exchanges(rows):
+        return rows._jdf.queryExecution().executedPlan().toString().count("Exchange")
+
+    assert exchanges(sink.events_by_did(spark)) == exchanges(sink.flagged_events(spark)) == 0
+    sink.write_events(events(spark, event("e1", text="new", seconds=10)))
+    assert exchanges(sink.events_by_did(spark)) > 0
+    assert texts(sink, spark) == {f"{n}{i}": "new" if (n, i) == ("e", 1) else "" for n in "ef" for i in range(3)}
+    sink.write_events(events(spark, (*event("e2", text="untimed")[:7], None)))    # may be anywhere
+    assert sink.events_by_did(spark).count() == 7
+
+
+def test_vacuum_removes_what_is_not_live(spark, tmp_path):
+    sink = TableSink(str(tmp_path), "did_only")
+    for i in range(4):
+        sink.write_events(events(spark, event(f"e{i}")))
+    sink.compact(spark)
+    sets = lambda: len([p for p in (tmp_path / "events_by_did").iterdir() if p.is_dir()])
+    assert sets() == 5 and len(texts(sink, spark)) == 4
+    sink.vacuum(spark, timedelta(0))
+    assert sets() == 1 and len(texts(sink, spark)) == 4
+    for i in range(2):
+        sink.write_events(events(spark, event("x")))
+        sink.compact(spark, timedelta(0))
+    records = [p.name for p in (tmp_path / "_commits").iterdir() if p.name.isdigit()]
+    assert len(records) == 3 and len(texts(sink, spark)) == 5
+
+
 def test_a_fresh_store_is_empty(spark, tmp_path):
     sink = TableSink(str(tmp_path / "none"))
     assert sink.events_by_did(spark).count() == sink.flagged_events(spark).count() == 0
@@ -95,7 +226,7 @@ def test_compaction(spark, tmp_path):
     for i in range(12):
         sink.write_events(events(spark, event("same", text=f"t{i}"), event(f"e{i}")))
     before = sorted(map(tuple, sink.events_by_did(spark).collect()))
-    sink.compact(spark)
+    sink.compact(spark, timedelta(0))
     for table in ("events_by_did", "events_by_minute"):
         assert len([p for p in (tmp_path / table).iterdir() if p.is_dir()]) == 1
     view = sink.events_by_did(spark)

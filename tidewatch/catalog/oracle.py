@@ -386,8 +386,20 @@ ORACLE = {
         SELECT did, received_at, id, kind,
                CASE WHEN kind = 'app.bsky.graph.follow' THEN 'again' ELSE text END AS text
         FROM ev""",
-    "compacted_views": f"""WITH {_FLAGGED}
-        SELECT 'events_by_did' AS target, count(*) AS rows FROM ev
-        UNION ALL SELECT 'events_by_minute', count(*) FROM ev
-        UNION ALL SELECT 'flagged_events', (SELECT count(*) FROM spam) + (SELECT count(*) FROM link)""",
+    "compacted_views": f"""WITH {_FLAGGED},
+        again AS (SELECT * REPLACE (CASE WHEN kind = 'app.bsky.graph.follow' THEN 'again' ELSE text END
+                                    AS text) FROM ev)
+        SELECT 'events_by_did' AS target, did, received_at, id, kind, '' AS rule_id,
+               CAST(length(text) AS INTEGER) AS text_length FROM again
+        UNION ALL SELECT 'events_by_minute', did, received_at, id, kind, '',
+                         CAST(length(text) AS INTEGER) FROM again
+        UNION ALL SELECT 'flagged_events', did, received_at, id, kind, rule_id,
+                         CAST(length(text) AS INTEGER) FROM flagged WHERE rule_id <> 'rate.spike'""",
+    "compacted_stream": f"""WITH {_LIGHT},
+        span AS (SELECT min(epoch_us(received_at)) AS low, max(epoch_us(received_at)) AS high FROM light)
+        SELECT did, received_at, id, kind,
+               CASE WHEN kind = 'app.bsky.graph.follow'
+                     AND (epoch_us(received_at) - low) * 5 // (high - low + 1) <= 2
+                    THEN 'again' ELSE '' END AS text
+        FROM light, span""",
 }

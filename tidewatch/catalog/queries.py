@@ -1,5 +1,7 @@
 """The registered queries: `name -> (spark, folder) -> DataFrame`."""
 
+from datetime import timedelta
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tidewatch import schemas
@@ -13,17 +15,17 @@ from tidewatch.operators.composite import detectors, flag
 from tidewatch.operators.keyword import SpamDetector, is_post_with_text
 from tidewatch.operators.rate import RateDetector
 from tidewatch.operators.reconcile import reconcile
-from tidewatch.plans.durable import scratch_path
+from tidewatch.plans.durable import scratch_path, written
 from tidewatch.plans.latest import latest_by_key
 from tidewatch.plans.ordered import row_numbers
 from tidewatch.rules import SpamRule
 from tidewatch.sinks.tables import AUTHORS_ONLY, FULL, CountSink, TableSink
 from tidewatch.sources.events import parsed, read_events
 from tidewatch.sources.tables import COLUMNS, as_events, light_events, table, table_events
-from tidewatch.streaming.ingest import start_ingest, write_drained
-from tidewatch.streaming.live import (live_sliding, live_tumbling, start_append,
-                                      with_open_windows, without_replays)
-from tidewatch.streaming.rate import StreamRate
+from tidewatch.streaming.ingest import start_ingest
+from tidewatch.streaming.live import (Closable, live_sliding, live_tumbling, start_append,
+                                      without_replays)
+from tidewatch.streaming.rate import live_rate_hits
 
 QUERIES = {}
 
@@ -146,17 +148,22 @@ def two_writes_upsert(spark, folder):
 
 @query
 def compacted_views(spark, folder):
-    """Both views and the flags after several batches were merged."""
+    """The rows of both views and of the flags after several batches were merged."""
     events = table_events(spark, folder)
     sink = TableSink(scratch_path(spark, "compacted"))
     sink.write_events(events)
-    sink.write_events(events.filter(F.col("kind") == schemas.FOLLOW))
+    sink.write_events(events.filter(F.col("kind") == schemas.FOLLOW).withColumn("text", F.lit("again")))
     for detector in detectors(settings.RULES)[:2]:
         sink.write_flagged(flag(events, [detector]))
-    sink.compact(spark)
-    return _counts({"events_by_did": sink.events_by_did(spark),
-                    "events_by_minute": sink.events_by_minute(spark),
-                    "flagged_events": sink.flagged_events(spark)}, "target")
+    sink.compact(spark, timedelta(0))
+
+    def rows(target, view, rule=F.lit("")):
+        return view.select(F.lit(target).alias("target"), "did", "received_at", "id", "kind",
+                           rule.alias("rule_id"), F.length("text").alias("text_length"))
+
+    return plain(rows("events_by_did", sink.events_by_did(spark))
+                 .unionByName(rows("events_by_minute", sink.events_by_minute(spark)))
+                 .unionByName(rows("flagged_events", sink.flagged_events(spark), F.col("rule_id"))))
 
 
 @query
@@ -453,47 +460,47 @@ def partition_skew(spark, folder):
 
 # Streams
 
-def _stream(spark, folder, name) -> DataFrame:
-    """The table as a stream, be it one file or a folder of them. A pattern may name either.
-
-    Files need not be in the order of time, and a stream drops what comes too late. So all files that
-    are there make up one batch, unless `FILES_PER_TRIGGER` says otherwise for files in order.
-    """
-    reader = spark.readStream.schema(COLUMNS[name])
-    if settings.FILES_PER_TRIGGER:
-        reader = reader.option("maxFilesPerTrigger", settings.FILES_PER_TRIGGER)
-    return reader.parquet(f"{folder}/{name}.parque[t]")
-
-
-def _event_stream(spark, folder) -> DataFrame:
-    return as_events(_stream(spark, folder, "events"), table(spark, folder, "documents"),
-                     table(spark, folder, "pages"))
+class _Arrivals:
+    """The events, written in turns to a folder that a stream reads. Order between turns is loose: the turn of
+    a row goes by its time and up to `JITTER` more, so each also holds rows older than the newest one before."""
 
+    def __init__(self, spark, folder, name, loose=True):
+        self.path = scratch_path(spark, name)
+        events = table(spark, folder, "events")
+        jitter = F.pmod(F.xxhash64("event_id"), F.lit(settings.JITTER)) if loose else F.lit(0)
+        at = F.unix_micros(F.col("ts").cast("timestamp")) + jitter
+        low, high = (events.agg(f(at).alias("at")).scalar() for f in (F.min, F.max))
+        turn = F.call_function("div", (at - low) * settings.TURNS, high - low + 1)
+        self.dealt = written(events.withColumn("turn", turn), f"{name}-dealt")
+        self.rows = events.columns
+        events.limit(0).write.parquet(self.path)
+        self.stream = spark.readStream.schema(COLUMNS["events"]).parquet(self.path)
 
-def _drained_ingest(events, sink: TableSink, chain) -> TableSink:
-    """Run a bounded stream to its end, with what still waited."""
-    start_ingest(events, sink, chain, f"{sink.folder}-checkpoint",
-                 availableNow=True).awaitTermination()
-    write_drained(sink, chain)
-    return sink
-
-
-class _FlagsOnly(TableSink):
-    def write_events(self, events, batch=None):
-        pass
+    def run(self, *starts) -> None:
+        """Each turn is a micro-batch of its own of each query, which goes on from its checkpoint."""
+        for turn in range(settings.TURNS):
+            (self.dealt.filter(F.col("turn") == turn).select(*self.rows)
+             .write.mode("append").parquet(self.path))
+            for start in starts:
+                start().awaitTermination()
 
 
-def _stream_chain(spark) -> list:
-    rules = settings.RULES
-    kept = scratch_path(spark, "stream-rate")
-    return [SpamDetector(rules.spam()), LinkDetector(rules.links()),
-            StreamRate(spark, kept, rules.rate(), 10 * MINUTE, span=settings.SPAN)]
+def _run_closed(arrivals: _Arrivals, stream: Closable, start) -> None:
+    """Read all turns, close the stream, and let its query take the end."""
+    arrivals.run(start)
+    stream.close()
+    start().awaitTermination()
 
 
 @query
 def stream_ingest(spark, folder):
-    sink = _drained_ingest(_event_stream(spark, folder),
-                           TableSink(scratch_path(spark, "ingest")), _stream_chain(spark))
+    path = scratch_path(spark, "ingest")
+    sink, arrivals = TableSink(f"{path}/store"), _Arrivals(spark, folder, "ingest-files")
+    stream = Closable(as_events(arrivals.stream, table(spark, folder, "documents"),
+                                table(spark, folder, "pages")), f"{path}/end")
+    _run_closed(arrivals, stream, lambda: start_ingest(
+        stream.rows, sink, detectors(settings.RULES), f"{path}/checkpoint", settings.DELAY,
+        availableNow=True))
     flags = sink.flagged_events(spark)
     tables = {"events_by_did": sink.events_by_did(spark),
               "events_by_minute": sink.events_by_minute(spark)}
@@ -502,41 +509,76 @@ def stream_ingest(spark, folder):
     return _counts(tables, "target")
 
 
+@query
+def compacted_stream(spark, folder):
+    """The author view after a stream and a job that write in turns, with a compaction after each batch. In
+    the middle the job sends all follows once more: those that the stream has sent before are read as the job
+    has them, the others as the stream has them that sends them after it."""
+    path = scratch_path(spark, "compacted-stream")
+    sink, arrivals = TableSink(f"{path}/store", AUTHORS_ONLY), _Arrivals(spark, folder, "compacted-files", loose=False)
+    none = F.array().cast(schemas.STRINGS)
+    events = light_events(arrivals.stream).select(
+        "id", "did", "kind", F.lit("").alias("text"), none.alias("langs"), none.alias("links"),
+        "created_at", "received_at")
+    turns = iter(range(settings.TURNS))
+
+    def job():
+        if next(turns) == settings.TURNS // 2:
+            sink.write_events(_follows_again(spark, folder).select(*events.columns))
+        sink.compact(spark, timedelta(0))
+        return _Done()
+
+    arrivals.run(lambda: start_ingest(events, sink, [], f"{path}/checkpoint", availableNow=True), job)
+    return plain(sink.events_by_did(spark).select("did", "received_at", "id", "kind", "text"))
+
+
+def _follows_again(spark, folder) -> DataFrame:
+    none = F.array().cast(schemas.STRINGS)
+    return (light_events(table(spark, folder, "events")).filter(F.col("kind") == schemas.FOLLOW)
+            .withColumns({"text": F.lit("again"), "langs": none, "links": none}))
+
+
+class _Done:
+    def awaitTermination(self):
+        pass
+
+
+def _emitted(spark, folder, name, make) -> DataFrame:
+    """What the stream `make(events)` has written by its end."""
+    path, arrivals = scratch_path(spark, name), _Arrivals(spark, folder, f"{name}-files")
+    events = light_events(arrivals.stream).select("id", "did", "kind", F.lit("").alias("text"),
+                                                  "received_at")
+    stream = Closable(events, f"{path}/end")
+    rows = make(stream.rows)
+    _run_closed(arrivals, stream, lambda: start_append(rows, f"{path}/rows", f"{path}/checkpoint",
+                                                       availableNow=True))
+    return spark.read.schema(rows.schema).parquet(f"{path}/rows")
+
+
 @query
 def stream_rate_spike(spark, folder):
-    events = (light_events(_stream(spark, folder, "events"))
-              .select("id", "did", "kind", F.lit("").alias("text"), "received_at"))
-    sink = _drained_ingest(events, _FlagsOnly(scratch_path(spark, "rates")),
-                           _stream_chain(spark)[2:])
-    return plain(sink.flagged_events(spark).drop("text", "bucket_hour", "bucket_date"))
+    return plain(_emitted(spark, folder, "rate", lambda events: live_rate_hits(
+        events, settings.RULES.rate(), settings.DELAY)).drop("text"))
 
 
 @query
 def stream_throughput(spark, folder):
-    path = scratch_path(spark, "throughput")
-    events = light_events(_stream(spark, folder, "events"))
-    counts = live_tumbling(events, settings.DELAY)
-    start_append(counts, f"{path}/rows", f"{path}/checkpoint", availableNow=True).awaitTermination()
-    emitted = spark.read.schema(counts.schema).parquet(f"{path}/rows")
-    return plain(with_open_windows(emitted, rollups.tumbling(light(spark, folder))))
+    return plain(_emitted(spark, folder, "throughput",
+                          lambda events: live_tumbling(events, settings.DELAY)))
 
 
 @query
 def stream_sliding_rate(spark, folder):
-    path = scratch_path(spark, "sliding")
-    rates = live_sliding(light_events(_stream(spark, folder, "events")), settings.DELAY)
-    start_append(rates, f"{path}/rows", f"{path}/checkpoint", availableNow=True).awaitTermination()
-    emitted = spark.read.schema(rates.schema).parquet(f"{path}/rows")
-    rows = with_open_windows(emitted, rollups.sliding(light(spark, folder)))
-    return plain(rows.withColumn("per_sec", F.round("per_sec", 9)))
+    rates = _emitted(spark, folder, "sliding", lambda events: live_sliding(events, settings.DELAY))
+    return plain(rates.withColumn("per_sec", F.round("per_sec", 9)))
 
 
 @query
 def stream_without_replays(spark, folder):
     """Every event arrives twice and is kept once."""
-    path = scratch_path(spark, "replays")
-    sent = light_events(_stream(spark, folder, "events"))
-    sent = sent.unionByName(light_events(_stream(spark, folder, "events")))
-    kept = without_replays(sent.select(*schemas.BY_DID_KEY), schemas.BY_DID_KEY, settings.DELAY)
-    start_append(kept, f"{path}/rows", f"{path}/checkpoint", availableNow=True).awaitTermination()
+    path, arrivals = scratch_path(spark, "replays"), _Arrivals(spark, folder, "replay-files")
+    sent = light_events(arrivals.stream)
+    both = sent.unionByName(sent).select(*schemas.BY_DID_KEY)
+    kept = without_replays(both, schemas.BY_DID_KEY, settings.DELAY)
+    arrivals.run(lambda: start_append(kept, f"{path}/rows", f"{path}/checkpoint", availableNow=True))
     return plain(spark.read.schema(kept.schema).parquet(f"{path}/rows"))

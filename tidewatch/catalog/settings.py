@@ -27,6 +27,7 @@ SINCE = timedelta(days=2)
 FLAG_LIMIT = 100
 WINDOW_FIRST = datetime(2024, 1, 10, 0, 0)
 WINDOW_LAST = datetime(2024, 1, 10, 11, 59)
-SPAN = 24 * HOUR
 DELAY = "10 minutes"
-FILES_PER_TRIGGER: int | None = None
+#: Events arrive in so many micro-batches, up to nine minutes (in microseconds) out of order.
+TURNS = 5
+JITTER = 9 * MINUTE

@@ -5,7 +5,7 @@ import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession, functions as F
 
 CHECKPOINT_DIR = "spark.checkpoint.dir"
 
@@ -39,33 +39,29 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 
 @contextmanager
-def staged(df: DataFrame, name: str) -> Iterator[DataFrame]:
-    """`df` as a written table that is removed again. What is kept in memory already stays as it is."""
-    if df.storageLevel.useMemory or df.storageLevel.useDisk:
-        yield df
-        return
+def staged(df: DataFrame, name: str) -> Iterator[tuple[DataFrame, int]]:
+    """`df` as a written table that is removed again, and the number of its rows."""
     spark, path = df.sparkSession, scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
+    seen = Observation()
+    df.observe(seen, F.count(F.lit(1)).alias("rows")).write.parquet(path)
     try:
-        yield spark.read.schema(df.schema).parquet(path)
+        yield spark.read.schema(df.schema).parquet(path), seen.get.get("rows", 0)
     finally:
         removed(spark, path)
 
 
-def _files(spark: SparkSession, path: str):
-    jvm = spark._jvm
-    at = jvm.org.apache.hadoop.fs.Path(path)
-    return at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()), at
+def file_system(spark: SparkSession, path: str):
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
 
 
 def removed(spark: SparkSession, path: str) -> None:
-    system, at = _files(spark, path)
-    system.delete(at, True)
+    file_system(spark, path).delete(spark._jvm.org.apache.hadoop.fs.Path(path), True)
 
 
 def folders(spark: SparkSession, path: str) -> list[str]:
     """Names of the folders in `path`, none where it does not exist."""
-    system, at = _files(spark, path)
+    system, at = file_system(spark, path), spark._jvm.org.apache.hadoop.fs.Path(path)
     if not system.exists(at):
         return []
     return sorted(f.getPath().getName() for f in system.listStatus(at) if f.isDirectory())

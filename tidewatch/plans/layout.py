@@ -25,20 +25,30 @@ def flagged(hits: DataFrame) -> DataFrame:
             .select(*schemas.FLAGGED.fieldNames()))
 
 
-def lay_by_did(view: DataFrame) -> DataFrame:
-    return _laid(view, ["did", F.desc("received_at"), "id"])
+#: Rows that one task sorts and writes, where there are more than the session's partitions take.
+TASK_ROWS = 4_000_000
 
 
-def lay_by_minute(view: DataFrame) -> DataFrame:
-    dated = view.withColumn("bucket_date", F.to_date("bucket_minute"))
-    return _laid(dated, ["kind", "bucket_minute", F.desc("received_at"), "id"])
+def lay_by_did(view: DataFrame, rows: int = 0) -> DataFrame:
+    return _laid(view, ["did", F.desc("received_at"), "id"], rows)
 
 
-def lay_flagged(rows: DataFrame) -> DataFrame:
-    # A directory per hour would hold tiny files; within a day the hour is found by min/max.
-    dated = rows.withColumn("bucket_date", F.to_date("bucket_hour"))
-    return _laid(dated, ["bucket_hour", F.desc("received_at"), "id", "rule_id"])
+def lay_by_minute(view: DataFrame, rows: int = 0) -> DataFrame:
+    dated = view.withColumn("bucket_date", F.to_date("bucket_minute"))
+    return _laid(dated, ["kind", "bucket_minute", F.desc("received_at"), "id"], rows)
 
 
-def _laid(df, order):
-    return df.repartitionByRange(*order).sortWithinPartitions(*order)
+def lay_flagged(flags: DataFrame, rows: int = 0) -> DataFrame:
+    # A directory per hour would hold tiny files; within a day the hour is found by min/max.
+    dated = flags.withColumn("bucket_date", F.to_date("bucket_hour"))
+    return _laid(dated, ["bucket_hour", F.desc("received_at"), "id", "rule_id"], rows)
+
+
+def _laid(df, order, rows):
+    """The number of ranges follows the rows; few rows are left to the session's own number, which
+    adaptive execution lessens."""
+    usual = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    needed = -(-rows // TASK_ROWS)
+    ranged = (df.repartitionByRange(needed, *order) if needed > usual
+              else df.repartitionByRange(*order))
+    return ranged.sortWithinPartitions(*order)

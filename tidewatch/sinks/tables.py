@@ -2,7 +2,10 @@
 
 import hashlib
 import time
+import uuid
 from copy import copy
+from dataclasses import replace
+from datetime import timedelta
 from typing import Protocol
 
 from pyspark.sql import DataFrame, Observation, SparkSession, functions as F
@@ -12,17 +15,27 @@ from tidewatch import schemas
 from tidewatch.plans import layout
 from tidewatch.plans.durable import folders, removed, staged
 from tidewatch.plans.latest import latest_by_key, repeats
+from tidewatch.sinks.commits import CommitLog, Conflict, Record, Written
 
 FULL = "full"
 AUTHORS_ONLY = "did_only"
 
-BATCH = "batch_id"
+SET, ORDER = "set_id", "_order"
 #: Records in one file at most.
 FILE_RECORDS = 2_000_000
 
 BY_DID_TABLE = "events_by_did"
 BY_MINUTE_TABLE = "events_by_minute"
 FLAGGED_TABLE = "flagged_events"
+_DATED = "bucket_date"
+#: Columns of each table, its key, its folders, its layout.
+TABLES = {
+    BY_DID_TABLE: (schemas.BY_DID, schemas.BY_DID_KEY, [], layout.lay_by_did),
+    BY_MINUTE_TABLE: ([*schemas.BY_MINUTE, _DATED], [*schemas.BY_MINUTE_KEY, _DATED],
+                      ["kind", _DATED], layout.lay_by_minute),
+    FLAGGED_TABLE: ([*schemas.FLAGGED.fieldNames(), _DATED], [*schemas.FLAGGED_KEY, _DATED],
+                    [_DATED], layout.lay_flagged),
+}
 
 
 class Sink(Protocol):
@@ -41,11 +54,14 @@ def write_mode(name: str) -> str:
 
 
 class TableSink:
-    """Parquet tables under one folder. Each batch owns a directory in each table.
+    """Parquet tables under one folder, made of sets of rows that a commit log names.
 
-    A write without a number takes one from the clock, so it never meets another. Numbers of a stream
-    start where the clock stood when the stream first wrote (see `for_stream`), so two streams, or a
-    stream and a job, do not meet either. Of equal keys the row with the greatest number is read.
+    Each write makes sets of its own, never writes over another one's, and becomes visible by one commit:
+    both views together, and with `open` the flags of the batch as well. Of equal keys the row that was
+    committed last is read. The commit notes the times and rules in a set, and only sets that may share a
+    key are searched for equal ones.
+
+    Numbers of batches belong to a stream (see `for_stream`), whose repeated batch replaces its own.
 
     Equal keys within a batch become one row. Whether there are any is found from the key columns
     alone, so that rows without repeats are not shuffled for it. Say `unique` when the source never
@@ -53,114 +69,177 @@ class TableSink:
     is evaluated once: it is staged as a table, which both views are laid out from.
     """
 
-    def __init__(self, folder: str, mode: str = FULL, unique: bool = False, base: int = 0):
+    def __init__(self, folder: str, mode: str = FULL, unique: bool = False):
         self.folder = folder.rstrip("/")
         self.mode = write_mode(mode)
         self.unique = unique
-        self.base = base
+        self.stream = ""
 
-    def for_stream(self, spark: SparkSession, name: str) -> "TableSink":
-        """This sink for one stream, whose repeated batches replace their own rows. `name` is one that
-        only this stream has, such as its checkpoint folder."""
-        mark = f"{self.folder}/_streams/{hashlib.sha1(name.encode()).hexdigest()}"
+    def for_stream(self, name: str) -> "TableSink":
+        """This sink for one stream. `name` is one that only this stream has, such as its checkpoint
+        folder."""
         own = copy(self)
-        own.base = _marked(spark, mark)
-        if own.base is None:
-            (spark.createDataFrame([(_clock(),)], "base bigint").coalesce(1)
-             .write.mode("overwrite").parquet(mark))
-            own.base = _marked(spark, mark)
+        own.stream = hashlib.sha1(name.encode()).hexdigest()
         return own
 
+    def open(self, spark: SparkSession, batch: int | None = None) -> "OpenBatch":
+        """Views and flags that are committed together, in place of all that the batch wrote before."""
+        return OpenBatch(self, spark, batch, whole=True)
+
     def write_events(self, events: DataFrame, batch: int | None = None) -> None:
-        with staged(events, "events") as rows:
-            # These two columns are part of both primary keys.
-            once = self.unique or not repeats(rows, ["received_at", "id"])
-            number = self._number(batch)
-            view = layout.by_did(rows)
-            view = view if once else latest_by_key(view, schemas.BY_DID_KEY, [])
-            self._write(layout.lay_by_did(view), BY_DID_TABLE, number)
-            if self.mode == FULL:
-                view = layout.by_minute(rows)
-                view = view if once else latest_by_key(view, schemas.BY_MINUTE_KEY, [])
-                self._write(layout.lay_by_minute(view), BY_MINUTE_TABLE, number,
-                            ["kind", "bucket_date"])
+        one = OpenBatch(self, events.sparkSession, batch, whole=False)
+        one.write_events(events)
+        one.commit()
 
     def write_flagged(self, rows: DataFrame, batch: int | None = None, part: str = "all") -> None:
-        with staged(rows, "flags") as found:
-            if not self.unique and repeats(found, schemas.FLAGGED_KEY):
-                found = latest_by_key(found, schemas.FLAGGED_KEY, [])
-            self._write(layout.lay_flagged(found), FLAGGED_TABLE, self._number(batch),
-                        ["bucket_date"], part)
-
-    def _number(self, batch: int | None) -> int:
-        return _clock() if batch is None else self.base + batch
-
-    def _write(self, df, table, number, partitions=(), part="all"):
-        (df.write.mode("overwrite").partitionBy(*partitions)
-         .option("maxRecordsPerFile", FILE_RECORDS)
-         .parquet(f"{self.folder}/{table}/{BATCH}={number}/part={part}"))
+        one = OpenBatch(self, rows.sparkSession, batch, whole=False)
+        one.write_flagged(rows, part=part)
+        one.commit()
 
     def events_by_did(self, spark: SparkSession) -> DataFrame:
-        return self._read(spark, BY_DID_TABLE, schemas.BY_DID, schemas.BY_DID_KEY)
+        return self._table(spark, BY_DID_TABLE)
 
     def events_by_minute(self, spark: SparkSession) -> DataFrame:
-        columns = [*schemas.BY_MINUTE, "bucket_date"]
-        rows = self._read(spark, BY_MINUTE_TABLE, columns,
-                          [*schemas.BY_MINUTE_KEY, "bucket_date"])
+        rows = self._table(spark, BY_MINUTE_TABLE)
         # An empty kind is the name of no folder, and comes back as null.
         return rows.withColumn("kind", F.coalesce("kind", F.lit("")))
 
     def flagged_events(self, spark: SparkSession) -> DataFrame:
-        columns = [*schemas.FLAGGED.fieldNames(), "bucket_date"]
-        return self._read(spark, FLAGGED_TABLE, columns, [*schemas.FLAGGED_KEY, "bucket_date"])
+        return self._table(spark, FLAGGED_TABLE)
 
-    def compact(self, spark: SparkSession) -> None:
-        """Make one batch of all that are there, under the greatest of their numbers.
+    def compact(self, spark: SparkSession, keep: timedelta = timedelta(days=1)) -> None:
+        """Make one set of each table. Others may write and read meanwhile: the merged rows keep their place
+        in the order of arrival, and the commit fails if something that was merged has been replaced.
 
-        The merged rows are in place before the batches go that they are made of: a run that stops in
-        between leaves rows twice, which reads sort out. Run it while nothing else writes or reads.
+        Sets and records that are no longer needed go once they are older than `keep`, which has to exceed
+        the time that a read or a write takes.
         """
-        readers = {BY_DID_TABLE: (self.events_by_did, layout.lay_by_did, []),
-                   BY_MINUTE_TABLE: (self.events_by_minute, layout.lay_by_minute,
-                                     ["kind", "bucket_date"]),
-                   FLAGGED_TABLE: (self.flagged_events, layout.lay_flagged, ["bucket_date"])}
-        for table, (read, lay, partitions) in readers.items():
-            batches = self._batches(spark, table)
-            if len(batches) < 2:
-                continue
-            self._write(lay(read(spark)), table, max(batches) + 1, partitions)
-            for batch in batches:
-                removed(spark, f"{self.folder}/{table}/{BATCH}={batch}")
-
-    def _batches(self, spark, table) -> list[int]:
-        return [int(name.split("=")[1]) for name in folders(spark, f"{self.folder}/{table}")
-                if name.startswith(f"{BATCH}=")]
-
-    def _read(self, spark, table, columns, key):
-        """Rows of all batches; of equal keys the one from the latest batch."""
+        log = CommitLog(spark, f"{self.folder}/_commits")
+        seen = log.live()
+        made, merged = [], set()
+        for table in TABLES:
+            sets = [s for s in seen if s.table == table and s.rows]
+            if len(sets) > 1:
+                rows = self._read(spark, table, sets)
+                lay = TABLES[table][3]
+                one = self.write_set(lay(rows, sum(s.rows for s in sets)), table, "all")
+                made.append(replace(one, order=max(s.order for s in sets)))
+                merged |= {s.name for s in sets}
+        if not made:
+            return
+
+        def record(live: list[Written], number: int) -> Record:
+            if not merged <= {s.name for s in live}:
+                raise Conflict("a set that was merged has been replaced")
+            return Record([s for s in live if s.name not in merged and s.rows] + made, snapshot=True)
+
+        try:
+            log.add(record)
+        except Conflict:
+            for one in made:
+                removed(spark, self._path(one))
+            raise
+        self.vacuum(spark, keep)
+
+    def vacuum(self, spark: SparkSession, keep: timedelta) -> None:
+        """Remove sets that are not live and older than `keep`, and records before the last snapshot but
+        one."""
+        log = CommitLog(spark, f"{self.folder}/_commits")
+        oldest = _now() - keep // timedelta(milliseconds=1)
+        before = {table: folders(spark, f"{self.folder}/{table}") for table in TABLES}
+        live = {s.name for s in log.live()}
+        for table, names in before.items():
+            for name in (n.removeprefix(f"{SET}=") for n in names if n.startswith(f"{SET}=")):
+                if name not in live and int(name.split("-")[0]) <= oldest:
+                    removed(spark, f"{self.folder}/{table}/{SET}={name}")
+        log.drop_before((log.snapshots() or [0])[-2:][0])
+
+    def write_set(self, df: DataFrame, table: str, part: str) -> Written:
+        """Write rows that are laid out as a set, which no reader knows of yet."""
+        one = Written(table, f"{_now():013d}-{uuid.uuid4().hex}", part, 0)
+        at, seen = F.unix_micros("received_at"), Observation()
+        rule = F.col("rule_id") if "rule_id" in df.columns else F.lit(None).cast("string")
+        (df.observe(seen, F.count(F.lit(1)).alias("rows"), F.count(at).alias("timed"),
+                    F.min(at).alias("low"), F.max(at).alias("high"),
+                    F.min(rule).alias("first"), F.max(rule).alias("last"))
+         .write.partitionBy(*TABLES[table][2]).option("maxRecordsPerFile", FILE_RECORDS)
+         .parquet(self._path(one)))
+        found = seen.get
+        rows = found.get("rows", 0)
+        timed = rows and found["timed"] == rows
+        return replace(one, rows=rows, low=found["low"] if timed else None,
+                       high=found["high"] if timed else None, first=found.get("first"),
+                       last=found.get("last"))
+
+    def _path(self, one: Written) -> str:
+        return f"{self.folder}/{one.table}/{SET}={one.name}"
+
+    def _table(self, spark: SparkSession, table: str) -> DataFrame:
+        live = CommitLog(spark, f"{self.folder}/_commits").live()
+        return self._read(spark, table, [s for s in live if s.table == table and s.rows])
+
+    def _read(self, spark: SparkSession, table: str, sets: list[Written]) -> DataFrame:
+        """Rows of the sets; of equal keys the one that was committed last."""
+        columns, key = TABLES[table][:2]
+        meeting = [] if self.unique else [s for s in sets if any(s.may_meet(o) for o in sets if o is not s)]
+        alone = [s for s in sets if s not in meeting]
+        rows = self._sets(spark, table, alone).select(*columns)
+        if not meeting:
+            return rows
+        orders = spark.createDataFrame([(s.name, s.order) for s in meeting], f"{SET} string, {ORDER} long")
+        mixed = self._sets(spark, table, meeting).join(orders, SET).select(*columns, ORDER)
+        latest = latest_by_key(mixed, key, [ORDER]).select(*columns)
+        return rows.unionByName(latest) if alone else latest
+
+    def _sets(self, spark: SparkSession, table: str, sets: list[Written]) -> DataFrame:
         types = {f.name: f.dataType for f in [*schemas.EVENT, *schemas.FLAGGED]}
-        types |= {"bucket_minute": T.TimestampType(), "bucket_date": T.DateType(),
-                  BATCH: T.LongType(), "part": T.StringType()}
-        schema = T.StructType([T.StructField(c, types[c]) for c in [*columns, BATCH, "part"]])
-        path, batches = f"{self.folder}/{table}", self._batches(spark, table)
-        if not batches:
-            return spark.createDataFrame([], schema).select(*columns)
-        rows = spark.read.schema(schema).parquet(path).select(*columns, BATCH)
-        # One part of one batch has no key twice.
-        single = len(batches) == 1 and len(folders(spark, f"{path}/{BATCH}={batches[0]}")) == 1
-        return (rows if self.unique or single else latest_by_key(rows, key, [BATCH])).drop(BATCH)
-
-
-def _clock() -> int:
-    return time.time_ns()
-
-
-def _marked(spark: SparkSession, mark: str) -> int | None:
-    parent, _, name = mark.rpartition("/")
-    if name not in folders(spark, parent):
-        return None
-    row = spark.read.schema("base bigint").parquet(mark).first()
-    return row and row["base"]
+        types |= {"bucket_minute": T.TimestampType(), _DATED: T.DateType(), SET: T.StringType()}
+        schema = T.StructType([T.StructField(c, types[c]) for c in [*TABLES[table][0], SET]])
+        if not sets:
+            return spark.createDataFrame([], schema)
+        return (spark.read.schema(schema).option("basePath", f"{self.folder}/{table}")
+                .parquet(*map(self._path, sets)))
+
+
+class OpenBatch:
+    """What one batch has written and not yet committed. It is a sink itself; `batch` is its own."""
+
+    def __init__(self, sink: TableSink, spark: SparkSession, batch: int | None, whole: bool):
+        self.sink, self.spark, self.whole = sink, spark, whole
+        self.owner = None if batch is None else f"{sink.stream}/{batch}"
+        self.sets: list[Written] = []
+
+    def write_events(self, events: DataFrame, batch: int | None = None) -> None:
+        with staged(events, "events") as (rows, n):
+            # These two columns are part of both primary keys.
+            once = self.sink.unique or not repeats(rows, ["received_at", "id"])
+            self._write(layout.by_did(rows), BY_DID_TABLE, schemas.BY_DID_KEY, n, once, "all")
+            if self.sink.mode == FULL:
+                self._write(layout.by_minute(rows), BY_MINUTE_TABLE, schemas.BY_MINUTE_KEY, n, once, "all")
+
+    def write_flagged(self, rows: DataFrame, batch: int | None = None, part: str = "all") -> None:
+        with staged(rows, "flags") as (found, n):
+            once = self.sink.unique or not repeats(found, schemas.FLAGGED_KEY)
+            self._write(found, FLAGGED_TABLE, schemas.FLAGGED_KEY, n, once, part)
+
+    def commit(self) -> None:
+        """Make it visible. The order among commits is that in which they are made."""
+        def record(live: list[Written], number: int) -> Record:
+            return Record([replace(s, owner=self.owner, order=number) for s in self.sets],
+                          batch=self.owner if self.whole else None)
+
+        CommitLog(self.spark, f"{self.sink.folder}/_commits").add(record)
+
+    def _write(self, view, table, key, n, once, part) -> None:
+        if not n:  # a set without rows still takes the place of what its batch wrote before
+            self.sets.append(Written(table, f"{_now():013d}-{uuid.uuid4().hex}", part, 0))
+            return
+        view = view if once else latest_by_key(view, key, [])
+        self.sets.append(self.sink.write_set(TABLES[table][3](view, n), table, part))
+
+
+def _now() -> int:
+    return time.time_ns() // 1_000_000
 
 
 class CountSink:
