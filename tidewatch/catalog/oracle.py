@@ -272,6 +272,24 @@ ORACLE = {
       SELECT id, did, min(id) OVER (PARTITION BY body) AS first_id,
              count(*) OVER (PARTITION BY body) AS copies
       FROM posts QUALIFY count(*) OVER (PARTITION BY body) >= 2""",
+    "detect_repetition_near": fr"""WITH RECURSIVE {_EV.lstrip()}, posts AS (
+        SELECT id, did, trim(regexp_replace(lower(text), '[ \t\n\f\r]+', ' ', 'g')) AS body
+        FROM ev WHERE kind = 'app.bsky.feed.post' AND text <> ''),
+      body AS (SELECT body, min(id) AS first, string_split(body, ' ') AS w FROM posts GROUP BY body),
+      shingle AS (SELECT DISTINCT first, unnest([array_to_string(w[i:i + 4], ' ')
+                         FOR i IN range(1, greatest(len(w) - 4, 1) + 1)]) AS s FROM body),
+      size AS (SELECT first, count(*) AS n FROM shingle GROUP BY first),
+      shared AS (SELECT a.first AS l, b.first AS r, count(*) AS n
+                 FROM shingle a JOIN shingle b ON a.s = b.s AND a.first < b.first GROUP BY ALL),
+      link AS (SELECT l, r FROM shared JOIN size x ON x.first = l JOIN size y ON y.first = r
+               WHERE shared.n * 10 >= 8 * (x.n + y.n - shared.n)),
+      both_ways AS (SELECT l, r FROM link UNION SELECT r, l FROM link UNION SELECT first, first FROM body),
+      reached AS (SELECT l AS node, r AS to_node FROM both_ways
+                  UNION SELECT reached.node, both_ways.r FROM reached JOIN both_ways ON reached.to_node = both_ways.l),
+      grp AS (SELECT node, min(to_node) AS first_id FROM reached GROUP BY node),
+      member AS (SELECT id, did, first_id FROM posts JOIN body USING (body) JOIN grp ON grp.node = first)
+      SELECT id, did, first_id, count(*) OVER (PARTITION BY first_id) AS posts
+      FROM member QUALIFY count(*) OVER (PARTITION BY first_id) > 1""",
     "flagged_all_rules": f"WITH {_FLAGGED} SELECT bucket_hour, {_COLUMNS} FROM flagged",
     "recent_events_by_author": f"""WITH {_EV}
         SELECT did, received_at, id, kind, text, langs, {_EVENT_LINKS}, created_at FROM ev

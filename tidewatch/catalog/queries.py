@@ -15,6 +15,7 @@ from tidewatch.operators.composite import detectors, flag
 from tidewatch.operators.keyword import SpamDetector, is_post_with_text
 from tidewatch.operators.rate import RateDetector
 from tidewatch.operators.reconcile import reconcile
+from tidewatch.operators.repetition import near_repeated_posts
 from tidewatch.plans.durable import scratch_path, written
 from tidewatch.plans.latest import latest_by_key
 from tidewatch.plans.ordered import row_numbers
@@ -311,6 +312,11 @@ def detect_repetition_exact(spark, folder):
     return signals.repeated_posts(table_events(spark, folder))
 
 
+@query
+def detect_repetition_near(spark, folder):
+    return near_repeated_posts(table_events(spark, folder))
+
+
 # Reads
 
 @query
