@@ -8,9 +8,10 @@ from collections import Counter
 import numpy as np
 import pytest
 
+from pyspark.sql import functions as F
 from tests.llm.corpora import FOLDER, clashing, documents, prose
 from tidewatch.llm import lm_score as L, quality_rules as Q, toxicity as T
-from tidewatch.llm.frames import table
+from tidewatch.llm.frames import smallest_hashes, table
 from tidewatch.llm.queries import QUERIES
 
 SF = "/root/testdata/sf0.01"
@@ -69,6 +70,26 @@ def test_quality_edge_cases(spark):
     assert Q.judged(documents(spark, []), rules, "_out").count() == 0
 
 
+def test_a_repeated_id_is_learned_from_once(spark):
+    docs = documents(spark, [], [(1, prose(i, 80)) for i in range(50)] + [(i, prose(i, 80)) for i in range(2, 30)])
+    labels = spark.createDataFrame([(i, i % 2) for i in range(30)] + [(1, 0)] * 20, "doc_id long, quality int")
+    seen = []
+    learn = Q.learn
+    try:
+        Q.learn = lambda x, bad: seen.append(bad) or []
+        Q.fit(docs, labels)
+        Q.fit(docs, labels, sample=4)
+    finally:
+        Q.learn = learn
+    assert len(seen[0]) == 29 and seen[0].sum() == 15 and len(seen[1]) <= 4
+
+
+@pytest.mark.parametrize("n", [1, 40, 5000])
+def test_smallest_hashes_equal_a_full_sort(spark, n):
+    df = spark.range(3000)
+    assert smallest_hashes(df, "id", n).collect() == df.orderBy(F.xxhash64("id"), "id").limit(n).collect()
+
+
 def test_block_max_search_is_exact():
     chance = np.random.default_rng(1)
     vectors = []

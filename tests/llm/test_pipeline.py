@@ -1,7 +1,8 @@
 """The pipeline's rows against the plain versions of its stages, one after the other."""
 
 import corpus_pipeline
-from tests.llm.corpora import FOLDER
+from pyspark.sql import functions as F
+from tests.llm.corpora import FOLDER, clashing, documents
 from tests.llm.test_repeats import slow_hits
 from tests.llm.test_secret_scan import all_spans
 from tests.llm.test_simhash import slow_components, slow_fingerprint
@@ -45,3 +46,22 @@ def test_filtering_stages_return_the_columns_of_documents(spark):
     for _, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, docs, FOLDER).columns == docs.columns
         assert stage(spark, docs.filter("false"), FOLDER).count() == 0
+
+
+def test_stages_keep_columns_with_clashing_names(spark):
+    names = ("_before", "_found", "_spans", "_keep", "_text", "_base", "_runs", "_own", "_fp", "_stats", "_judged")
+    docs = clashing(table(spark, FOLDER, "documents").limit(40))
+    docs = docs.withColumns({n: F.lit(f"own {n}") for n in names}).drop("n_chars")
+    docs = docs.unionByName(docs.limit(3)).unionByName(docs.limit(2).withColumn("text", F.lit(None).cast("string")))
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        rows = stage(spark, docs, FOLDER)
+        assert rows.columns == docs.columns
+        assert {tuple(r[n] for n in names) for r in rows.collect()} <= {tuple(f"own {n}" for n in names)}
+    assert corpus_pipeline.sequence_packing(spark, docs, FOLDER).count() > 40
+
+
+def test_masked_documents_have_their_new_length(spark):
+    docs = documents(spark, ["a token=abcdefgh b", "clean", None, "[SECRET]"])
+    rows = corpus_pipeline.secret_scans(spark, docs, FOLDER).collect()
+    assert {r.doc_id: (r.text, r.n_chars) for r in rows} == {
+        0: ("a [SECRET] b", 12), 1: ("clean", 5), 2: (None, 0), 3: ("[SECRET]", 8)}

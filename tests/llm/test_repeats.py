@@ -206,3 +206,33 @@ def test_compressed_archives(spark, tmp_path):
     (tmp_path / "a.warc.gz").write_bytes(gzip.compress(record) + gzip.compress(record))
     rows = W.read_warc(spark, str(tmp_path)).collect()
     assert [(r.record_type, r.payload) for r in rows] == [("resource", b"abc")] * 2
+
+
+def warc_record(kind, content, length=None, extra=b""):
+    length = len(content) if length is None else length
+    return (b"WARC/1.0\r\nWARC-Type: " + kind + b"\r\nContent-Length: " + str(length).encode() + b"\r\n" + extra
+            + b"\r\n" + content + b"\r\n\r\n")
+
+
+@pytest.mark.parametrize("payload", [True, False])
+@pytest.mark.parametrize("broken, fault", [
+    (warc_record(b"response", b"short", 5000), "ends before 5000"),
+    (b"lost bytes\r\nmore of them\r\n" + warc_record(b"resource", b"abc"), "no record begins"),
+    (warc_record(b"response", b"x", "12x"), "length is '12x'")])
+def test_damaged_records(spark, tmp_path, payload, broken, fault):
+    good = warc_record(b"resource", b"fine")
+    (tmp_path / "a.warc").write_bytes(good + broken)
+    (tmp_path / "b.warc").write_bytes(good)
+    rows = W.read_warc(spark, str(tmp_path), payload, damaged="keep").collect()
+    assert [fault in r.fault for r in rows if r.fault][0]
+    assert sum(r.record_type == "resource" and not r.fault for r in rows) == (3 if b"lost" in broken else 2)
+    with pytest.raises(Exception, match=fault.split()[0]):
+        W.read_warc(spark, str(tmp_path), payload).collect()
+    kept = W.read_warc(spark, str(tmp_path), payload, damaged="keep").filter("record_type = 'resource'")
+    assert all(r.record_type == "resource" for r in kept.collect())
+
+
+def test_headers_that_are_not_utf8(spark, tmp_path):
+    (tmp_path / "a.warc").write_bytes(warc_record(b"resource", b"abc", extra=b"X-Name: caf\xe9\r\n"))
+    (row,) = W.read_warc(spark, str(tmp_path)).collect()
+    assert row.payload == b"abc" and row.headers["x-name"] == "caf\ufffd" and row.fault is None

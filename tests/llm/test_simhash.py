@@ -99,3 +99,14 @@ def test_edge_cases(spark):
 def test_a_repeated_id_keeps_one_row(spark):
     df = documents(spark, ["a b c d"], [(0, "a b c d")])
     assert S.keep_first(df).count() == 1
+
+
+def test_rows_that_share_an_id_and_not_the_text_are_documents_of_their_own(spark):
+    one, other = prose(1, 60), prose(2, 60)
+    df = clashing(documents(spark, [one, other], [(0, other), (0, one), (5, one), (None, other), (None, prose(3, 60)),
+                                                  (7, prose(4, 60)), (7, prose(4, 60))]))
+    kept = S.keep_first(df)
+    assert kept.columns == df.columns
+    # Two groups of the first texts, of which `other` has the ids 1, 0 and null; a null id alone; and 7.
+    assert sorted((r.doc_id is None, r.doc_id or 0, r.text[:9]) for r in kept.collect()) == sorted(
+        [(False, 0, one[:9]), (False, 0, other[:9]), (True, 0, prose(3, 60)[:9]), (False, 7, prose(4, 60)[:9])])

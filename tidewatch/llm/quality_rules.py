@@ -20,7 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tidewatch.llm.frames import fresh
+from tidewatch.llm.frames import fresh, smallest_hashes
 
 WORDS = re.compile(r"[^ \t-\r]+").findall
 SYMBOLS = "#*$%&|<>"
@@ -160,7 +160,8 @@ def _pruned(rule: Rule, x: dict[str, np.ndarray], bad: np.ndarray) -> Rule:
 def learn(x: dict[str, np.ndarray], bad: np.ndarray, precision: float = 0.95, least: int = 5,
           rules: int = 16, cuts: int = 256, longest: int = 4) -> list[Rule]:
     """Rules that reject. Each covers at least `least` bad rows and is `precision` precise, both on the
-    rows it was pruned on and on all that are left."""
+    rows it was pruned on and on all that are left. The list has `rules` rules at most, a rule `longest`
+    conditions, and a condition's threshold is one of `cuts` quantiles of the rows the rule covers so far."""
     found: list[Rule] = []
     left = np.ones(len(bad), dtype=bool)
     part = np.arange(len(bad)) % 3 == 2
@@ -195,12 +196,15 @@ def verdict(rules: list[Rule], stats: Column) -> Column:
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         label_col: str = "quality", sample: int = SAMPLE, **settings) -> list[Rule]:
-    """Rules learned from at most `sample` labelled documents that pass the base rules."""
-    chosen = (labels.select(F.col(id_col).alias("_id"), (F.col(label_col) == 0).alias("_bad"))
-              .dropna().orderBy(F.xxhash64("_id"), "_id", "_bad").limit(sample))
+    """Rules learned from at most `sample` labelled documents that pass the base rules. An id is one document:
+    of several labels that of the bad one counts, of several texts the smallest."""
+    labelled = (labels.select(F.col(id_col).alias("_id"), (F.col(label_col) == 0).alias("_bad"))
+                .dropna().groupBy("_id").agg(F.max("_bad").alias("_bad")))
+    chosen = smallest_hashes(labelled, "_id", sample)
     # The sample's size bounds what is broadcast and collected.
     mine = (docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
-            .join(F.broadcast(chosen), "_id"))
+            .join(F.broadcast(chosen), "_id")
+            .groupBy("_id", "_bad").agg(F.min("_text").alias("_text")))
     stats = with_counts(mine, "_text", "_stats")
     stats = stats.filter(~base_failed(F.col("_stats")))
     rows = stats.select("_id", "_bad", *[v.alias(k) for k, v in features(F.col("_stats")).items()])

@@ -18,11 +18,13 @@ kept, and never name a component that has an id.
 from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from tidewatch.llm.components import components
-from tidewatch.llm.frames import map_documents, texts
+from tidewatch.llm.frames import fresh, map_documents, texts
 from tidewatch.plans.durable import written
 
 SEED = 42
@@ -106,21 +108,27 @@ def links(distinct: DataFrame) -> DataFrame:
     return star.filter("a < b").distinct()
 
 
-def simhash_components(df: DataFrame, shingle: int = 3, max_bits: int = 2,
-                       id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """`doc_id, fp, component_id` for every row: the smallest id reachable over links of at most
-    `max_bits` bits. The grid and the meeting values are built for 2 bits, for 0 there is no link but
-    equality."""
+def rooted_prints(df: DataFrame, shingle: int = 3, max_bits: int = 2, id_col: str = "doc_id",
+                  text_col: str = "text") -> DataFrame:
+    """`doc_id, fp, root, component_id` for every row: `root` is a fingerprint that only its component has."""
     if max_bits not in (0, 2):
         raise ValueError("max_bits is 0 or 2")
     prints = written(fingerprints(df, shingle, id_col, text_col), "simhash")
     distinct = written(prints.groupBy("fp").agg(F.min("doc_id").alias("first")), "simhash-distinct")
     if max_bits == 0:
-        heads = distinct.select("fp", F.col("first").alias("component_id"))
+        heads = distinct.select("fp", F.col("fp").alias("root"), F.col("first").alias("component_id"))
     else:
         reached = components(links(distinct.select("fp")))
         heads = written(_smallest_ids(distinct, reached), "simhash-heads")
-    return prints.join(heads, "fp").select("doc_id", "fp", "component_id")
+    return prints.join(heads, "fp").select("doc_id", "fp", "root", "component_id")
+
+
+def simhash_components(df: DataFrame, shingle: int = 3, max_bits: int = 2,
+                       id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """`doc_id, fp, component_id` for every row: the smallest id reachable over links of at most
+    `max_bits` bits. The grid and the meeting values are built for 2 bits, for 0 there is no link but
+    equality."""
+    return rooted_prints(df, shingle, max_bits, id_col, text_col).drop("root")
 
 
 def _smallest_ids(distinct: DataFrame, reached: DataFrame) -> DataFrame:
@@ -129,17 +137,46 @@ def _smallest_ids(distinct: DataFrame, reached: DataFrame) -> DataFrame:
                      "simhash-rooted")
     least = written(rooted.groupBy("root").agg(F.min("first").alias("component_id")),
                     "simhash-least")
-    return rooted.join(least, "root").select("fp", "component_id")
+    return rooted.join(least, "root").select("fp", "root", "component_id")
 
 
 def keep_first(df: DataFrame, shingle: int = 3, max_bits: int = 2, id_col: str = "doc_id",
                text_col: str = "text") -> DataFrame:
-    """The rows of `df` whose id names their component: one document of each group stays. Rows that
-    repeat an id are one document, of which one row stays."""
-    kept = written(simhash_components(df, shingle, max_bits, id_col, text_col)
-                   .filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
-                   .groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")), "simhash-kept")
-    if not kept.filter("n > 1").isEmpty():
-        df = df.dropDuplicates([id_col])
-    # Kept ids grow with the documents, so both sides are shuffled at any size.
-    return df.join(kept.hint("merge"), df[id_col].eqNullSafe(kept["doc_id"]), "left_semi")
+    """One row of `df` for each component: that of the smallest id, null being the greatest; of the smallest
+    fingerprint, where rows of one component share the id; and of the smallest hash of the row, where they share
+    the fingerprint too. Rows that share an id in different components are documents of their own."""
+    prints = written(rooted_prints(df, shingle, max_bits, id_col, text_col), "simhash-rows")
+    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "fp")).alias("first")
+    kept = written(prints.groupBy("root").agg(first).select("first.doc_id", "first.fp"), "simhash-kept")
+    repeated = written(prints.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+                       .select("doc_id"), "simhash-repeated")
+
+    def with_id(rows, ids, how):
+        # Kept ids grow with the documents, so both sides are shuffled at any size.
+        ids = ids.select(F.col("doc_id").alias(own)).distinct()
+        return rows.join(ids.hint("merge"), rows[id_col].cast("long").eqNullSafe(ids[own]), how)
+
+    own, mark, place = fresh(df, "_own"), fresh(df, "_fp"), fresh(df, "_place")
+    if repeated.isEmpty():
+        return with_id(df, kept, "left_semi")
+    single = with_id(with_id(df, repeated, "left_anti"), kept, "left_semi")
+    again = with_fingerprint(with_id(df, repeated, "left_semi"), text_col, mark, shingle)
+    wanted = kept.select(F.col("doc_id").alias(own), F.col("fp").alias("_wanted"))
+    again = again.join(wanted, again[id_col].cast("long").eqNullSafe(wanted[own])
+                       & (again[mark] == wanted["_wanted"]), "left_semi")
+    by_row = Window.partitionBy(id_col, mark).orderBy(F.xxhash64(*[F.col(f"`{c}`").cast("string") for c in df.columns]))
+    one = again.withColumn(place, F.row_number().over(by_row)).filter(F.col(place) == 1)
+    return single.unionByName(one.select(*[F.col(f"`{c}`") for c in df.columns]))
+
+
+def with_fingerprint(df: DataFrame, text_col: str, name: str, shingle: int = 3) -> DataFrame:
+    """`df` with the fingerprint of each row in the new column `name`."""
+    schema, at = StructType([*df.schema, StructField(name, LongType())]), df.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            prints = [fingerprint(str(t.as_py() if t.is_valid else ""), shingle) for t in batch.column(at)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(prints, pa.int64())],
+                                             names=[*batch.schema.names, name])
+
+    return df.mapInArrow(run, schema)

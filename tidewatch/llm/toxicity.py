@@ -27,7 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tidewatch.llm.frames import texts
+from tidewatch.llm.frames import smallest_hashes, texts
 from tidewatch.plans.durable import written
 
 WORDS = re.compile(r"\w+").findall
@@ -225,8 +225,8 @@ def sampled(docs: DataFrame, labels: DataFrame, learn_from: Column, sample: int,
                     .groupBy("doc_id").agg(F.max("toxic").alias("toxic")), "toxicity-labels")
     sizes = {r["toxic"]: r["n"] for r in known.groupBy("toxic").agg(
         F.count(F.lit(1)).alias("n")).collect()}
-    picked = [known.filter(F.col("toxic") == label).orderBy(F.xxhash64("doc_id"), "doc_id")
-              .limit(sample).withColumn("weight", F.lit(float(max(1.0, sizes.get(label, 0) / sample))))
+    picked = [smallest_hashes(known.filter(F.col("toxic") == label), "doc_id", sample)
+              .withColumn("weight", F.lit(float(max(1.0, sizes.get(label, 0) / sample))))
               for label in (0, 1)]
     # At most 2 * sample rows: the bound of what is broadcast. Of equal ids one text is taken.
     found = docs.join(F.broadcast(picked[0].unionByName(picked[1])), "doc_id")

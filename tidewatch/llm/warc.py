@@ -4,6 +4,11 @@ The source plans partitions of whole files. It takes predicates on the record ty
 fields and the content length from Spark, parses each header first, and skips the content of records that
 do not pass without reading or decoding it; with the option `payload=false` it skips all contents.
 
+A record is damaged if its content ends early, its length is no number, or what follows the record before does
+not begin one. `damaged=fail`, the default, ends the read with an error that names the file. With `damaged=keep` it
+becomes a row whose `fault` says what is wrong, and reading goes on at the next line that begins a record.
+Header bytes that are not UTF-8 are read as replacement characters.
+
 Writing: of records with equal payloads of at least `least` bytes, that with the largest id becomes the
 response and the others revisit it without a payload. Payloads count as equal when SHA-1 and length are.
 Only digest, length and id are shuffled to find them.
@@ -15,8 +20,10 @@ is left out; an empty table gives an archive without records.
 
 import gzip
 import io
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import partial
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -27,12 +34,15 @@ from pyspark.sql.datasource import (DataSource, DataSourceReader, EqualTo, Filte
 from tidewatch.plans.durable import written
 
 SCHEMA = ("record_type string, record_id string, target_uri string, date string, refers_to string, "
-          "payload_digest string, content_length long, headers map<string,string>, payload binary")
+          "payload_digest string, content_length long, headers map<string,string>, payload binary, "
+          "fault string")
 # The header field behind each column.
 FIELDS = {"record_type": "warc-type", "record_id": "warc-record-id", "target_uri": "warc-target-uri",
           "date": "warc-date", "refers_to": "warc-refers-to", "payload_digest": "warc-payload-digest"}
 ARROW = pa.schema([*[(c, pa.string()) for c in FIELDS], ("content_length", pa.int64()),
-                   ("headers", pa.map_(pa.string(), pa.string())), ("payload", pa.binary())])
+                   ("headers", pa.map_(pa.string(), pa.string())), ("payload", pa.binary()),
+                   ("fault", pa.string())])
+_NONE = dict.fromkeys(ARROW.names)
 ID = "urn:record:"
 #: What one Arrow batch holds at most: records, and bytes of payload.
 BATCH_RECORDS, BATCH_BYTES = 1000, 8 << 20
@@ -62,6 +72,7 @@ class WarcReader(DataSourceReader):
         self.path = options["path"]
         self.decode = options.get("payload", "true").lower() != "false"
         self.partition_bytes = int(options.get("partitionBytes", 32 << 20))
+        self.keep_damaged = options.get("damaged", "fail").lower() == "keep"
         self.filters: list[Filter] = []
 
     def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:
@@ -99,8 +110,13 @@ class WarcReader(DataSourceReader):
         rows, size = [], 0
         for name in partition.names:
             with system.open_input_file(name) as raw:
-                stream = gzip.open(raw) if name.endswith(".gz") else io.BufferedReader(raw, 1 << 20)
-                for row in self.records(stream):
+                if name.endswith(".gz"):
+                    stream, skip = gzip.open(raw), _skip_packed
+                else:
+                    stream, skip = io.BufferedReader(raw, 1 << 20), partial(_skip_plain, raw.size())
+                for row in self.records(stream, skip):
+                    if row["fault"] and not self.keep_damaged:
+                        raise ValueError(f"{name}: {row['fault']}")
                     rows.append(row)
                     size += len(row["payload"] or b"")
                     if len(rows) >= BATCH_RECORDS or size >= BATCH_BYTES:
@@ -109,29 +125,54 @@ class WarcReader(DataSourceReader):
         if rows:
             yield pa.RecordBatch.from_pylist(rows, ARROW)
 
-    def records(self, stream) -> Iterator[dict]:
+    def records(self, stream, skip=None) -> Iterator[dict]:
+        """Records that are wanted, and damaged ones. `skip(stream, length)` passes over the content of others
+        and says whether all of it was there."""
+        skip, lost = skip or partial(_skip_plain, math.inf), False
         while line := stream.readline():
             if not line.startswith(b"WARC/"):
-                if line.strip():
-                    raise ValueError(f"no WARC record begins with {line[:40]!r}")
+                if line.strip() and not lost:
+                    lost = True  # once for all lines up to the next record
+                    yield from self._damaged(_NONE, f"no record begins with {line[:40]!r}")
                 continue
-            headers = {}
+            lost, headers = False, {}
             while (line := stream.readline()).strip():
-                key, _, value = line.decode("utf-8").partition(":")
+                key, _, value = line.decode("utf-8", "replace").partition(":")
                 headers[key.strip().lower()] = value.strip()
-            length = int(headers.get("content-length", 0))
-            row = {c: headers.get(h) for c, h in FIELDS.items()} | {
-                "content_length": length, "headers": list(headers.items()), "payload": None}
-            if not self.wanted(row) or not self.decode:
-                stream.seek(length, io.SEEK_CUR)
-            else:
+            row = _NONE | {c: headers.get(h) for c, h in FIELDS.items()} | {"headers": list(headers.items())}
+            size = headers.get("content-length", "0")
+            if not (size.isascii() and size.isdigit()):
+                yield from self._damaged(row, f"the length is {size!r}")
+                continue
+            row["content_length"] = length = int(size)
+            wanted = self.wanted(row)
+            if wanted and self.decode:
                 content = stream.read(length)
+                whole = len(content) == length
                 if headers.get("content-type", "").startswith("application/http"):
                     content = content.partition(b"\r\n\r\n")[2]
                 row["payload"] = content
-            if self.wanted(row):
+            else:
+                whole = skip(stream, length)
+            if not whole:
+                yield from self._damaged(row, f"the content ends before {length} bytes")
+            elif wanted:
                 yield row
 
+    def _damaged(self, row: dict, fault: str) -> Iterator[dict]:
+        """Filters see it like any other row, unless damage ends the read."""
+        if not self.keep_damaged or self.wanted(row):
+            yield row | {"fault": fault}
+
+
+def _skip_plain(size: float, stream, length: int) -> bool:
+    return (stream.seek(length, io.SEEK_CUR) or 0) <= size
+
+
+def _skip_packed(stream, length: int) -> bool:
+    start = stream.tell()
+    return stream.seek(length, io.SEEK_CUR) == start + length
+
 
 class WarcSource(DataSource):
     @classmethod
@@ -145,11 +186,13 @@ class WarcSource(DataSource):
         return WarcReader(self.options)
 
 
-def read_warc(spark: SparkSession, path: str, payload: bool = True) -> DataFrame:
-    """The records under `path`. Turns on filter push-down for Python sources in this session."""
+def read_warc(spark: SparkSession, path: str, payload: bool = True, damaged: str = "fail") -> DataFrame:
+    """The records under `path`. Turns on filter push-down for Python sources in this session. With
+    `damaged="keep"` a damaged record has nulls where its header says nothing, and filters treat it like any row."""
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.dataSource.register(WarcSource)
-    return spark.read.format("warc").option("payload", str(payload).lower()).load(path)
+    return (spark.read.format("warc").option("payload", str(payload).lower()).option("damaged", damaged)
+            .load(path))
 
 
 def marked(pages: DataFrame, least: int = 1000) -> DataFrame:
