@@ -1,4 +1,10 @@
-"""The corpus pipeline: stages over `documents`, each written and read again as the next one's input."""
+"""The corpus pipeline: stages over `documents`, each written and read again as the next one's input.
+
+Edge cases: null and empty texts fail the base quality rules and go in the first stage, so none reaches the
+others; taken alone, the other stages keep them, as one SimHash group. Rows that share an id but not the text are
+documents of their own; of rows that share both, one stays. Other columns are carried along, whatever their names.
+An empty table gives no sequences.
+"""
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -27,11 +33,16 @@ def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str)
 
 
 def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document stays; the secrets in its text are masked, and `n_chars` follows where they were."""
-    masked = secret_scan.redacted(docs.withColumn("_before", F.col("text")))
-    changed = ~F.col("text").eqNullSafe(F.col("_before"))
-    return (masked.withColumn("n_chars", F.when(changed, F.length("text").cast("long"))
-                              .otherwise(F.col("n_chars"))).drop("_before"))
+    """Every document stays; the secrets in its text are masked, and `n_chars`, if there is such a column,
+    follows where there were any."""
+    found = fresh(docs, "_found")
+    masked = secret_scan.redacted(docs, found_col=found)
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    if "n_chars" in docs.columns:
+        kind = docs.schema["n_chars"].dataType
+        follows = F.when(F.col(found), F.length("text").cast(kind)).otherwise(F.col("n_chars"))
+        columns[docs.columns.index("n_chars")] = follows.alias("n_chars")
+    return masked.select(*columns)
 
 
 def sequence_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
