@@ -20,6 +20,7 @@ from tidewatch.plans.durable import scratch_path, written
 from tidewatch.plans.latest import latest_by_key
 from tidewatch.plans.ordered import row_numbers
 from tidewatch.rules import SpamRule
+from tidewatch.sinks.catalog import CatalogSink
 from tidewatch.sinks.tables import AUTHORS_ONLY, FULL, CountSink, TableSink
 from tidewatch.sources.events import parsed, read_events
 from tidewatch.sources.tables import COLUMNS, as_events, light_events, table, table_events
@@ -167,6 +168,30 @@ def compacted_views(spark, folder):
                  .unionByName(rows("flagged_events", sink.flagged_events(spark), F.col("rule_id"))))
 
 
+def _catalog_store(spark, folder, name) -> CatalogSink:
+    """The author view in a database of its own, after two writes of which the second sends some again."""
+    path = scratch_path(spark, name)
+    database = "tidewatch_" + path.rsplit("-", 1)[1]
+    spark.sql(f"CREATE DATABASE {database} LOCATION '{path}'")
+    sink, events = CatalogSink(spark, database, AUTHORS_ONLY), table_events(spark, folder)
+    sink.write_events(events)
+    sink.write_events(events.filter(F.col("kind") == schemas.FOLLOW).withColumn("text", F.lit("again")))
+    return sink
+
+
+@query
+def catalog_events_by_did(spark, folder):
+    rows = _catalog_store(spark, folder, "catalog").events_by_did(spark)
+    return plain(rows.select("did", "received_at", "id", "kind", "text"))
+
+
+@query
+def catalog_recent_by_author(spark, folder):
+    sink = _catalog_store(spark, folder, "catalog-recent")
+    rows = reads.recent_events(sink.events_by_did(spark), settings.AUTHOR, settings.AUTHOR_LIMIT)
+    return plain(rows.select("did", "received_at", "id", "kind", "text"))
+
+
 @query
 def sink_counts(spark, folder):
     sink, events = CountSink(), table_events(spark, folder)

@@ -114,15 +114,14 @@ class TableSink:
         Sets and records that are no longer needed go once they are older than `keep`, which has to exceed
         the time that a read or a write takes.
         """
-        log = CommitLog(spark, f"{self.folder}/_commits")
+        log = self._log(spark)
         seen = log.live()
         made, merged = [], set()
         for table in TABLES:
             sets = [s for s in seen if s.table == table and s.rows]
             if len(sets) > 1:
                 rows = self._read(spark, table, sets)
-                lay = TABLES[table][3]
-                one = self.write_set(lay(rows, sum(s.rows for s in sets)), table, "all")
+                one = self.write_set(self._laid(rows, table, sum(s.rows for s in sets)), table, "all")
                 made.append(replace(one, order=max(s.order for s in sets)))
                 merged |= {s.name for s in sets}
         if not made:
@@ -137,21 +136,21 @@ class TableSink:
             log.add(record)
         except Conflict:
             for one in made:
-                removed(spark, self._path(one))
+                self._remove(spark, one.table, one.name)
             raise
         self.vacuum(spark, keep)
 
     def vacuum(self, spark: SparkSession, keep: timedelta) -> None:
         """Remove sets that are not live and older than `keep`, and records before the last snapshot but
         one."""
-        log = CommitLog(spark, f"{self.folder}/_commits")
+        log = self._log(spark)
         oldest = _now() - keep // timedelta(milliseconds=1)
-        before = {table: folders(spark, f"{self.folder}/{table}") for table in TABLES}
+        before = {table: folders(spark, self._location(spark, table)) for table in TABLES}
         live = {s.name for s in log.live()}
         for table, names in before.items():
             for name in (n.removeprefix(f"{SET}=") for n in names if n.startswith(f"{SET}=")):
                 if name not in live and int(name.split("-")[0]) <= oldest:
-                    removed(spark, f"{self.folder}/{table}/{SET}={name}")
+                    self._remove(spark, table, name)
         log.drop_before((log.snapshots() or [0])[-2:][0])
 
     def write_set(self, df: DataFrame, table: str, part: str) -> Written:
@@ -159,11 +158,9 @@ class TableSink:
         one = Written(table, f"{_now():013d}-{uuid.uuid4().hex}", part, 0)
         at, seen = F.unix_micros("received_at"), Observation()
         rule = F.col("rule_id") if "rule_id" in df.columns else F.lit(None).cast("string")
-        (df.observe(seen, F.count(F.lit(1)).alias("rows"), F.count(at).alias("timed"),
-                    F.min(at).alias("low"), F.max(at).alias("high"),
-                    F.min(rule).alias("first"), F.max(rule).alias("last"))
-         .write.partitionBy(*TABLES[table][2]).option("maxRecordsPerFile", FILE_RECORDS)
-         .parquet(self._path(one)))
+        self._store(df.observe(seen, F.count(F.lit(1)).alias("rows"), F.count(at).alias("timed"),
+                               F.min(at).alias("low"), F.max(at).alias("high"),
+                               F.min(rule).alias("first"), F.max(rule).alias("last")), one)
         found = seen.get
         rows = found.get("rows", 0)
         timed = rows and found["timed"] == rows
@@ -171,11 +168,37 @@ class TableSink:
                        high=found["high"] if timed else None, first=found.get("first"),
                        last=found.get("last"))
 
-    def _path(self, one: Written) -> str:
-        return f"{self.folder}/{one.table}/{SET}={one.name}"
+    # Where sets lie. A store of another kind differs in these alone.
+
+    def _log(self, spark: SparkSession) -> CommitLog:
+        return CommitLog(spark, f"{self.folder}/_commits")
+
+    def _location(self, spark: SparkSession, table: str) -> str:
+        return f"{self.folder}/{table}"
+
+    def _laid(self, df: DataFrame, table: str, rows: int) -> DataFrame:
+        return TABLES[table][3](df, rows)
+
+    def _store(self, df: DataFrame, one: Written) -> None:
+        (df.write.partitionBy(*TABLES[one.table][2]).option("maxRecordsPerFile", FILE_RECORDS)
+         .parquet(f"{self.folder}/{one.table}/{SET}={one.name}"))
+
+    def _remove(self, spark: SparkSession, table: str, name: str) -> None:
+        removed(spark, f"{self.folder}/{table}/{SET}={name}")
+
+    def _sets(self, spark: SparkSession, table: str, sets: list[Written]) -> DataFrame:
+        """The rows of sets, with their names."""
+        types = {f.name: f.dataType for f in [*schemas.EVENT, *schemas.FLAGGED]}
+        types |= {"bucket_minute": T.TimestampType(), _DATED: T.DateType(), SET: T.StringType()}
+        schema = T.StructType([T.StructField(c, types[c]) for c in [*TABLES[table][0], SET]])
+        if not sets:
+            return spark.createDataFrame([], schema)
+        top = f"{self.folder}/{table}"
+        return (spark.read.schema(schema).option("basePath", top)
+                .parquet(*[f"{top}/{SET}={s.name}" for s in sets]))
 
     def _table(self, spark: SparkSession, table: str) -> DataFrame:
-        live = CommitLog(spark, f"{self.folder}/_commits").live()
+        live = self._log(spark).live()
         return self._read(spark, table, [s for s in live if s.table == table and s.rows])
 
     def _read(self, spark: SparkSession, table: str, sets: list[Written]) -> DataFrame:
@@ -191,15 +214,6 @@ class TableSink:
         latest = latest_by_key(mixed, key, [ORDER]).select(*columns)
         return rows.unionByName(latest) if alone else latest
 
-    def _sets(self, spark: SparkSession, table: str, sets: list[Written]) -> DataFrame:
-        types = {f.name: f.dataType for f in [*schemas.EVENT, *schemas.FLAGGED]}
-        types |= {"bucket_minute": T.TimestampType(), _DATED: T.DateType(), SET: T.StringType()}
-        schema = T.StructType([T.StructField(c, types[c]) for c in [*TABLES[table][0], SET]])
-        if not sets:
-            return spark.createDataFrame([], schema)
-        return (spark.read.schema(schema).option("basePath", f"{self.folder}/{table}")
-                .parquet(*map(self._path, sets)))
-
 
 class OpenBatch:
     """What one batch has written and not yet committed. It is a sink itself; `batch` is its own."""
@@ -228,14 +242,14 @@ class OpenBatch:
             return Record([replace(s, owner=self.owner, order=number) for s in self.sets],
                           batch=self.owner if self.whole else None)
 
-        CommitLog(self.spark, f"{self.sink.folder}/_commits").add(record)
+        self.sink._log(self.spark).add(record)
 
     def _write(self, view, table, key, n, once, part) -> None:
         if not n:  # a set without rows still takes the place of what its batch wrote before
             self.sets.append(Written(table, f"{_now():013d}-{uuid.uuid4().hex}", part, 0))
             return
         view = view if once else latest_by_key(view, key, [])
-        self.sets.append(self.sink.write_set(TABLES[table][3](view, n), table, part))
+        self.sets.append(self.sink.write_set(self.sink._laid(view, table, n), table, part))
 
 
 def _now() -> int:
@@ -260,21 +274,3 @@ def _counted(df: DataFrame) -> int:
     seen = Observation()
     df.observe(seen, F.count(F.lit(1)).alias("rows")).write.format("noop").mode("overwrite").save()
     return seen.get["rows"]
-
-
-def create_tables(spark: SparkSession, database: str) -> None:
-    """Create the database and its three tables where they do not exist yet."""
-    spark.sql(f"CREATE DATABASE IF NOT EXISTS {database}")
-    lists = "langs ARRAY<STRING>, links ARRAY<STRING>, created_at TIMESTAMP"
-    spark.sql(f"""CREATE TABLE IF NOT EXISTS {database}.{BY_DID_TABLE} (
-        did STRING, received_at TIMESTAMP, id STRING, kind STRING, text STRING, {lists})
-        USING parquet""")
-    spark.sql(f"""CREATE TABLE IF NOT EXISTS {database}.{BY_MINUTE_TABLE} (
-        bucket_minute TIMESTAMP, received_at TIMESTAMP, id STRING, did STRING, text STRING,
-        {lists}, kind STRING, bucket_date DATE)
-        USING parquet PARTITIONED BY (kind, bucket_date)""")
-    spark.sql(f"""CREATE TABLE IF NOT EXISTS {database}.{FLAGGED_TABLE} (
-        received_at TIMESTAMP, id STRING, rule_id STRING, did STRING, kind STRING, text STRING,
-        severity STRING, reason STRING, evidence MAP<STRING, STRING>, bucket_hour TIMESTAMP,
-        bucket_date DATE)
-        USING parquet PARTITIONED BY (bucket_date)""")
