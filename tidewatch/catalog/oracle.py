@@ -251,6 +251,7 @@ ORACLE = {
     "detect_keyword": _posts_matching(_KEYWORDS),
     "detect_regex": _posts_matching(_REGEXES),
     "detect_spam": f"WITH {_EV}, {_SPAM} SELECT {_NO_TEXT} FROM spam",
+    "detect_spam_table": f"WITH {_EV}, {_SPAM} SELECT {_NO_TEXT} FROM spam",
     "detect_blocklist": f"WITH {_EV}, {_LINK} SELECT {_NO_TEXT} FROM link",
     "detect_blocklist_table": f"WITH {_EV}, {_links(_PAGE_LISTED)} SELECT {_NO_TEXT} FROM link",
     "detect_rate_spike": f"WITH {_LIGHT_TEXT}, {_HOURLY} SELECT {_NO_TEXT} FROM rate",
@@ -272,6 +273,12 @@ ORACLE = {
       SELECT id, did, min(id) OVER (PARTITION BY body) AS first_id,
              count(*) OVER (PARTITION BY body) AS copies
       FROM posts QUALIFY count(*) OVER (PARTITION BY body) >= 2""",
+    "detect_keyword_table": f"""WITH {_EV},
+        kw AS (SELECT item_id, left(text, 24) AS k FROM benchmark WHERE text <> ''),
+        hit AS (SELECT id, item_id, substr(ev.text, instr(lower(ev.text), lower(k)), length(k)) AS m
+                FROM ev JOIN kw ON contains(lower(ev.text), lower(k))
+                WHERE kind = 'app.bsky.feed.post' AND ev.text <> '')
+        SELECT id, string_agg(m, '|' ORDER BY item_id) AS matches FROM hit GROUP BY id""",
     "detect_repetition_near": fr"""WITH RECURSIVE {_EV.lstrip()}, posts AS (
         SELECT id, did, trim(regexp_replace(lower(text), '[ \t\n\f\r]+', ' ', 'g')) AS body
         FROM ev WHERE kind = 'app.bsky.feed.post' AND text <> ''),

@@ -1,6 +1,7 @@
 """The registered queries: `name -> (spark, folder) -> DataFrame`."""
 
 from datetime import timedelta
+from string import ascii_lowercase, ascii_uppercase
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -13,6 +14,7 @@ from tidewatch.operators import reads, rollups, signals
 from tidewatch.operators.blocklist import LinkDetector, LinkTableDetector, normalised
 from tidewatch.operators.composite import detectors, flag
 from tidewatch.operators.keyword import SpamDetector, is_post_with_text
+from tidewatch.operators.keyword_table import KeywordTableDetector
 from tidewatch.operators.rate import RateDetector
 from tidewatch.operators.reconcile import reconcile
 from tidewatch.operators.repetition import near_repeated_posts
@@ -297,6 +299,24 @@ def detect_spam(spark, folder):
                  .drop("text"))
 
 
+@query
+def detect_spam_table(spark, folder):
+    """The spam rule with its keywords as a table."""
+    rule = settings.RULES
+    keywords = spark.createDataFrame(list(enumerate(rule.spam_keywords)), "place long, keyword string")
+    detector = KeywordTableDetector(keywords, rule.spam_severity, rule.spam_regexes)
+    return plain(detector.hits(table_events(spark, folder)).drop("text"))
+
+
+@query
+def detect_keyword_table(spark, folder):
+    """A keyword for each benchmark item, the first 24 characters of its text with A to Z for a to z."""
+    start = F.translate(F.left("text", F.lit(24)), ascii_lowercase, ascii_uppercase)
+    keywords = table(spark, folder, "benchmark").select(F.col("item_id").alias("place"), start.alias("keyword"))
+    hits = KeywordTableDetector(keywords).hits(table_events(spark, folder))
+    return hits.select("id", F.element_at("evidence", "matches").alias("matches"))
+
+
 @query
 def detect_blocklist(spark, folder):
     return plain(LinkDetector(settings.RULES.links()).hits(table_events(spark, folder))

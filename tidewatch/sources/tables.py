@@ -17,7 +17,8 @@ KINDS = {"click": schemas.POST, "view": schemas.POST, "purchase": schemas.REPOST
 COLUMNS = {
     "events": "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double",
     "documents": "doc_id bigint, text string, lang string",
-    "pages": "page_id bigint, url string"}
+    "pages": "page_id bigint, url string",
+    "benchmark": "item_id bigint, text string"}
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
