@@ -385,6 +385,22 @@ ORACLE = {
         SELECT "window", count(*) AS trips, count(DISTINCT did) AS authors FROM trips GROUP BY 1""",
     "flags_by_rule": f"""WITH {_FLAGGED}
         SELECT rule_id, severity, count(*) AS flags FROM flagged GROUP BY ALL""",
+    "merged_percentiles": """
+        WITH v AS (SELECT date_trunc('day', ts) AS window_start,
+                          greatest(least(CAST(round(value * 1000) AS BIGINT), 60000000), 1) AS us FROM events)
+        SELECT CAST(window_start AS TIMESTAMP) AS window_start, quantile, count(*) AS events, max(us) AS max,
+               true AS within
+        FROM v, (VALUES ('p50'), ('p95'), ('p99'), ('p99_9')) q(quantile) GROUP BY ALL""",
+    "merged_authors": """
+        WITH day AS (SELECT date_trunc('day', ts) AS d, user_id FROM events),
+        w AS (SELECT '1 day' AS length, d AS window_start, user_id FROM day
+              UNION ALL SELECT '3 days', d - INTERVAL 1 DAY * k, user_id FROM day, range(0, 3) r(k))
+        SELECT length, CAST(window_start AS TIMESTAMP) AS window_start, count(*) AS events,
+               count(DISTINCT user_id) AS authors, true AS within FROM w GROUP BY ALL""",
+    "top_words": f"""WITH {_EV}, w AS (
+          SELECT unnest(regexp_extract_all(lower(text), '[0-9a-z]+')) AS word
+          FROM ev WHERE kind = 'app.bsky.feed.post' AND text <> '')
+        SELECT word, count(*) AS hits FROM w GROUP BY word ORDER BY hits DESC, word LIMIT 100""",
     "partition_skew": f"""WITH {_LIGHT} {" UNION ALL ".join(
         _skew(name, key) for name, key in _SKEW_KEYS.items())}""",
     "stream_ingest": f"""WITH {_FLAGGED}

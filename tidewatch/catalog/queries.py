@@ -10,7 +10,7 @@ from tidewatch.catalog import settings
 from tidewatch.functions.links import host
 from tidewatch.functions.text import severity
 from tidewatch.functions.times import MINUTE
-from tidewatch.operators import reads, rollups, signals
+from tidewatch.operators import reads, rollups, signals, sketches
 from tidewatch.operators.blocklist import LinkDetector, LinkTableDetector, normalised
 from tidewatch.operators.composite import detectors, flag
 from tidewatch.operators.keyword import SpamDetector, is_post_with_text
@@ -25,7 +25,7 @@ from tidewatch.rules import SpamRule
 from tidewatch.sinks.catalog import CatalogSink
 from tidewatch.sinks.tables import AUTHORS_ONLY, FULL, CountSink, TableSink
 from tidewatch.sources.events import parsed, read_events
-from tidewatch.sources.tables import COLUMNS, as_events, light_events, table, table_events
+from tidewatch.sources.tables import COLUMNS, as_events, did, light_events, table, table_events
 from tidewatch.streaming.ingest import start_ingest
 from tidewatch.streaming.live import (Closable, live_sliding, live_tumbling, start_append,
                                       without_replays)
@@ -495,6 +495,59 @@ def rate_trips_by_window(spark, folder):
     return rollups.trips_by_window(hits)
 
 
+def _minutes(spark, folder) -> DataFrame:
+    events = table(spark, folder, "events")
+    return written(sketches.minute_summaries(events, "ts", latency(events), did(F.col("user_id"))), "minutes")
+
+
+@query
+def merged_percentiles(spark, folder):
+    """For each day and quantile, out of sketches of minutes: whether the rank of what they say, counted
+    exactly, is within the stated error of the quantile."""
+    events = table(spark, folder, "events")
+    said = sketches.merged(_minutes(spark, folder), "1 day")
+    points = F.explode(F.array(*[F.struct(F.lit(rollups.quantile_name(q)).alias("quantile"), F.lit(q).alias("q"),
+                                          F.col(rollups.quantile_name(q)).alias("point"))
+                                 for q in rollups.QUANTILES])).alias("p")
+    said = written(said.select("window_start", "events", "max", points).select("window_start", "events", "max", "p.*"),
+                   "said")
+    rows = events.select(F.date_trunc("day", "ts").alias("window_start"),
+                         rollups.clamped(latency(events)).alias("v"))
+    ranks = (rows.join(said, "window_start").groupBy("window_start", "quantile", "q", "events", "max")
+             .agg(F.count_if(F.col("v") < F.col("point")).alias("below"),
+                  F.count_if(F.col("v") <= F.col("point")).alias("upto"), F.count("v").alias("n")))
+    error = F.lit(sketches.rank_error()) * F.col("n") + 1
+    rank = F.col("q") * F.col("n")
+    return plain(ranks.select("window_start", "quantile", "events", "max",
+                              ((F.col("below") - error <= rank) & (rank <= F.col("upto") + error)).alias("within")))
+
+
+@query
+def merged_authors(spark, folder):
+    """Authors of each day and of each 3 days every day, out of sketches of minutes: whether they are within five
+    standard errors of the exact number."""
+    minutes, out = _minutes(spark, folder), None
+    rows = table(spark, folder, "events").select(F.col("ts").cast("timestamp").alias("ts"), "user_id")
+    for length, step in (("1 day", None), ("3 days", "1 day")):
+        said = sketches.merged(minutes, length, step).select("window_start", "events", F.col("authors").alias("said"))
+        window = F.window("ts", length, step) if step else F.window("ts", length)
+        exact = (rows.groupBy(window["start"].alias("window_start"), "user_id").agg(F.count(F.lit(1)).alias("n"))
+                 .groupBy("window_start").agg(F.count(F.lit(1)).alias("authors")))
+        off = F.abs(F.col("said") - F.col("authors")) <= F.col("authors") * 5 * 1.04 / 64 + 1
+        one = said.join(exact, "window_start").select(F.lit(length).alias("length"), "window_start", "events",
+                                                      "authors", off.alias("within"))
+        out = one if out is None else out.unionByName(one)
+    return plain(out)
+
+
+@query
+def top_words(spark, folder):
+    """The hundred most frequent words of posts: labels without bound."""
+    words = F.filter(F.split(F.lower("text"), "[^0-9a-z]+"), lambda w: w != "")
+    posts = table_events(spark, folder).filter(is_post_with_text())
+    return sketches.top_labels(posts, words, "word", 100)
+
+
 @query
 def flags_by_rule(spark, folder):
     return rollups.flags_by_rule(flag(table_events(spark, folder), detectors(settings.RULES)))

@@ -85,7 +85,8 @@ def sliding(events: DataFrame, seconds: int = RATE_SECONDS,
 
 
 def clamped(value: Column, low: int = LATENCY_MIN, high: int = LATENCY_MAX) -> Column:
-    return F.greatest(F.least(value, F.lit(high)), F.lit(low))
+    """Null stays null."""
+    return F.when(value.isNotNull(), F.greatest(F.least(value, F.lit(high)), F.lit(low)))
 
 
 def percentiles(df: DataFrame, value: Column, quantiles=QUANTILES) -> DataFrame:
