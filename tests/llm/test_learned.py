@@ -201,3 +201,85 @@ def test_lm_query(spark):
              for r in table(spark, FOLDER, "documents").collect()}
     assert {r.doc_id: r.n_words for r in rows} == sizes
     assert all(r.log_prob <= 0 for r in rows)
+
+
+def slow_spelling(texts):
+    """Log-probabilities of words by their bytes, each after the two before it."""
+    code = lambda b: b if b < 128 else 2 + b % 30
+    line = lambda w: [L.START, L.START, *map(code, w), L.END]
+    three, two = Counter(), Counter()
+    for text in texts:
+        for word in (text or "").encode().split():
+            codes = line(word)
+            three.update(zip(codes, codes[1:], codes[2:]))
+            two.update(zip(codes, codes[1:-1]))
+    return lambda w: sum(np.log((three[t] + L.SMOOTH) / (two[t[:2]] + L.SMOOTH * L.CODES))
+                         for t in zip(line(w), line(w)[1:], line(w)[2:]))
+
+
+def slow_scores(texts, weights, vocabulary):
+    """Word by word: the whole softmax over classes and over the class's words, then the spelling."""
+    number, spell = {w.encode(): i for i, w in enumerate(vocabulary.words, 1)}, slow_spelling(texts)
+    w = {n: v.astype(float) for n, v in weights.items()}
+    softmax = lambda z: np.exp(z - z.max()) / np.exp(z - z.max()).sum()
+    out = []
+    for text in texts:
+        words = (text or "").encode().split()
+        ids = [L.PAD] * L.REACH + [number.get(x, 0) for x in words] + [L.PAD] * L.REACH
+        total = 0.0
+        for i, word in enumerate(words, L.REACH):
+            h = np.tanh(sum(w["context"][k][ids[i + o]] for k, o in enumerate(L.OFFSETS)))
+            kind, place = divmod(ids[i], L.CLASSES)
+            total += np.log(softmax(h @ w["classes"] + w["class_bias"])[kind])
+            total += np.log(softmax(h @ w["words"][kind] + w["word_bias"][kind])[place])
+            total += 0 if ids[i] else spell(word)
+        out.append(total)
+    return out
+
+
+def test_scores_equal_brute_force(spark):
+    texts = [prose(i, 30, 3000) for i in range(25)] + ["", None, " \n\t ", "é漢字 x\x0by", "one", "w1 " * 300]
+    docs = L.texts(documents(spark, texts))
+    vocabulary, total = L.vocabulary_of(docs)
+    assert total == sum(len((t or "").split()) for t in texts)
+    weights = L.trained(L.sharded(docs, vocabulary, total, 200))
+    rows = {r.doc_id: r for r in L.lm_scores(documents(spark, texts), shard_words=200).collect()}
+    for i, expected in enumerate(slow_scores(texts, weights, vocabulary)):
+        assert rows[i].log_prob == pytest.approx(expected, rel=1e-4, abs=1e-6)
+
+
+def test_scores_do_not_depend_on_partitions(spark):
+    docs = documents(spark, [prose(i, 60, 500) for i in range(60)], [(3, prose(3, 60, 500)), (None, "a b c")])
+    found = [sorted(map(repr, L.lm_scores(docs.repartition(n), shard_words=500).collect())) for n in (1, 7)]
+    assert found[0] == found[1]
+
+
+def test_every_word_is_a_target_once(monkeypatch):
+    ids, _, _ = L.laid_out([np.arange(7, dtype="i4"), np.arange(4, dtype="i4")])
+    seen = []
+
+    class Watch:
+        def learn(self, ids, at):
+            seen.extend(at.tolist())
+
+    for turn in range(2):
+        L._train(Watch(), ids, turn, 2)
+    assert sorted(seen) == np.flatnonzero(ids != L.PAD).tolist()
+
+
+def test_salad_and_random_strings_rank_below_prose(spark):
+    """The texts of the table, each with its words shuffled, with letters for words, and words that occur
+    nowhere: none of these is in the table that is learned from more than once."""
+    chance = random.Random(4)
+    prose_rows = [r.text for r in table(spark, SF, "documents").filter("lang = 'en'").collect()
+                  if r.text and 100 < len(r.text.split()) < 1000][:120]
+    letters = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
+    noise = [" ".join("".join(chance.choice(letters) for _ in range(chance.randrange(2, 12))) for _ in range(100))
+             for _ in range(20)]
+    unseen = [" ".join(f"zq{chance.randrange(10 ** 6)}xj" for _ in range(100)) for _ in range(20)]
+    rows = {r.doc_id: r.mean_log_prob for r in L.lm_scores(documents(
+        spark, prose_rows + noise + unseen), rounds=4, stride=2).collect()}
+    n = len(prose_rows)
+    usual = sorted(rows[i] for i in range(n))
+    for strange in (range(n, n + 20), range(n + 20, n + 40)):
+        assert max(rows[i] for i in strange) < usual[n // 20]

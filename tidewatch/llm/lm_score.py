@@ -5,24 +5,29 @@ has its own embedding, their sum goes through tanh, and a two-step softmax gives
 word, then the word in its class. A document's score is the sum of the log-probabilities of all its words,
 each given its neighbours on both sides.
 
-The vocabulary holds the most frequent words of all documents; all others are one unknown word. Training
-runs in rounds over all documents: each task starts from the common weights, learns from its own documents
-in numpy, and sends its weights; their mean by words seen, taken in two levels of bounded groups,
-starts the next round. In each round every `stride`-th word of each document is a target, at another
-offset, and every word is context. What is gathered (word counts and weights of every task) grows with the
-corpus; what reaches the driver is the vocabulary and one set of weights, both of fixed size.
+The network's words are the most frequent of all documents, and one for all others. Another word has the
+probability of that one times that of its spelling: a model of bytes, each given the two before it in its word,
+whose counts are of every word of all documents. So no word is free: one that occurs nowhere costs as much as its
+letters are strange.
+
+Training covers every word. Documents are dealt by a hash of id and text into shards of about `shard_words` words,
+each in the order of the hash; a shard's words are one row of a written table. In each round every shard starts from
+the common weights and learns one of every `stride` of its words, at another offset each round; the mean of the
+weights by words seen, taken in the order of the shards in two levels of bounded groups, starts the next
+round. So the scores depend on the documents alone and not on files, partitions or tasks (but for the rounding of
+sums of counts, which are whole). What is gathered (counts, and weights of every shard) grows with the corpus; what
+reaches the driver is the vocabulary, the spelling counts and one set of weights, all of fixed size.
 
 Edge cases: null and empty texts have no words and a score of 0; rows with null or repeated ids keep
-their rows; an empty table gives an empty result.
+their rows, and equal rows are learned as often as they occur; an empty table gives an empty result.
 """
 
-import zlib
-from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from tidewatch.llm.frames import texts
@@ -36,9 +41,14 @@ OFFSETS = [o for o in range(-REACH, REACH + 1) if o]
 SHAPES = {"context": (len(OFFSETS), WORDS + 1, WIDTH), "classes": (WIDTH, CLASSES),
           "class_bias": (CLASSES,), "words": (CLASSES, WIDTH, CLASSES), "word_bias": (CLASSES, CLASSES)}
 BATCH = 4096
-_AT_ONCE = 1 << 16
-#: Tasks whose weights are averaged in one group.
+#: Shards whose weights are averaged in one group.
 GROUP = 64
+SHARD_WORDS = 2_000_000
+#: Codes of a byte in a word: ASCII as it is, others fold to 30 codes that no word has; its start and its end.
+CODES, START, END = 128, 0, 1
+_CODE_OF = np.array([b if b < 128 else 2 + b % 30 for b in range(256)], dtype=np.int64)
+#: What is added to each count of a byte after two others.
+SMOOTH = 0.1
 
 Weights = dict[str, np.ndarray]
 
@@ -129,129 +139,216 @@ class Learner:
         self.seen += n
 
 
-def numbered(text: str, vocabulary: dict[bytes, int]) -> np.ndarray:
-    words = text.encode("utf-8", "surrogatepass").split()
-    return np.fromiter((vocabulary.get(w, 0) for w in words), dtype=np.int32, count=len(words))
-
-
 def laid_out(documents: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """One line of ids with pads between documents; where words are; of which document each is."""
-    pad = np.full(REACH, PAD, dtype=np.int32)
-    parts, at, owner, place = [pad], [], [], REACH
-    for i, ids in enumerate(documents):
-        parts += [ids, pad]
-        at.append(np.arange(place, place + len(ids)))
-        owner.append(np.full(len(ids), i))
-        place += len(ids) + REACH
-    none = np.zeros(0, dtype=np.int64)
-    return np.concatenate(parts), np.concatenate([none, *at]), np.concatenate([none, *owner])
-
-
-def vocabulary_of(docs: DataFrame) -> dict[bytes, int]:
-    """Words by their count over all documents, from 1. What is unknown is 0."""
+    ends = np.concatenate([[0], np.cumsum([len(ids) for ids in documents], dtype=np.int64)])
+    owner = np.repeat(np.arange(len(documents)), np.diff(ends))
+    at = np.arange(ends[-1]) + REACH * (1 + owner)
+    line = np.full(ends[-1] + REACH * len(ends), PAD, dtype=np.int32)
+    line[at] = np.concatenate([np.zeros(0, dtype=np.int32), *documents])
+    return line, at, owner
+
+
+@dataclass(frozen=True)
+class Words:
+    """The words of texts, one after another: which distinct word each is, and where each text's begin."""
+
+    distinct: pa.Array
+    which: np.ndarray
+    ends: np.ndarray
+
+
+def words_of(texts: pa.Array) -> Words:
+    lists = pc.ascii_split_whitespace(texts)
+    words = lists.values
+    filled = pc.greater(pc.binary_length(words), 0).to_numpy(zero_copy_only=False).astype(bool)
+    ends = np.concatenate([[0], np.cumsum(filled)])[lists.offsets.to_numpy()]
+    coded = words.filter(pa.array(filled)).dictionary_encode()
+    return Words(coded.dictionary, coded.indices.to_numpy(), ends)
+
+
+def _cells(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """For each byte of the words and the end of each: its code and the two before, as one number; and where the
+    words begin."""
+    data = words.cast(pa.binary())
+    ends = np.frombuffer(data.buffers()[1], dtype=np.int32)[data.offset:data.offset + len(data) + 1].astype(np.int64)
+    raw = np.frombuffer(data.buffers()[2] or b"", dtype=np.uint8)[ends[0]:ends[-1]]
+    codes = np.insert(_CODE_OF[raw], ends[1:] - ends[0], END)
+    starts = ends[:-1] - ends[0] + np.arange(len(words))
+    before = np.concatenate([[START, START], codes])
+    one, two = before[1:-1].copy(), before[:-2].copy()
+    one[starts] = two[starts] = START
+    second = starts[np.diff(ends) > 0] + 1
+    two[second] = START
+    return (two * CODES + one) * CODES + codes, starts
+
+
+def spelling(counts: np.ndarray) -> np.ndarray:
+    """The log-probability of each byte after two others, out of the counts of all three."""
+    table = counts.reshape(-1, CODES).astype(float) + SMOOTH
+    return np.log(table / table.sum(axis=1, keepdims=True)).astype("f4").ravel()
+
+
+@dataclass(frozen=True)
+class Vocabulary:
+    """The network's words, the most frequent first, and the spelling of all others."""
+
+    words: list[str]
+    spelling: np.ndarray
+
+    def numbered(self, words: Words) -> np.ndarray:
+        """The network's number of each word, 0 for others."""
+        place = pc.index_in(words.distinct, value_set=pa.array(self.words, words.distinct.type))
+        return (place.fill_null(-1).to_numpy(zero_copy_only=False) + 1).astype(np.int32)[words.which]
+
+    def spelled(self, words: Words, ids: np.ndarray) -> np.ndarray:
+        """The log-probability of the spelling of each word, 0 for the network's."""
+        if not len(words.distinct):
+            return np.zeros(0)
+        cells, starts = _cells(words.distinct)
+        cost = np.add.reduceat(self.spelling[cells].astype(float), starts)
+        return np.where(ids == 0, cost[words.which], 0.0)
+
+
+def vocabulary_of(docs: DataFrame) -> tuple[Vocabulary, int]:
+    """The vocabulary of all documents, and the number of their words."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cells = np.zeros(CODES ** 3)
         for batch in batches:
-            found: Counter = Counter()
-            for text in batch["text"]:
-                found.update(text.as_py().encode("utf-8", "surrogatepass").split())
+            words = words_of(batch["text"])
+            if not len(words.distinct):
+                continue
+            often = np.bincount(words.which, minlength=len(words.distinct))
+            own, starts = _cells(words.distinct)
+            sizes = np.diff(np.append(starts, len(own)))
+            cells += np.bincount(own, weights=np.repeat(often, sizes), minlength=CODES ** 3)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(list(found), pa.binary()), pa.array(list(found.values()), pa.int64())],
-                names=["word", "n"])
+                [words.distinct, pa.nulls(len(often), pa.int32()), pa.array(often, pa.int64())],
+                names=["word", "cell", "n"])
+        found = np.flatnonzero(cells)
+        yield pa.RecordBatch.from_arrays(
+            [pa.nulls(len(found), pa.string()), pa.array(found, pa.int32()),
+             pa.array(cells[found].astype(np.int64))], names=["word", "cell", "n"])
+
+    counts = written(docs.select("text").mapInArrow(run, "word string, cell int, n long")
+                     .groupBy("word", "cell").agg(F.sum("n").alias("n")), "lm-counts")
+    known = counts.filter(F.col("word").isNotNull())
+    top = known.orderBy(F.desc("n"), "word").limit(WORDS - 1).collect()  # the vocabulary's size
+    total = known.agg(F.sum("n")).first()[0] or 0
+    cells = np.zeros(CODES ** 3)
+    for row in counts.filter(F.col("cell").isNotNull()).collect():  # as many as there are cells, at most
+        cells[row["cell"]] = row["n"]
+    return Vocabulary([row["word"] for row in top], spelling(cells)), total
+
+
+def sharded(docs: DataFrame, vocabulary: Vocabulary, total: int, shard_words: int) -> DataFrame:
+    """`shard, ids`: the numbers of each shard's words with pads between documents, as a written table."""
+    shards = max(1, -(-total // shard_words))
+    sent = docs.sparkSession.sparkContext.broadcast(vocabulary)
+
+    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            words = words_of(batch["text"])
+            lists = pa.ListArray.from_arrays(pa.array(words.ends, pa.int32()),
+                                             pa.array(sent.value.numbered(words)))
+            yield pa.RecordBatch.from_arrays([batch["hash"], lists], names=["hash", "ids"])
 
-    counts = docs.select("text").mapInArrow(run, "word binary, n long").groupBy("word").agg(
-        F.sum("n").alias("n"))
-    top = counts.orderBy(F.desc("n"), "word").limit(WORDS - 1).collect()  # the vocabulary's size
-    return {bytes(row["word"]): i for i, row in enumerate(top, 1)}
+    def gather(rows: pa.Table) -> pa.Table:
+        rows = rows.combine_chunks()
+        lists = rows["ids"].combine_chunks()
+        order = np.lexsort((rows["size"].to_numpy(), rows["hash"].to_numpy()))
+        line, _, _ = laid_out([lists[int(i)].values.to_numpy() for i in order])
+        return pa.table({"shard": rows["shard"].slice(0, 1), "ids": pa.array([line.tobytes()], pa.binary())})
+
+    hashed = docs.select("text", F.xxhash64("doc_id", "text").alias("hash"))
+    numbered = hashed.mapInArrow(number, "hash long, ids array<int>").select(
+        F.pmod("hash", F.lit(shards)).alias("shard"), "hash", F.size("ids").alias("size"), "ids")
+    return written(numbered.filter("size > 0").groupBy("shard").applyInArrow(gather, "shard long, ids binary"),
+                   "lm-shards")
 
 
 def _mean(table: pa.Table, keys: list[str]) -> pa.Table:
+    table = table.sort_by("first")  # sums in one order always
     seen = table["seen"].to_numpy().astype(float)
     total = sum(np.frombuffer(v, "f4") * s for v, s in zip(table["weights"].to_pylist(), seen))
-    first = {k: pa.array([table[k][0].as_py()], table.schema.field(k).type) for k in keys}
-    return pa.table(first | {"seen": pa.array([int(seen.sum())], pa.int64()), "weights": pa.array(
+    kept = {k: pa.array([table[k][0].as_py()], table.schema.field(k).type) for k in [*keys, "first"]}
+    return pa.table(kept | {"seen": pa.array([int(seen.sum())], pa.int64()), "weights": pa.array(
         [(total / max(1.0, seen.sum())).astype("f4").tobytes()], pa.binary())})
 
 
-def trained(docs: DataFrame, vocabulary: dict[bytes, int], rounds: int = 2, stride: int = 4) -> Weights:
-    spark, weights = docs.sparkSession, fresh_weights()
+def trained(shards: DataFrame, rounds: int = 2, stride: int = 2) -> Weights:
+    """Weights after `rounds` over `shards(shard, ids)`. With as many rounds as `stride`, every word is a target
+    once."""
+    spark, weights = shards.sparkSession, fresh_weights()
     for turn in range(rounds):
-        start = spark.sparkContext.broadcast((flat(weights), vocabulary))
+        start = spark.sparkContext.broadcast(flat(weights))
 
         def run(batches: Iterator[pa.RecordBatch], turn=turn, start=start):
-            values, words = start.value
-            learner = Learner(shaped(values))
             for batch in batches:
-                some, size = [], 0
-                for text in batch["text"]:
-                    some.append(numbered(text.as_py(), words))
-                    size += len(some[-1])
-                    if size > _AT_ONCE:
-                        _train(learner, some, turn, stride)
-                        some, size = [], 0
-                _train(learner, some, turn, stride)
-            part = TaskContext.get().partitionId()
-            if learner.seen:
-                pieces = np.array_split(flat(learner.weights), 16)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(range(16), pa.int32()), pa.array([part // GROUP] * 16, pa.int32()),
-                     pa.array([learner.seen] * 16, pa.int64()),
-                     pa.array([p.tobytes() for p in pieces], pa.binary())],
-                    names=["piece", "grp", "seen", "weights"])
-
-        sent = docs.select("text").mapInArrow(run, "piece int, grp int, seen long, weights binary")
-        means = sent.groupBy("piece", "grp").applyInArrow(
-            lambda t: _mean(t, ["piece", "grp"]), "piece int, grp int, seen long, weights binary")
+                for shard, ids in zip(batch["shard"].to_pylist(), batch["ids"].to_pylist()):
+                    learner = Learner(shaped(start.value))
+                    _train(learner, np.frombuffer(ids, dtype=np.int32), turn, stride)
+                    pieces = np.array_split(flat(learner.weights), 16)
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(range(16), pa.int32()), pa.array([shard // GROUP] * 16, pa.int64()),
+                         pa.array([shard] * 16, pa.int64()), pa.array([learner.seen] * 16, pa.int64()),
+                         pa.array([p.tobytes() for p in pieces], pa.binary())],
+                        names=["piece", "grp", "first", "seen", "weights"])
+
+        schema = "piece int, grp long, first long, seen long, weights binary"
+        means = shards.mapInArrow(run, schema).groupBy("piece", "grp").applyInArrow(
+            lambda t: _mean(t, ["piece", "grp"]).select(["piece", "grp", "first", "seen", "weights"]), schema)
         means = means.groupBy("piece").applyInArrow(
-            lambda t: _mean(t, ["piece"]), "piece int, seen long, weights binary")
+            lambda t: _mean(t, ["piece"]).select(["piece", "seen", "weights"]), "piece int, seen long, weights binary")
         rows = sorted((r["piece"], r["weights"]) for r in written(means, "lm-weights").collect())
         if rows:
             weights = shaped(np.concatenate([np.frombuffer(w, "f4") for _, w in rows]))
     return weights
 
 
-def _train(learner: Learner, documents: list[np.ndarray], turn: int, stride: int) -> None:
-    ids, at, _ = laid_out(documents)
-    # The offset differs from round to round and from text to text, not from run to run.
-    at = at[(turn + zlib.crc32(ids.tobytes())) % stride::stride]
+def _train(learner: Learner, ids: np.ndarray, turn: int, stride: int) -> None:
+    at = np.flatnonzero(ids != PAD)[turn % stride::stride]
     at = np.random.default_rng(turn).permutation(at)
     for part in range(0, len(at), BATCH):
         learner.learn(ids, at[part:part + BATCH])
 
 
-def lm_scores(df: DataFrame, rounds: int = 2, stride: int = 4, id_col: str = "doc_id",
-              text_col: str = "text") -> DataFrame:
+def lm_scores(df: DataFrame, rounds: int = 2, stride: int = 2, shard_words: int = SHARD_WORDS,
+              id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """`doc_id, n_words, n_unknown, log_prob, mean_log_prob` of every row; the mean is null without
     words."""
     docs = texts(df, id_col, text_col)
-    vocabulary = vocabulary_of(docs)
-    weights = trained(docs, vocabulary, rounds, stride)
+    vocabulary, total = vocabulary_of(docs)
+    weights = trained(sharded(docs, vocabulary, total, shard_words), rounds, stride)
     model = df.sparkSession.sparkContext.broadcast((weights, vocabulary))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, words = model.value
+        own, known = model.value
         for batch in batches:
-            totals, sizes, unknown, some, size = [], [], [], [], 0
-            for i, text in enumerate(batch["text"]):
-                some.append(numbered(text.as_py(), words))
-                size += len(some[-1])
-                if size > _AT_ONCE or i == batch.num_rows - 1:
-                    totals += _totals(own, some)
-                    sizes += map(len, some)
-                    unknown += [int((x == 0).sum()) for x in some]
-                    some, size = [], 0
-            means = [t / n if n else None for t, n in zip(totals, sizes)]
+            words = words_of(batch["text"])
+            ids = known.numbered(words)
+            cost = known.spelled(words, ids) + _in_context(own, ids, words.ends)
+            sizes = np.diff(words.ends)
+            unknown = np.diff(np.concatenate([[0], np.cumsum(ids == 0)])[words.ends])
+            totals = _sums(cost, words.ends)
+            means = np.divide(totals, sizes, out=np.zeros(len(sizes)), where=sizes > 0)
             yield pa.RecordBatch.from_arrays(
                 [batch["doc_id"], pa.array(sizes, pa.int64()), pa.array(unknown, pa.int64()),
-                 pa.array(totals, pa.float64()), pa.array(means, pa.float64())],
+                 pa.array(totals, pa.float64()), pa.array(means, pa.float64(), mask=sizes == 0)],
                 names=["doc_id", "n_words", "n_unknown", "log_prob", "mean_log_prob"])
 
     return docs.mapInArrow(run, "doc_id long, n_words long, n_unknown long, log_prob double, "
                                 "mean_log_prob double")
 
 
-def _totals(weights: Weights, documents: list[np.ndarray]) -> list[float]:
-    ids, at, owner = laid_out(documents)
-    found = [log_probabilities(weights, ids, at[i:i + _AT_ONCE]).astype(float)
-             for i in range(0, len(at), _AT_ONCE)]
-    every = np.concatenate([np.zeros(0), *found])
-    return np.bincount(owner, weights=every, minlength=len(documents)).tolist()
+def _sums(values: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Of the values of each text, added from its first on, so that a text's sum is its own affair."""
+    owner = np.repeat(np.arange(len(ends) - 1), np.diff(ends))
+    return np.bincount(owner, weights=values, minlength=len(ends) - 1)
+
+
+def _in_context(weights: Weights, ids: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """The log-probability of each of the network's numbers given those around it in its text."""
+    line, at, _ = laid_out(np.split(ids, ends[1:-1]) if len(ends) > 1 else [])
+    found = [log_probabilities(weights, line, at[i:i + BATCH]).astype(float) for i in range(0, len(at), BATCH)]
+    return np.concatenate([np.zeros(0), *found])
