@@ -319,10 +319,26 @@ def test_catalog_reads_one_bucket_of_an_author(spark, database):
 
 def test_catalog_splits_the_bucket_of_a_busy_author(spark, database, monkeypatch):
     monkeypatch.setattr("tidewatch.sinks.catalog.TASK_ROWS", 100)
-    sink = CatalogSink(spark, database, "did_only", buckets=2)
-    sink.write_events(events(spark, *[event(f"e{i}", seconds=i) for i in range(1000)]))
-    files = sink.events_by_did(spark).groupBy(F.input_file_name().alias("f")).count().collect()
-    assert len(files) >= 4 and max(r["count"] for r in files) < 600
+    sink = CatalogSink(spark, database, "did_only", buckets=4)
+    rows = [event(f"e{i}", "busy" if i % 10 else f"d{i}", seconds=i) for i in range(1000)]
+    sink.write_events(events(spark, *rows))
+    view = sink.events_by_did(spark)
+    files = view.groupBy(F.input_file_name().alias("f")).count().collect()
+    assert len(files) >= 8 and max(r["count"] for r in files) < 300
+    assert view.filter("did = 'busy'").count() == 900 and view.count() == 1000
+    # Others are in one file of their bucket.
+    each = view.filter("did <> 'busy'").select("did", F.input_file_name().alias("f")).distinct()
+    assert {r["count"] for r in each.groupBy("did").count().collect()} == {1}
+
+
+def test_no_file_of_a_busy_author_is_above_the_bound(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr("tidewatch.plans.layout.TASK_ROWS", 50)
+    sink = TableSink(str(tmp_path), "did_only")
+    sink.write_events(events(spark, *[event(f"e{i}", "busy" if i % 10 else f"d{i}", seconds=i)
+                                      for i in range(1000)]))
+    view = sink.events_by_did(spark)
+    files = view.groupBy(F.input_file_name().alias("f")).count().collect()
+    assert max(r["count"] for r in files) <= 150 and view.count() == 1000
 
 
 def test_catalog_replays_upserts_and_compaction(spark, database):
@@ -398,6 +414,30 @@ def test_recent_flagged(spark, tmp_path):
     assert "PartitionFilters: [isnotnull(bucket_date" in plan
 
 
+def test_recent_flags_open_the_newest_hours_alone(spark, tmp_path):
+    """A thousand hours in two sets: a limit of ten opens one day's files, and rows are those of a whole read."""
+    sink = TableSink(str(tmp_path))
+    for part in (range(0, 1000, 2), range(1, 1000, 2)):
+        sink.write_flagged(flags_at(spark, *[-60 * h for h in part]))
+    since = timedelta(hours=2000)
+    whole = sink.flagged_events(spark)
+    for limit in (1, 10, 700):
+        rows = sink.recent_flagged(spark, START, since, limit)
+        assert rows.collect() == reads.recent_flagged(whole, START, since, limit).collect()
+    days = lambda df: {f.split("bucket_date=")[1][:10] for f in df.inputFiles()}
+    few = sink.recent_flagged(spark, START, since, 10)
+    shown = few._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(bucket_date" in shown
+    read = few.select(F.input_file_name().alias("f")).distinct().collect()
+    assert len(days(whole)) > 40 and len(read) <= 4
+    sink.write_flagged(flags_at(spark, 0, -60, -120))    # keys that may be there already count once
+    assert sink.recent_flagged(spark, START, since, 10).collect() == reads.recent_flagged(
+        sink.flagged_events(spark), START, since, 10).collect()
+    sink.compact(spark, timedelta(0))
+    assert [r.id for r in sink.recent_flagged(spark, START, since, 2).collect()] == ["e0", "e0"]
+    assert TableSink(str(tmp_path / "none")).recent_flagged(spark, START, since, 5).count() == 0
+
+
 def test_kind_window(spark, tmp_path):
     sink = TableSink(str(tmp_path))
     sink.write_events(events(spark, *[event(f"e{i}", seconds=60 * i) for i in range(5)],

@@ -309,6 +309,11 @@ ORACLE = {
         WHERE received_at >= TIMESTAMP '2024-01-29 00:00:00'
           AND received_at < TIMESTAMP '2024-01-31 01:00:00'
         ORDER BY received_at DESC, id, rule_id LIMIT 100""",
+    "recent_flagged_newest_hours": f"""WITH {_FLAGGED}
+        SELECT bucket_hour, {_COLUMNS} FROM flagged
+        WHERE received_at >= TIMESTAMP '2024-01-11 00:00:00'
+          AND received_at < TIMESTAMP '2024-01-31 01:00:00'
+        ORDER BY received_at DESC, id, rule_id LIMIT 20""",
     "author_sequence": f"""WITH {_LIGHT}
         SELECT did, received_at, id,
                row_number() OVER (PARTITION BY did ORDER BY received_at, id) AS seq FROM light""",

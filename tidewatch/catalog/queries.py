@@ -383,6 +383,16 @@ def recent_flagged(spark, folder):
     return plain(rows.drop("bucket_date"))
 
 
+@query
+def recent_flagged_newest_hours(spark, folder):
+    """A look far back with a small limit, which opens the newest hours alone."""
+    sink = TableSink(scratch_path(spark, "flagged-hours"))
+    for detector in detectors(settings.RULES):
+        sink.write_flagged(flag(table_events(spark, folder), [detector]))
+    rows = sink.recent_flagged(spark, settings.AS_OF, 10 * settings.SINCE, settings.FEW_FLAGS)
+    return plain(rows.drop("bucket_date"))
+
+
 @query
 def display_flagged(spark, folder):
     return reads.display_flagged(flag(table_events(spark, folder), detectors(settings.RULES)))

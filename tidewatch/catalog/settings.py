@@ -25,6 +25,7 @@ PER_AUTHOR_LIMIT = 5
 AS_OF = datetime(2024, 1, 31)
 SINCE = timedelta(days=2)
 FLAG_LIMIT = 100
+FEW_FLAGS = 20
 WINDOW_FIRST = datetime(2024, 1, 10, 0, 0)
 WINDOW_LAST = datetime(2024, 1, 10, 11, 59)
 DELAY = "10 minutes"

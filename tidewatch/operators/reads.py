@@ -44,6 +44,13 @@ def recent_flagged(flags: DataFrame, as_of: datetime, since: timedelta = LOOKBAC
             .limit(limit if limit > 0 else FLAG_LIMIT))
 
 
+def hours_back(as_of: datetime, since: timedelta = LOOKBACK) -> tuple[int, int]:
+    """The hours (since 1970) of the cutoff and of `as_of`."""
+    since = since if since > timedelta(0) else LOOKBACK
+    at = as_of if as_of.tzinfo else as_of.replace(tzinfo=timezone.utc)
+    return tuple(int(t.timestamp() // 3600) for t in (at - since, at))
+
+
 def _time(at: datetime) -> Column:
     """A time without zone counts as UTC."""
     at = at.astimezone(timezone.utc) if at.tzinfo else at

@@ -7,7 +7,7 @@ commit log as those of `TableSink`, so order of arrival, replays, whole batches
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tidewatch.plans.durable import removed
+from tidewatch.plans.durable import removed, written
 from tidewatch.plans.layout import TASK_ROWS
 from tidewatch.sinks.commits import CommitLog, Written
 from tidewatch.sinks.tables import (BY_DID_TABLE, BY_MINUTE_TABLE, FLAGGED_TABLE, FULL, SET, TABLES,
@@ -59,15 +59,21 @@ class CatalogSink(TableSink):
         return {r[0]: r[1] for r in detail}["Location"]
 
     def _laid(self, df: DataFrame, table: str, rows: int) -> DataFrame:
-        """Rows of one bucket go to one task, or to several where they are many: the bucket of an author who sends
-        a third of all rows is several files."""
+        """Rows of one bucket go to one task; those of an author who has more rows than a task sorts go to several, by
+        a salt that is the author's alone, and become several files of the bucket."""
         if table != BY_DID_TABLE:
             return super()._laid(df, table, rows)
-        bucket = F.pmod(F.hash("did"), F.lit(self.buckets))
-        splits = max(1, -(-rows // TASK_ROWS))
-        parts = min(self.buckets * splits, max(splits, self.buckets))
-        return (df.repartition(parts, bucket, F.pmod(F.xxhash64("id"), F.lit(splits)))
-                .sortWithinPartitions("did", "received_at", "id"))
+        bucket, salt, parts = F.pmod(F.hash("did"), F.lit(self.buckets)), F.lit(0), self.buckets
+        if rows > TASK_ROWS:
+            busy = written(df.groupBy("did").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > TASK_ROWS),
+                           "busy-authors")
+            # Each has more than TASK_ROWS rows, which bounds their number and what is broadcast.
+            df = df.join(F.broadcast(busy), "did", "left").select(*df.columns, "_n")
+            splits = F.ceil(F.coalesce("_n", F.lit(0)) / TASK_ROWS) + 1
+            salt = F.when(F.col("_n").isNotNull(), F.pmod(F.xxhash64("id"), splits)).otherwise(0)
+            parts = max(parts, 2 * -(-rows // TASK_ROWS))
+        laid = df.repartition(parts, bucket, salt).sortWithinPartitions("did", "received_at", "id")
+        return laid.select(*TABLES[table][0])
 
     def _store(self, df: DataFrame, one: Written) -> None:
         table = df.sparkSession.table(self._name(one.table))

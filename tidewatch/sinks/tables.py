@@ -3,24 +3,28 @@
 import hashlib
 import time
 import uuid
+from collections import Counter
 from copy import copy
 from dataclasses import replace
-from datetime import timedelta
+from datetime import datetime, timedelta
 from typing import Protocol
 
 from pyspark.sql import DataFrame, Observation, SparkSession, functions as F
 from pyspark.sql import types as T
 
 from tidewatch import schemas
+from tidewatch.operators import reads
 from tidewatch.plans import layout
 from tidewatch.plans.durable import folders, removed, staged
 from tidewatch.plans.latest import latest_by_key, repeats
-from tidewatch.sinks.commits import CommitLog, Conflict, Record, Written
+from tidewatch.sinks.commits import CommitLog, Conflict, Record, Written, meeting
 
 FULL = "full"
 AUTHORS_ONLY = "did_only"
 
 SET, ORDER = "set_id", "_order"
+#: Hours that the commit of a set lists at most.
+MOST_HOURS = 10_000
 #: Records in one file at most.
 FILE_RECORDS = 2_000_000
 
@@ -107,6 +111,31 @@ class TableSink:
     def flagged_events(self, spark: SparkSession) -> DataFrame:
         return self._table(spark, FLAGGED_TABLE)
 
+    def recent_flagged(self, spark: SparkSession, as_of: datetime, since: timedelta = reads.LOOKBACK,
+                       limit: int = reads.FLAG_LIMIT) -> DataFrame:
+        """`reads.recent_flagged` of this store, of the newest hours alone that fill the limit. Commits say how
+        many rows an hour has; a set that may share keys with others counts with them as one."""
+        sets = [s for s in self._log(spark).live() if s.table == FLAGGED_TABLE and s.rows]
+        first, last = reads.hours_back(as_of, since)
+        if all(s.hours is not None for s in sets):
+            mixed, rows = meeting(sets), Counter()
+            for one in sets:
+                if one not in mixed:
+                    rows.update(dict(one.hours))
+            for hour in {h for s in mixed for h, _ in s.hours}:
+                rows[hour] += max(dict(s.hours).get(hour, 0) for s in mixed)
+            found = 0
+            for hour in sorted((h for h in rows if first <= h <= last), reverse=True):
+                found += rows[hour]
+                if found >= (limit if limit > 0 else reads.FLAG_LIMIT):
+                    first = hour
+                    break
+            sets = [s for s in sets if any(first <= h <= last for h, _ in s.hours)]
+        flags = self._read(spark, FLAGGED_TABLE, sets)
+        start = F.timestamp_seconds(F.lit(first * 3600))
+        newest = (F.col("bucket_hour") >= start) & (F.col(_DATED) >= F.to_date(start))
+        return reads.recent_flagged(flags.filter(newest), as_of, since, limit)
+
     def compact(self, spark: SparkSession, keep: timedelta = timedelta(days=1)) -> None:
         """Make one set of each table. Others may write and read meanwhile: the merged rows keep their place
         in the order of arrival, and the commit fails if something that was merged has been replaced.
@@ -122,7 +151,8 @@ class TableSink:
             if len(sets) > 1:
                 rows = self._read(spark, table, sets)
                 one = self.write_set(self._laid(rows, table, sum(s.rows for s in sets)), table, "all")
-                made.append(replace(one, order=max(s.order for s in sets)))
+                hours = _hours(self._sets(spark, table, [one])) if table == FLAGGED_TABLE else None
+                made.append(replace(one, order=max(s.order for s in sets), hours=hours))
                 merged |= {s.name for s in sets}
         if not made:
             return
@@ -204,13 +234,13 @@ class TableSink:
     def _read(self, spark: SparkSession, table: str, sets: list[Written]) -> DataFrame:
         """Rows of the sets; of equal keys the one that was committed last."""
         columns, key = TABLES[table][:2]
-        meeting = [] if self.unique else [s for s in sets if any(s.may_meet(o) for o in sets if o is not s)]
-        alone = [s for s in sets if s not in meeting]
+        mixed = [] if self.unique else meeting(sets)
+        alone = [s for s in sets if s not in mixed]
         rows = self._sets(spark, table, alone).select(*columns)
-        if not meeting:
+        if not mixed:
             return rows
-        orders = spark.createDataFrame([(s.name, s.order) for s in meeting], f"{SET} string, {ORDER} long")
-        mixed = self._sets(spark, table, meeting).join(orders, SET).select(*columns, ORDER)
+        orders = spark.createDataFrame([(s.name, s.order) for s in mixed], f"{SET} string, {ORDER} long")
+        mixed = self._sets(spark, table, mixed).join(orders, SET).select(*columns, ORDER)
         latest = latest_by_key(mixed, key, [ORDER]).select(*columns)
         return rows.unionByName(latest) if alone else latest
 
@@ -235,6 +265,8 @@ class OpenBatch:
         with staged(rows, "flags") as (found, n):
             once = self.sink.unique or not repeats(found, schemas.FLAGGED_KEY)
             self._write(found, FLAGGED_TABLE, schemas.FLAGGED_KEY, n, once, part)
+            if n:
+                self.sets[-1] = replace(self.sets[-1], hours=_hours(found))
 
     def commit(self) -> None:
         """Make it visible. The order among commits is that in which they are made."""
@@ -252,6 +284,16 @@ class OpenBatch:
         self.sets.append(self.sink.write_set(self.sink._laid(view, table, n), table, part))
 
 
+def _hours(flags: DataFrame) -> list[list[int]] | None:
+    """The hours of the flags and how many different keys each has; None where they are too many to list."""
+    hour = F.floor(F.unix_seconds("bucket_hour") / 3600).alias("hour")
+    keys = flags.select(hour, *schemas.FLAGGED_KEY).distinct().groupBy("hour").agg(F.count(F.lit(1)).alias("n"))
+    rows = keys.limit(MOST_HOURS + 1).collect()
+    if len(rows) > MOST_HOURS or any(r["hour"] is None for r in rows):
+        return None
+    return sorted([r["hour"], r["n"]] for r in rows)
+
+
 def _now() -> int:
     return time.time_ns() // 1_000_000
 
