@@ -452,7 +452,7 @@ ORACLE = {
         span AS (SELECT min(epoch_us(received_at)) AS low, max(epoch_us(received_at)) AS high FROM light)
         SELECT did, received_at, id, kind,
                CASE WHEN kind = 'app.bsky.graph.follow'
-                     AND (epoch_us(received_at) - low) * 5 // (high - low + 1) <= 2
+                     AND (epoch_us(received_at) - low) * 4 // (high - low + 1) <= 2
                     THEN 'again' ELSE '' END AS text
         FROM light, span""",
 }

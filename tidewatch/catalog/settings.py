@@ -30,5 +30,5 @@ WINDOW_FIRST = datetime(2024, 1, 10, 0, 0)
 WINDOW_LAST = datetime(2024, 1, 10, 11, 59)
 DELAY = "10 minutes"
 #: Events arrive in so many micro-batches, up to nine minutes (in microseconds) out of order.
-TURNS = 5
+TURNS = 4
 JITTER = 9 * MINUTE

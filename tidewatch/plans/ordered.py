@@ -72,17 +72,22 @@ def sliced_total(df: DataFrame, keys: list[str], order: list, value: Column, nam
     sums = laid.groupBy(*keys, "_slice").agg(F.sum("_value").alias("_sum"))
     earlier = (Window.partitionBy(*keys).orderBy("_slice")
                .rowsBetween(Window.unboundedPreceding, -1))
-    # Only a key that crosses a slice border has an earlier slice: fewer rows than slices.
-    before = (sums.withColumn("_before", F.sum("_sum").over(earlier))
-              .filter("_before IS NOT NULL").drop("_sum"))
+    # Only a key that crosses a slice border has an earlier slice: fewer rows than slices. They are written, so that
+    # Catalyst knows their size and broadcasts them only where they are few.
+    before = written(sums.withColumn("_before", F.sum("_sum").over(earlier))
+                     .filter("_before IS NOT NULL").drop("_sum"), "slice-offsets")
     return (window_total(laid, [*keys, "_slice"], [*order, "_row"], F.col("_value"), "_local")
-            .transform(_broadcast_join, before, [*keys, "_slice"], "left")
+            .transform(_null_safe_join, before, [*keys, "_slice"], "left")
             .withColumn(name, F.col("_local") + F.coalesce("_before", F.lit(0)))
             .select(*df.columns, name))
 
 
 def _broadcast_join(df: DataFrame, small: DataFrame, keys: list[str], how: str) -> DataFrame:
     """Join a side of bounded size on keys that may be null."""
+    return _null_safe_join(df, F.broadcast(small), keys, how)
+
+
+def _null_safe_join(df: DataFrame, small: DataFrame, keys: list[str], how: str) -> DataFrame:
     renamed = small.withColumnsRenamed({key: f"_small_{key}" for key in keys})
     same = reduce(Column.__and__, [F.col(k).eqNullSafe(F.col(f"_small_{k}")) for k in keys])
-    return df.join(F.broadcast(renamed), same, how)
+    return df.join(renamed, same, how)
