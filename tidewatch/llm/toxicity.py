@@ -8,6 +8,10 @@ products with these bounds order the blocks, and the search stops when no block
 nearer than the k nearest found: the result is exact. The k examples vote by their distance, and the
 votes are calibrated by isotonic regression on the examples themselves, each left out of its own vote.
 
+The vocabulary is part of the fitted model: at most `TERMS` terms of the sample whose link to the label reaches
+`LINK` (a likelihood ratio). The cosine is exact over that vocabulary; terms that do not tell the labels apart
+are no features. Nothing else is cut: no document, example, posting list or occurrence of a kept term.
+
 Only the text is scored: the label, language, source and id of a document are never looked at.
 
 Edge cases: a text without any kept term (null and empty ones, too) gets the share of toxic examples
@@ -39,6 +43,8 @@ SLICE = 200
 TERMS, LINK = 4096, 30.0
 NEAREST, BLOCK = 15, 64
 PREFIXES = (4, 5, 6)
+#: Documents that a task searches for.
+SEARCHED = 4000
 #: Words whose terms a task remembers at most.
 REMEMBERED = 500_000
 
@@ -280,6 +286,8 @@ def toxicity(df: DataFrame, labels: DataFrame, learn_from: Column, sample: int =
     for row in counts.collect():
         idf[row["term"]] = math.log((n + 1) / (row["df"] + 1)) + 1
     model = spark.sparkContext.broadcast(built(terms, rows, idf))
+    # The vectors are compact and lie in few files, but each costs a search.
+    found = found.repartition(max(1, -(-n // SEARCHED)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = model.value
