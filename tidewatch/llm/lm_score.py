@@ -31,6 +31,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from tidewatch.llm.frames import texts
+from tidewatch.llm.token_ids import slices
 from tidewatch.plans.durable import written
 
 CLASSES, WIDTH, REACH = 32, 16, 2
@@ -43,7 +44,9 @@ SHAPES = {"context": (len(OFFSETS), WORDS + 1, WIDTH), "classes": (WIDTH, CLASSE
 BATCH = 4096
 #: Shards whose weights are averaged in one group.
 GROUP = 64
-SHARD_WORDS = 2_000_000
+SHARD_WORDS = 1_000_000
+#: Bytes of text that are looked at together; a longer text is looked at whole.
+_BYTES = 4 << 20
 #: Codes of a byte in a word: ASCII as it is, others fold to 30 codes that no word has; its start and its end.
 CODES, START, END = 128, 0, 1
 _CODE_OF = np.array([b if b < 128 else 2 + b % 30 for b in range(256)], dtype=np.int64)
@@ -72,35 +75,55 @@ def shaped(values: np.ndarray) -> Weights:
     return out
 
 
-def _log_softmax(z: np.ndarray) -> np.ndarray:
-    z = z - z.max(axis=1, keepdims=True)
-    return z - np.log(np.exp(z).sum(axis=1, keepdims=True))
+def _softmax(z: np.ndarray) -> np.ndarray:
+    """In place."""
+    z -= z.max(axis=1, keepdims=True)
+    np.exp(z, out=z)
+    z /= z.sum(axis=1, keepdims=True)
+    return z
+
+
+def _log_softmax_at(z: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The log of the softmax of each row at one place. Overwrites `z`."""
+    z -= z.max(axis=1, keepdims=True)
+    wanted = z[np.arange(len(z)), at]
+    np.exp(z, out=z)
+    return wanted - np.log(z.sum(axis=1))
 
 
 def hidden(weights: Weights, ids: np.ndarray, at: np.ndarray) -> np.ndarray:
-    total = np.zeros((len(at), WIDTH), dtype="f4")
+    total = np.zeros((len(at), WIDTH), dtype=weights["context"].dtype)
     for table, offset in zip(weights["context"], OFFSETS):
-        total += table[ids[at + offset]]
-    return np.tanh(total)
+        total += table.take(ids[at + offset], axis=0)
+    return np.tanh(total, out=total)
 
 
 def log_probabilities(weights: Weights, ids: np.ndarray, at: np.ndarray) -> np.ndarray:
     """Of the words at positions `at` of `ids`, which has `REACH` pads on either end of each document."""
-    h, kinds, places = hidden(weights, ids, at), ids[at] // CLASSES, ids[at] % CLASSES
-    by_class = _log_softmax(h @ weights["classes"] + weights["class_bias"])
-    out = by_class[np.arange(len(at)), kinds]
-    for kind, mine in _by_class(kinds):
-        z = _log_softmax(h[mine] @ weights["words"][kind] + weights["word_bias"][kind])
-        out[mine] += z[np.arange(len(mine)), places[mine]]
+    order, cuts = _by_class(ids[at])
+    kinds, places = np.divmod(ids[at[order]], CLASSES)
+    h = hidden(weights, ids, at[order])
+    found = _log_softmax_at(_linear(h, weights["classes"], weights["class_bias"]), kinds)
+    for kind, a, b in cuts:
+        found[a:b] += _log_softmax_at(_linear(h[a:b], weights["words"][kind], weights["word_bias"][kind]),
+                                      places[a:b])
+    out = np.empty_like(found)
+    out[order] = found
     return out
 
 
-def _by_class(kinds: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+def _linear(h: np.ndarray, matrix: np.ndarray, bias: np.ndarray) -> np.ndarray:
+    z = h @ matrix
+    z += bias
+    return z
+
+
+def _by_class(words: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
+    """An order in which the words of each class are together, and the class, begin and end of each."""
+    kinds = (words // CLASSES).astype(np.int16)
     order = np.argsort(kinds, kind="stable")
     cuts = np.searchsorted(kinds[order], np.arange(CLASSES + 1))
-    for kind in range(CLASSES):
-        if cuts[kind] < cuts[kind + 1]:
-            yield kind, order[cuts[kind]:cuts[kind + 1]]
+    return order, [(k, int(a), int(b)) for k, (a, b) in enumerate(zip(cuts, cuts[1:])) if a < b]
 
 
 class Learner:
@@ -117,23 +140,29 @@ class Learner:
 
     def learn(self, ids: np.ndarray, at: np.ndarray) -> None:
         w, n = self.weights, len(at)
-        h, kinds, places = hidden(w, ids, at), ids[at] // CLASSES, ids[at] % CLASSES
-        error = np.exp(_log_softmax(h @ w["classes"] + w["class_bias"]))
+        order, cuts = _by_class(ids[at])
+        at = at[order]
+        kinds, places = np.divmod(ids[at], CLASSES)
+        h = hidden(w, ids, at)
+        error = _softmax(_linear(h, w["classes"], w["class_bias"]))
         error[np.arange(n), kinds] -= 1
         back = error @ w["classes"].T
         steps = [("classes", slice(None), h.T @ error / n),
                  ("class_bias", slice(None), error.sum(0) / n)]
-        for kind, mine in _by_class(kinds):
-            e = np.exp(_log_softmax(h[mine] @ w["words"][kind] + w["word_bias"][kind]))
-            e[np.arange(len(mine)), places[mine]] -= 1
-            back[mine] += e @ w["words"][kind].T
-            steps += [("words", kind, h[mine].T @ e / n), ("word_bias", kind, e.sum(0) / n)]
+        words, biases = np.zeros_like(w["words"]), np.zeros_like(w["word_bias"])
+        for kind, a, b in cuts:
+            e = _softmax(_linear(h[a:b], w["words"][kind], w["word_bias"][kind]))
+            e[np.arange(b - a), places[a:b]] -= 1
+            back[a:b] += e @ w["words"][kind].T
+            words[kind], biases[kind] = h[a:b].T @ e, e.sum(0)
+        steps += [("words", slice(None), words / n), ("word_bias", slice(None), biases / n)]
         back *= (1 - h ** 2) / n
         for side, offset in enumerate(OFFSETS):
-            around = ids[at + offset]
+            around = ids[at + offset].astype(np.int16)
             order = np.argsort(around, kind="stable")
-            which, starts = np.unique(around[order], return_index=True)
-            steps.append(("context", (side, which), np.add.reduceat(back[order], starts, axis=0)))
+            around = around[order]
+            starts = np.flatnonzero(np.diff(around, prepend=-1))
+            steps.append(("context", (side, around[starts]), np.add.reduceat(back[order], starts, axis=0)))
         for step in steps:
             self._step(*step)
         self.seen += n
@@ -214,8 +243,8 @@ def vocabulary_of(docs: DataFrame) -> tuple[Vocabulary, int]:
     """The vocabulary of all documents, and the number of their words."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cells = np.zeros(CODES ** 3)
-        for batch in batches:
-            words = words_of(batch["text"])
+        for part in (p for batch in batches for p in slices(batch, 2 * _BYTES)):
+            words = words_of(part["text"])
             if not len(words.distinct):
                 continue
             often = np.bincount(words.which, minlength=len(words.distinct))
@@ -247,7 +276,7 @@ def sharded(docs: DataFrame, vocabulary: Vocabulary, total: int, shard_words: in
     sent = docs.sparkSession.sparkContext.broadcast(vocabulary)
 
     def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (p for whole in batches for p in slices(whole, _BYTES)):
             words = words_of(batch["text"])
             lists = pa.ListArray.from_arrays(pa.array(words.ends, pa.int32()),
                                              pa.array(sent.value.numbered(words)))
@@ -324,7 +353,7 @@ def lm_scores(df: DataFrame, rounds: int = 2, stride: int = 2, shard_words: int
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, known = model.value
-        for batch in batches:
+        for batch in (p for whole in batches for p in slices(whole, _BYTES)):
             words = words_of(batch["text"])
             ids = known.numbered(words)
             cost = known.spelled(words, ids) + _in_context(own, ids, words.ends)

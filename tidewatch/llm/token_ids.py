@@ -26,11 +26,11 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
-def slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-    """`batch`, which has a column `text`, in parts of about `SLICE_BYTES`."""
-    before = np.cumsum(pc.binary_length(batch["text"]).to_numpy(zero_copy_only=False))
-    cuts = np.unique(np.searchsorted(before, np.arange(SLICE_BYTES, before[-1] + SLICE_BYTES, SLICE_BYTES))
-                     if len(before) else [])
+def slices(batch: pa.RecordBatch, size: int | None = None) -> Iterator[pa.RecordBatch]:
+    """`batch`, which has a column `text`, in parts of about `size` bytes (`SLICE_BYTES`)."""
+    size = size or SLICE_BYTES
+    before = np.cumsum(pc.binary_length(batch["text"]).to_numpy(zero_copy_only=False), dtype=np.int64)
+    cuts = np.unique(np.searchsorted(before, np.arange(size, before[-1] + size, size)) if len(before) else [])
     start = 0
     for end in [*(min(int(c) + 1, batch.num_rows) for c in cuts), batch.num_rows]:
         if end > start:
