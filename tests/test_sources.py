@@ -52,8 +52,9 @@ def split(spark, tmp_path_factory):
     return str(folder)
 
 
-@pytest.mark.parametrize("files", [None, 1])
+@pytest.mark.parametrize("turns", [1, 6])
 @pytest.mark.parametrize("name", [n for n in QUERIES if n.startswith("stream_")])
-def test_streams_over_a_folder_of_files(spark, split, monkeypatch, name, files):
-    monkeypatch.setattr(settings, "FILES_PER_TRIGGER", files)
+def test_streams_over_a_folder_of_files(spark, split, monkeypatch, name, turns):
+    """In one micro-batch or several, the rows are the same."""
+    monkeypatch.setattr(settings, "TURNS", turns)
     assert difference(QUERIES[name](spark, split), database(FOLDER), ORACLE[name]) is None
