@@ -36,6 +36,19 @@ def test_no_event_is_lost(spark):
     assert empty.count() == 5 == light_events(events).count()
 
 
+def test_no_shuffle_after_the_texts_are_joined(spark):
+    tables = [spark.range(1000).selectExpr(*(f"cast(id as {c.split()[1]}) as {c.split()[0]}" if "timestamp" not in c
+                                             else "timestamp_seconds(id) as ts" for c in COLUMNS[t].split(", ")))
+              for t in ("events", "documents", "pages")]
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = as_events(*tables)._jdf.queryExecution().sparkPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    joins = [line for line in plan.splitlines() if "SortMergeJoin" in line]
+    assert len(joins) == 2 and "doc_id" in joins[0] and "page_id" in joins[1]    # the outermost comes first
+
+
 @pytest.fixture(scope="module")
 def split(spark, tmp_path_factory):
     """The smallest tables, with events as a folder of parts in the order of time."""

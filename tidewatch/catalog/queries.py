@@ -74,7 +74,7 @@ def latency(folder_events: DataFrame) -> Column:
 def events_scan(spark, folder):
     path = scratch_path(spark, "json-events")
     (table_events(spark, folder).write
-     .option("timestampFormat", "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX").json(path))
+     .option("timestampFormat", "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX").json(path, compression="gzip"))
     return plain(read_events(spark, path, "json"))
 
 

@@ -41,10 +41,11 @@ def as_events(events: DataFrame, documents: DataFrame, pages: DataFrame) -> Data
     light, post = light_events(events), F.col("kind") == schemas.POST
     posts = (light.filter(post).withColumn("doc_id", F.pmod("event_id", n_documents))
              .withColumn("page_id", F.pmod("event_id", n_pages))
+             # Links come first, while rows are narrow: past the last join nothing shuffles the texts again.
+             .join(pages.select("page_id", "url"), "page_id", "left")
              # Both sides grow, so both are shuffled, which also spreads the texts over the tasks.
              .join(documents.select("doc_id", F.col("text").alias("body"), "lang").hint("merge"),
                    "doc_id", "left")
-             .join(pages.select("page_id", "url"), "page_id", "left")
              .select("id", "did", "kind", F.coalesce("body", F.lit("")).alias("text"),
                      F.array_compact(F.array("lang")).alias("langs"),
                      F.array_compact(links).alias("links"), "created_at", "received_at"))
