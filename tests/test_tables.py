@@ -331,6 +331,49 @@ def test_catalog_splits_the_bucket_of_a_busy_author(spark, database, monkeypatch
     assert {r["count"] for r in each.groupBy("did").count().collect()} == {1}
 
 
+def test_sets_that_meet_are_not_shuffled_by_set(spark, tmp_path):
+    sink = TableSink(str(tmp_path))
+    for text in ("old", "new"):
+        sink.write_events(events(spark, event("e1", text=text), event("e2", text=text, seconds=5)))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for rows in (sink.events_by_did(spark), sink.events_by_minute(spark)):
+            plan = rows._jdf.queryExecution().executedPlan().toString()
+            assert plan.count("Exchange hashpartitioning") == 1 and "hashpartitioning(set_id" not in plan
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert texts(sink, spark) == {"e1": "new", "e2": "new"}
+
+
+def test_a_compaction_shuffles_rows_once(spark, tmp_path, monkeypatch):
+    sink, plans = TableSink(str(tmp_path)), []
+    for text in ("old", "new"):
+        data = events(spark, event("e1", text=text), event("e1", text=text), event(f"own-{text}", seconds=5))
+        sink.write_events(data)
+        sink.write_flagged(flag(data, [SpamDetector(SpamRule((text,)))]))
+    whole = TableSink.write_set
+
+    def write_set(self, df, table, part):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return whole(self, df, table, part)
+
+    monkeypatch.setattr(TableSink, "write_set", write_set)
+    sink.compact(spark)
+    assert len(plans) == 3
+    for plan in plans:
+        assert plan.count("Exchange rangepartitioning") == 1 and "Exchange hashpartitioning" not in plan
+    assert texts(sink, spark) == {"e1": "new", "own-old": "", "own-new": ""}
+    assert sink.events_by_minute(spark).count() == 3
+    assert {r.id for r in sink.flagged_events(spark).collect()} == {"e1"}
+
+
+def test_stores_are_packed(spark, tmp_path, database):
+    TableSink(str(tmp_path / "files")).write_events(events(spark, event("e1", text="a")))
+    CatalogSink(spark, database, buckets=2).write_events(events(spark, event("e1", text="a")))
+    parts = [p.name for p in tmp_path.rglob("part-*.parquet")]
+    assert parts and all(name.endswith(".zstd.parquet") or ".zstd" in name for name in parts)
+
+
 def test_no_file_of_a_busy_author_is_above_the_bound(spark, tmp_path, monkeypatch):
     monkeypatch.setattr("tidewatch.plans.layout.TASK_ROWS", 50)
     sink = TableSink(str(tmp_path), "did_only")

@@ -4,6 +4,8 @@ Each layout is range-partitioned by its own clustering order, so a busy author,
 spreads over several files and every file covers a narrow range for min/max skipping.
 """
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, functions as F
 
 from tidewatch import schemas
@@ -29,26 +31,30 @@ def flagged(hits: DataFrame) -> DataFrame:
 TASK_ROWS = 4_000_000
 
 
-def lay_by_did(view: DataFrame, rows: int = 0) -> DataFrame:
-    return _laid(view, ["did", F.desc("received_at"), "id"], rows)
+#: Takes rows in their ranges, in which all rows of a key lie together, and returns those to write.
+Choice = Callable[[DataFrame], DataFrame]
+
+
+def lay_by_did(view: DataFrame, rows: int = 0, choose: Choice | None = None) -> DataFrame:
+    return _laid(view, ["did", F.desc("received_at"), "id"], rows, choose)
 
 
-def lay_by_minute(view: DataFrame, rows: int = 0) -> DataFrame:
+def lay_by_minute(view: DataFrame, rows: int = 0, choose: Choice | None = None) -> DataFrame:
     dated = view.withColumn("bucket_date", F.to_date("bucket_minute"))
-    return _laid(dated, ["kind", "bucket_minute", F.desc("received_at"), "id"], rows)
+    return _laid(dated, ["kind", "bucket_minute", F.desc("received_at"), "id"], rows, choose)
 
 
-def lay_flagged(flags: DataFrame, rows: int = 0) -> DataFrame:
+def lay_flagged(flags: DataFrame, rows: int = 0, choose: Choice | None = None) -> DataFrame:
     # A directory per hour would hold tiny files; within a day the hour is found by min/max.
     dated = flags.withColumn("bucket_date", F.to_date("bucket_hour"))
-    return _laid(dated, ["bucket_hour", F.desc("received_at"), "id", "rule_id"], rows)
+    return _laid(dated, ["bucket_hour", F.desc("received_at"), "id", "rule_id"], rows, choose)
 
 
-def _laid(df, order, rows):
+def _laid(df, order, rows, choose):
     """The number of ranges follows the rows; few rows are left to the session's own number, which
-    adaptive execution lessens."""
+    adaptive execution lessens. A choice by keys is made inside of the ranges, without a shuffle of its own."""
     usual = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     needed = -(-rows // TASK_ROWS)
     ranged = (df.repartitionByRange(needed, *order) if needed > usual
               else df.repartitionByRange(*order))
-    return ranged.sortWithinPartitions(*order)
+    return (choose(ranged) if choose else ranged).sortWithinPartitions(*order)

@@ -7,11 +7,11 @@ commit log as those of `TableSink`, so order of arrival, replays, whole batches
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tidewatch.plans.durable import removed, written
+from tidewatch.plans.durable import CODEC, removed, written
 from tidewatch.plans.layout import TASK_ROWS
 from tidewatch.sinks.commits import CommitLog, Written
 from tidewatch.sinks.tables import (BY_DID_TABLE, BY_MINUTE_TABLE, FLAGGED_TABLE, FULL, SET, TABLES,
-                                    TableSink)
+                                    TableSink, _last)
 
 BUCKETS = 64
 
@@ -22,17 +22,17 @@ def create_tables(spark: SparkSession, database: str, buckets: int = BUCKETS) ->
     lists = "langs ARRAY<STRING>, links ARRAY<STRING>, created_at TIMESTAMP"
     spark.sql(f"""CREATE TABLE IF NOT EXISTS {database}.{BY_DID_TABLE} (
         did STRING, received_at TIMESTAMP, id STRING, kind STRING, text STRING, {lists}, {SET} STRING)
-        USING parquet PARTITIONED BY ({SET})
+        USING parquet OPTIONS (compression = '{CODEC}') PARTITIONED BY ({SET})
         CLUSTERED BY (did) SORTED BY (did, received_at, id) INTO {buckets} BUCKETS""")
     spark.sql(f"""CREATE TABLE IF NOT EXISTS {database}.{BY_MINUTE_TABLE} (
         bucket_minute TIMESTAMP, received_at TIMESTAMP, id STRING, did STRING, text STRING,
         {lists}, {SET} STRING, kind STRING, bucket_date DATE)
-        USING parquet PARTITIONED BY ({SET}, kind, bucket_date)""")
+        USING parquet OPTIONS (compression = '{CODEC}') PARTITIONED BY ({SET}, kind, bucket_date)""")
     spark.sql(f"""CREATE TABLE IF NOT EXISTS {database}.{FLAGGED_TABLE} (
         received_at TIMESTAMP, id STRING, rule_id STRING, did STRING, kind STRING, text STRING,
         severity STRING, reason STRING, evidence MAP<STRING, STRING>, bucket_hour TIMESTAMP,
         {SET} STRING, bucket_date DATE)
-        USING parquet PARTITIONED BY ({SET}, bucket_date)""")
+        USING parquet OPTIONS (compression = '{CODEC}') PARTITIONED BY ({SET}, bucket_date)""")
 
 
 class CatalogSink(TableSink):
@@ -58,11 +58,12 @@ class CatalogSink(TableSink):
         detail = spark.sql(f"DESCRIBE EXTENDED {self._name(table)}").collect()
         return {r[0]: r[1] for r in detail}["Location"]
 
-    def _laid(self, df: DataFrame, table: str, rows: int) -> DataFrame:
+    def _laid(self, df: DataFrame, table: str, rows: int, once: bool = True) -> DataFrame:
         """Rows of one bucket go to one task; those of an author who has more rows than a task sorts go to several, by
         a salt that is the author's alone, and become several files of the bucket."""
         if table != BY_DID_TABLE:
-            return super()._laid(df, table, rows)
+            return super()._laid(df, table, rows, once)
+        df = df if once else _last(df, table)
         bucket, salt, parts = F.pmod(F.hash("did"), F.lit(self.buckets)), F.lit(0), self.buckets
         if rows > TASK_ROWS:
             busy = written(df.groupBy("did").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > TASK_ROWS),

@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 from tidewatch import schemas
 from tidewatch.operators import reads
 from tidewatch.plans import layout
-from tidewatch.plans.durable import folders, removed, staged
+from tidewatch.plans.durable import CODEC, folders, removed, staged
 from tidewatch.plans.latest import latest_by_key, repeats
 from tidewatch.sinks.commits import CommitLog, Conflict, Record, Written, meeting
 
@@ -149,8 +149,7 @@ class TableSink:
         for table in TABLES:
             sets = [s for s in seen if s.table == table and s.rows]
             if len(sets) > 1:
-                rows = self._read(spark, table, sets)
-                one = self.write_set(self._laid(rows, table, sum(s.rows for s in sets)), table, "all")
+                one = self.write_set(self._merged(spark, table, sets), table, "all")
                 hours = _hours(self._sets(spark, table, [one])) if table == FLAGGED_TABLE else None
                 made.append(replace(one, order=max(s.order for s in sets), hours=hours))
                 merged |= {s.name for s in sets}
@@ -206,11 +205,14 @@ class TableSink:
     def _location(self, spark: SparkSession, table: str) -> str:
         return f"{self.folder}/{table}"
 
-    def _laid(self, df: DataFrame, table: str, rows: int) -> DataFrame:
-        return TABLES[table][3](df, rows)
+    def _laid(self, df: DataFrame, table: str, rows: int, once: bool = True) -> DataFrame:
+        """Rows as a set holds them. Unless they are `once`, one row of each key is left, that of the latest `ORDER`
+        where they have one."""
+        return TABLES[table][3](df, rows, None if once else lambda ranged: _last(ranged, table))
 
     def _store(self, df: DataFrame, one: Written) -> None:
         (df.write.partitionBy(*TABLES[one.table][2]).option("maxRecordsPerFile", FILE_RECORDS)
+         .option("compression", CODEC)
          .parquet(f"{self.folder}/{one.table}/{SET}={one.name}"))
 
     def _remove(self, spark: SparkSession, table: str, name: str) -> None:
@@ -227,10 +229,23 @@ class TableSink:
         return (spark.read.schema(schema).option("basePath", top)
                 .parquet(*[f"{top}/{SET}={s.name}" for s in sets]))
 
+    def _merged(self, spark: SparkSession, table: str, sets: list[Written]) -> DataFrame:
+        """The rows of `_read`, laid out as one set."""
+        once = self.unique or not meeting(sets)
+        rows = self._sets(spark, table, sets) if once else self._arrived(spark, table, sets)
+        return self._laid(rows, table, sum(s.rows for s in sets), once).select(*TABLES[table][0])
+
     def _table(self, spark: SparkSession, table: str) -> DataFrame:
         live = self._log(spark).live()
         return self._read(spark, table, [s for s in live if s.table == table and s.rows])
 
+    def _arrived(self, spark: SparkSession, table: str, sets: list[Written]) -> DataFrame:
+        """The rows of sets, with the numbers of their commits."""
+        orders = spark.createDataFrame([(s.name, s.order) for s in sets], f"{SET} string, {ORDER} long")
+        # A row for each set, as the log lists them to the driver. A shuffle would put a whole set into one task.
+        return (self._sets(spark, table, sets).join(F.broadcast(orders), SET)
+                .select(*TABLES[table][0], ORDER))
+
     def _read(self, spark: SparkSession, table: str, sets: list[Written]) -> DataFrame:
         """Rows of the sets; of equal keys the one that was committed last."""
         columns, key = TABLES[table][:2]
@@ -239,9 +254,7 @@ class TableSink:
         rows = self._sets(spark, table, alone).select(*columns)
         if not mixed:
             return rows
-        orders = spark.createDataFrame([(s.name, s.order) for s in mixed], f"{SET} string, {ORDER} long")
-        mixed = self._sets(spark, table, mixed).join(orders, SET).select(*columns, ORDER)
-        latest = latest_by_key(mixed, key, [ORDER]).select(*columns)
+        latest = latest_by_key(self._arrived(spark, table, mixed), key, [ORDER]).select(*columns)
         return rows.unionByName(latest) if alone else latest
 
 
@@ -257,14 +270,14 @@ class OpenBatch:
         with staged(events, "events") as (rows, n):
             # These two columns are part of both primary keys.
             once = self.sink.unique or not repeats(rows, ["received_at", "id"])
-            self._write(layout.by_did(rows), BY_DID_TABLE, schemas.BY_DID_KEY, n, once, "all")
+            self._write(layout.by_did(rows), BY_DID_TABLE, n, once, "all")
             if self.sink.mode == FULL:
-                self._write(layout.by_minute(rows), BY_MINUTE_TABLE, schemas.BY_MINUTE_KEY, n, once, "all")
+                self._write(layout.by_minute(rows), BY_MINUTE_TABLE, n, once, "all")
 
     def write_flagged(self, rows: DataFrame, batch: int | None = None, part: str = "all") -> None:
         with staged(rows, "flags") as (found, n):
             once = self.sink.unique or not repeats(found, schemas.FLAGGED_KEY)
-            self._write(found, FLAGGED_TABLE, schemas.FLAGGED_KEY, n, once, part)
+            self._write(found, FLAGGED_TABLE, n, once, part)
             if n:
                 self.sets[-1] = replace(self.sets[-1], hours=_hours(found))
 
@@ -276,12 +289,15 @@ class OpenBatch:
 
         self.sink._log(self.spark).add(record)
 
-    def _write(self, view, table, key, n, once, part) -> None:
+    def _write(self, view, table, n, once, part) -> None:
         if not n:  # a set without rows still takes the place of what its batch wrote before
             self.sets.append(Written(table, f"{_now():013d}-{uuid.uuid4().hex}", part, 0))
             return
-        view = view if once else latest_by_key(view, key, [])
-        self.sets.append(self.sink.write_set(self.sink._laid(view, table, n), table, part))
+        self.sets.append(self.sink.write_set(self.sink._laid(view, table, n, once), table, part))
+
+
+def _last(rows: DataFrame, table: str) -> DataFrame:
+    return latest_by_key(rows, TABLES[table][1], [c for c in rows.columns if c == ORDER])
 
 
 def _hours(flags: DataFrame) -> list[list[int]] | None:
