@@ -3,6 +3,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from tests.rows import event, events
 from tidewatch.functions.text import literal_pattern
@@ -82,3 +83,10 @@ def test_empty(spark):
     assert KeywordTableDetector(none.limit(0)).hits(events(spark, event(text="free"))).count() == 0
     with pytest.raises(ValueError):
         KeywordTableDetector(none, regexes=("(",))
+
+
+def test_texts_are_folded_without_a_lookup_of_each_character(spark):
+    rows = spark.createDataFrame([("\u212aelvin MA\u017fS",)], "t string").select(
+        keyword_table.folded(F.col("t")).alias("f"))
+    assert rows.first().f == "kelvin mass"
+    assert "translate" not in rows._jdf.queryExecution().toString()

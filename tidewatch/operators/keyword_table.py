@@ -29,7 +29,8 @@ _AFTER = 1 << 40
 
 def folded(text: Column) -> Column:
     """Lower case, and the two letters beyond ASCII that fold to an ASCII letter as that letter."""
-    return F.lower(F.translate(text, "\u212a\u017f", "ks"))
+    # Two searches of bytes: `translate` looks up each character of each text.
+    return F.lower(F.replace(F.replace(text, F.lit("\u212a"), F.lit("k")), F.lit("\u017f"), F.lit("s")))
 
 
 def trigrams(text: Column) -> Column:
@@ -90,8 +91,9 @@ class KeywordTableDetector:
     def _of_index(self, texts: DataFrame) -> DataFrame:
         grams = written(texts.select("digest", F.explode(trigrams(F.col("text"))).alias("gram")), "text-trigrams")
         met = grams.join(self.index(grams.select("gram")), "gram").drop("gram")
-        both = texts.join(met, "digest")
-        held = folded(F.col("text")).contains(folded(F.col("keyword"))) | ~F.col("keyword").rlike("^[\\x00-\\x7F]*$")
+        # A text is folded once, not for each keyword that it meets.
+        both = texts.withColumn("_folded", folded(F.col("text"))).join(met, "digest")
+        held = F.col("_folded").contains(folded(F.col("keyword"))) | ~F.col("keyword").rlike("^[\\x00-\\x7F]*$")
         # The plain search goes first: a pattern out of a column is compiled row by row.
         return (both.filter(held).filter(F.expr("rlike(text, pattern)"))
                 .select("digest", "place", F.expr("regexp_extract(text, pattern, 0)").alias("match")))
