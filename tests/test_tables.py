@@ -17,7 +17,7 @@ from tidewatch.plans.latest import GROUP_LIMIT, first_per_key, latest_by_key
 from tidewatch.rules import RuleSet, SpamRule
 from tidewatch.sinks.commits import CommitLog, Conflict, Record, Written
 from tidewatch.sinks.catalog import CatalogSink, create_tables
-from tidewatch.sinks.tables import CountSink, TableSink, write_mode
+from tidewatch.sinks.tables import CountSink, TableSink, fan_out, write_mode
 from tidewatch.sources.events import parsed, quarantined, read_events, valid
 from tidewatch.streaming.ingest import IngestStep
 
@@ -255,6 +255,64 @@ def test_each_row_is_evaluated_once(spark, tmp_path):
     assert seen.value == 100
 
 
+def test_fan_out_evaluates_once_and_shuffles_by_author_once(spark, tmp_path, monkeypatch):
+    seen, plans, ranged = spark.sparkContext.accumulator(0), [], []
+
+    def count(rows):
+        for batch in rows:
+            seen.add(batch.num_rows)
+            yield batch
+
+    whole = TableSink.write_set
+
+    def write_set(self, df, table, part):
+        plans.append((table, "Exchange" in df._jdf.queryExecution().executedPlan().toString()))
+        return whole(self, df, table, part)
+
+    monkeypatch.setattr(TableSink, "write_set", write_set)
+    kinds = (schemas.POST, schemas.FOLLOW)
+    rows = events(spark, *[event(f"e{i}", f"did{i % 20:02}", kinds[i % 2], "t", seconds=i) for i in range(400)])
+    first, second, posts = (TableSink(str(tmp_path / n), m) for n, m in
+                            (("first", "full"), ("second", "did_only"), ("posts", "full")))
+    cost = spark.conf.get("spark.sql.files.openCostInBytes")
+    monkeypatch.setattr("tidewatch.plans.layout.TASK_ROWS", 50)
+    fan_out(rows.mapInArrow(count, rows.schema),
+            [(first, None), (second, None), (posts, F.col("kind") == schemas.POST)])
+    assert seen.value == 400 and spark.conf.get("spark.sql.files.openCostInBytes") == cost
+    assert plans == [("events_by_did", True), ("events_by_minute", True), ("events_by_did", False),
+                     ("events_by_did", False), ("events_by_minute", True)]
+    for sink, condition in ((second, "true"), (posts, f"kind = '{schemas.POST}'")):
+        alone = TableSink(str(tmp_path / f"alone-{sink.mode}"), sink.mode)
+        alone.write_events(rows.filter(condition))
+        for read in ("events_by_did", "events_by_minute"):
+            mine, other = getattr(sink, read)(spark), getattr(alone, read)(spark)
+            assert sorted(map(str, mine.collect())) == sorted(map(str, other.collect()))
+        # As many files, each in order, and of authors that only neighbours share.
+        view = sink.events_by_did(spark).withColumn("f", F.input_file_name())
+        spans = sorted(tuple(r) for r in view.groupBy("f").agg(F.min("did"), F.max("did")).drop("f").collect())
+        assert len(spans) == first.events_by_did(spark).select(F.input_file_name()).distinct().count() > 4
+        assert all(a[1] <= b[0] for a, b in zip(spans, spans[1:]))
+        for path in (tmp_path / ("second" if sink is second else "posts") / "events_by_did").rglob("*.parquet"):
+            file = spark.read.parquet(str(path)).collect()
+            assert file == sorted(file, key=lambda r: (r.did, -r.received_at.timestamp(), r.id))
+
+
+@pytest.mark.parametrize("rows", [
+    [event("e1", kind=k, text=t) for k in (schemas.POST, schemas.FOLLOW) for t in "abc"],
+    [event("e3", kind=schemas.FOLLOW)], []])
+def test_fan_out_of_repeated_rows_and_of_none(spark, tmp_path, rows):
+    data, post = events(spark, *rows), F.col("kind") == schemas.POST
+    targets = [(TableSink(str(tmp_path / "first"), "did_only"), None), (TableSink(str(tmp_path / "posts")), post),
+               (TableSink(str(tmp_path / "unique"), "did_only", unique=True), None)]
+    fan_out(data, targets)
+    for sink, kept in targets:
+        alone = TableSink(f"{sink.folder}-alone", sink.mode, sink.unique)
+        alone.write_events(data if kept is None else data.filter(kept))
+        for read in ("events_by_did", "events_by_minute"):
+            mine, other = getattr(sink, read)(spark), getattr(alone, read)(spark)
+            assert sorted(map(str, mine.collect())) == sorted(map(str, other.collect()))
+
+
 def test_layout_spreads_a_busy_author(spark):
     data = events(spark, *[event(f"e{i}", seconds=i) for i in range(200)])
     parts = layout.by_did(data).transform(layout.lay_by_did).withColumn("p", F.spark_partition_id())

@@ -23,7 +23,7 @@ from tidewatch.plans.latest import latest_by_key
 from tidewatch.plans.ordered import row_numbers
 from tidewatch.rules import SpamRule
 from tidewatch.sinks.catalog import CatalogSink
-from tidewatch.sinks.tables import AUTHORS_ONLY, FULL, CountSink, TableSink
+from tidewatch.sinks.tables import AUTHORS_ONLY, FULL, CountSink, TableSink, fan_out
 from tidewatch.sources.events import parsed, read_events
 from tidewatch.sources.tables import COLUMNS, as_events, did, light_events, table, table_events
 from tidewatch.streaming.ingest import start_ingest
@@ -115,8 +115,9 @@ def _counts(tables: dict[str, DataFrame], first: str) -> DataFrame:
 
 @query
 def fanout_row_counts(spark, folder):
-    full = _stored(spark, folder, "fanout-full")
-    authors = _stored(spark, folder, "fanout-authors", AUTHORS_ONLY)
+    full = TableSink(scratch_path(spark, "fanout-full"))
+    authors = TableSink(scratch_path(spark, "fanout-authors"), AUTHORS_ONLY)
+    fan_out(table_events(spark, folder), [(full, None), (authors, None)])
     return (_counts({"full events_by_did": full.events_by_did(spark),
                      "full events_by_minute": full.events_by_minute(spark),
                      "did_only events_by_did": authors.events_by_did(spark)}, "target"))
@@ -204,11 +205,9 @@ def sink_counts(spark, folder):
 
 def _partly_stored(spark, folder) -> DataFrame:
     """Reconciliation after a run in which only posts reached the minute view."""
-    events = table_events(spark, folder)
     authors = TableSink(scratch_path(spark, "reconcile-authors"), AUTHORS_ONLY)
-    authors.write_events(events)
     posts = TableSink(scratch_path(spark, "reconcile-posts"))
-    posts.write_events(events.filter(F.col("kind") == schemas.POST))
+    fan_out(table_events(spark, folder), [(authors, None), (posts, F.col("kind") == schemas.POST)])
     sent = light(spark, folder).withColumn("bucket_minute", F.date_trunc("minute", "received_at"))
     return reconcile(sent, {
         "events_by_did": (authors.events_by_did(spark), schemas.BY_DID_KEY),

@@ -9,13 +9,13 @@ from dataclasses import replace
 from datetime import datetime, timedelta
 from typing import Protocol
 
-from pyspark.sql import DataFrame, Observation, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F
 from pyspark.sql import types as T
 
 from tidewatch import schemas
 from tidewatch.operators import reads
 from tidewatch.plans import layout
-from tidewatch.plans.durable import CODEC, folders, removed, staged
+from tidewatch.plans.durable import CODEC, folders, removed, staged, whole_files
 from tidewatch.plans.latest import latest_by_key, repeats
 from tidewatch.sinks.commits import CommitLog, Conflict, Record, Written, meeting
 
@@ -28,6 +28,9 @@ MOST_HOURS = 10_000
 #: Records in one file at most.
 FILE_RECORDS = 2_000_000
 
+#: Columns of an event that are part of both primary keys.
+EVERY_KEY = ["received_at", "id"]
+
 BY_DID_TABLE = "events_by_did"
 BY_MINUTE_TABLE = "events_by_minute"
 FLAGGED_TABLE = "flagged_events"
@@ -258,6 +261,28 @@ class TableSink:
         return rows.unionByName(latest) if alone else latest
 
 
+def fan_out(events: DataFrame, targets: list[tuple[TableSink, Column | None]]) -> None:
+    """`write_events` to several sinks, each with all events or with those that a condition keeps. The events are
+    evaluated and staged once. Rows that the first sink has laid out by author are not shuffled again for the others:
+    they are copied file by file, so the files keep their order and their ranges. That takes sinks of files, of which
+    the first has all events.
+    """
+    spark = events.sparkSession
+    with staged(events, "events") as (rows, n):
+        once = all(sink.unique for sink, _ in targets) or not repeats(rows, EVERY_KEY)
+        first = None
+        for sink, kept in targets:
+            one = OpenBatch(sink, spark, None, whole=False)
+            some = rows if kept is None else rows.filter(kept)
+            # The first sink left one of equal keys: a condition might drop that row and keep another.
+            alike = first and (once or kept is None and sink.unique == first[0].unique)
+            laid = first if alike and type(sink) is type(first[0]) is TableSink else None
+            one.write_staged(some, n if kept is None else some.count(), sink.unique or once, laid, kept)
+            one.commit()
+            if first is None and kept is None:
+                first = sink, one.sets[0]
+
+
 class OpenBatch:
     """What one batch has written and not yet committed. It is a sink itself; `batch` is its own."""
 
@@ -268,11 +293,21 @@ class OpenBatch:
 
     def write_events(self, events: DataFrame, batch: int | None = None) -> None:
         with staged(events, "events") as (rows, n):
-            # These two columns are part of both primary keys.
-            once = self.sink.unique or not repeats(rows, ["received_at", "id"])
+            self.write_staged(rows, n, self.sink.unique or not repeats(rows, EVERY_KEY))
+
+    def write_staged(self, rows: DataFrame, n: int, once: bool, laid: tuple[TableSink, Written] | None = None,
+                     kept: Column | None = None) -> None:
+        """Write `n` events that lie in files. Their author view is that of `laid`, as far as `kept`, where one is
+        given."""
+        if laid and n:
+            with whole_files(self.spark):
+                view = laid[0]._sets(self.spark, BY_DID_TABLE, [laid[1]]).select(*schemas.BY_DID)
+                view = view if kept is None else view.filter(kept)
+                self.sets.append(self.sink.write_set(view, BY_DID_TABLE, "all"))
+        else:
             self._write(layout.by_did(rows), BY_DID_TABLE, n, once, "all")
-            if self.sink.mode == FULL:
-                self._write(layout.by_minute(rows), BY_MINUTE_TABLE, n, once, "all")
+        if self.sink.mode == FULL:
+            self._write(layout.by_minute(rows), BY_MINUTE_TABLE, n, once, "all")
 
     def write_flagged(self, rows: DataFrame, batch: int | None = None, part: str = "all") -> None:
         with staged(rows, "flags") as (found, n):
