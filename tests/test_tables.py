@@ -199,6 +199,37 @@ def test_only_sets_that_may_share_a_key_are_compared(spark, tmp_path):
     assert sink.events_by_did(spark).count() == 7
 
 
+def test_sets_that_share_no_key_are_not_shuffled(spark, tmp_path):
+    sink = TableSink(str(tmp_path))
+    sink.write_events(events(spark, event("a", text="old"), event("b", seconds=9)))
+    sink.write_events(events(spark, event("c", seconds=5, text="wide")))
+    sink.write_events(events(spark, event("a", text="new"), event("d", seconds=9)))
+    sink.write_flagged(flags_at(spark, 0, 2))
+    sink.compare(spark)
+    plan = sink.events_by_did(spark)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.startswith("Union")
+    names = [s.name for s in sink._log(spark).live() if s.table == "events_by_did"]
+    apart = {s.name: set(s.apart) for s in sink._log(spark).live() if s.table == "events_by_did"}
+    assert apart == {names[0]: {names[1]}, names[1]: {names[0], names[2]}, names[2]: {names[1]}}
+    expected = {"a": "new", "b": "", "c": "wide", "d": ""}
+    assert texts(sink, spark) == expected and sink.events_by_minute(spark).count() == 4
+    before = len(list((tmp_path / "_commits").glob("0*")))
+    sink.compare(spark)    # nothing to add
+    assert len(list((tmp_path / "_commits").glob("0*"))) == before
+    sink.write_events(events(spark, event("c", seconds=5, text="newest")))
+    assert texts(sink, spark) == expected | {"c": "newest"}
+    sink.compact(spark)
+    assert texts(sink, spark) == expected | {"c": "newest"}
+
+
+def test_comparison_of_more_sets_than_a_column_has_bits(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr("tidewatch.sinks.tables.BITS", 2)
+    sink = TableSink(str(tmp_path), "did_only")
+    made = [sink.write_set(layout.by_did(events(spark, *map(event, ids))), "events_by_did", "all")
+            for ids in (["s"], ["o", "x"], ["s"], ["y"], ["o", "s"])]
+    assert sink._sharing(spark, "events_by_did", schemas.BY_DID_KEY, made) == {(0, 2), (0, 4), (2, 4), (1, 4)}
+
+
 def test_vacuum_removes_what_is_not_live(spark, tmp_path):
     sink = TableSink(str(tmp_path), "did_only")
     for i in range(4):
