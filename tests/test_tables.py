@@ -222,6 +222,15 @@ def test_sets_that_share_no_key_are_not_shuffled(spark, tmp_path):
     assert texts(sink, spark) == expected | {"c": "newest"}
 
 
+def test_sets_in_the_catalog_are_compared(spark, database):
+    sink = CatalogSink(spark, database, "did_only", buckets=2)
+    for rows in ([event("a", text="old")], [event("b")], [event("a", text="new")]):
+        sink.write_events(events(spark, *rows))
+    sink.compare(spark)
+    assert [len(s.apart) for s in sink._log(spark).live()] == [1, 2, 1]
+    assert texts(sink, spark) == {"a": "new", "b": ""}
+
+
 def test_comparison_of_more_sets_than_a_column_has_bits(spark, tmp_path, monkeypatch):
     monkeypatch.setattr("tidewatch.sinks.tables.BITS", 2)
     sink = TableSink(str(tmp_path), "did_only")
