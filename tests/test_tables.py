@@ -1,18 +1,22 @@
 """Sinks, layouts, reads, upserts and reconciliation."""
 
 import json
+import time
 from datetime import timedelta
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
 
 from tests.rows import START, at, event, events
 from tidewatch import schemas
+from tidewatch.catalog import queries
 from tidewatch.operators import reads
 from tidewatch.operators.composite import detectors, flag
 from tidewatch.operators.keyword import SpamDetector
 from tidewatch.operators.reconcile import reconcile
 from tidewatch.plans import layout
+from tidewatch.plans.durable import CLEANUP, written
 from tidewatch.plans.latest import GROUP_LIMIT, first_per_key, latest_by_key
 from tidewatch.rules import RuleSet, SpamRule
 from tidewatch.sinks.commits import CommitLog, Conflict, Record, Written
@@ -656,3 +660,119 @@ def test_ingest_order_and_errors(spark):
     assert half.calls == ["events", ("1", 1)]
     with pytest.raises(ValueError):
         IngestStep(good, detectors(RuleSet()))
+
+
+def shuffle_files(spark) -> set[str]:
+    folders = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()
+    return {str(p) for f in folders for p in Path(f.toString()).rglob("shuffle_*.data")}
+
+
+def no_more_shuffle_files(spark, before) -> bool:
+    """Spark removes them soon, in a thread of its own."""
+    for _ in range(100):
+        if not shuffle_files(spark) - before:
+            return True
+        time.sleep(0.1)
+    return False
+
+
+def test_steps_leave_no_shuffle_files(spark, tmp_path):
+    before, given = shuffle_files(spark), spark.conf.get(CLEANUP)
+    sink, copy = TableSink(str(tmp_path / "a")), TableSink(str(tmp_path / "b"))
+    data = events(spark, *[event(f"e{i}", f"did{i}", text="buy now", seconds=i) for i in range(50)])
+    fan_out(data.repartition(3), [(sink, None), (copy, F.col("did") < "did3")])
+    for _ in range(2):
+        sink.write_flagged(flag(data, [SpamDetector(SpamRule(("buy now",)))]))
+    sink.compact(spark)
+    counted = written(data.groupBy("did").count(), "counts")
+    assert no_more_shuffle_files(spark, before)
+    assert spark.conf.get(CLEANUP) == given
+    assert counted.count() == sink.events_by_did(spark).count() == sink.flagged_events(spark).count() == 50
+
+
+def test_a_minute_view_beside_a_copied_view_goes_slice_by_slice(spark, tmp_path, monkeypatch):
+    days, whole = [], TableSink.write_set
+
+    def write_set(self, df, table, *args):
+        one = whole(self, df, table, *args)
+        days.append((table, one.rows))
+        return one
+
+    monkeypatch.setattr("tidewatch.sinks.tables.SLICE_ROWS", 10)
+    monkeypatch.setattr(TableSink, "write_set", write_set)
+    rows = events(spark, *[event(f"e{i}", f"did{i % 5}", text=str(i), seconds=i * 9000) for i in range(40)],
+                  event("none")[:6] + (None, None))
+    first, second = TableSink(str(tmp_path / "first"), "did_only"), TableSink(str(tmp_path / "second"))
+    fan_out(rows, [(first, None), (second, None)])
+    assert [t for t, _ in days[:2]] == ["events_by_did"] * 2 and len(days) > 4
+    assert days[-1] == ("events_by_minute", 41)
+    views = second.events_by_minute(spark).drop("bucket_date", "bucket_minute"), second.events_by_did(spark)
+    found = [sorted(map(str, view.select(*rows.columns).collect())) for view in views]
+    assert found == [sorted(map(str, rows.collect()))] * 2
+
+
+@pytest.mark.parametrize("catalog", [False, True])
+def test_a_compaction_goes_slice_by_slice(spark, tmp_path, database, monkeypatch, catalog):
+    sink = CatalogSink(spark, database, buckets=2) if catalog else TableSink(str(tmp_path))
+    rows = [event(f"e{i}", f"did{i % 7}", text="buy now", seconds=i * 9000) for i in range(60)]
+    rows += [event("null", None, text="buy now"), event("none", "did3")[:6] + (None, None)]
+    data = events(spark, *rows)
+    sink.write_events(data)
+    sink.write_events(data.filter("did < 'did4' OR received_at IS NULL").withColumn("text", F.lit("new")))
+    for text in ("buy", "now"):
+        sink.write_flagged(flag(data, [SpamDetector(SpamRule((text,)))]))
+    tables = {"by_did": sink.events_by_did, "by_minute": sink.events_by_minute, "flags": sink.flagged_events}
+    before = {name: sorted(map(str, read(spark).collect())) for name, read in tables.items()}
+    written_rows, whole = [], type(sink).write_set
+
+    def write_set(self, df, table, *args):
+        one = whole(self, df, table, *args)
+        written_rows.append((table, one.rows))
+        return one
+
+    monkeypatch.setattr("tidewatch.sinks.tables.SLICE_ROWS", 20)
+    monkeypatch.setattr(type(sink), "write_set", write_set)
+    sink.compact(spark, timedelta(0))
+    assert {t: sum(t == x for x, _ in written_rows) for t, _ in written_rows}.keys() == {
+        "events_by_did", "events_by_minute", "flagged_events"}
+    assert len(written_rows) > 6 and all(sum(t == x for x, _ in written_rows) > 1 for t, _ in written_rows)
+    assert {name: sorted(map(str, read(spark).collect())) for name, read in tables.items()} == before
+    live = {s.table: s for s in sink._log(spark).live()}
+    assert len(live) == len(sink._log(spark).live()) == 3
+    assert live["events_by_did"].rows == len(before["by_did"]) == 62
+    assert live["events_by_did"].low is None and live["flagged_events"].low is not None
+    assert max(n for t, n in written_rows if t == "flagged_events") == live["flagged_events"].rows
+
+
+def test_a_compaction_drops_what_it_merged_before_the_next_table(spark, tmp_path, monkeypatch):
+    sink, folders, whole = TableSink(str(tmp_path)), [], TableSink.write_set
+    for text in ("old", "new"):
+        sink.write_events(events(spark, event("e1", text=text), event(text, seconds=5)))
+
+    def write_set(self, df, table, part):
+        folders.append((table, len(list((tmp_path / "events_by_minute").glob("set_id=*")))))
+        return whole(self, df, table, part)
+
+    monkeypatch.setattr(TableSink, "write_set", write_set)
+    sink.compact(spark, timedelta(0))
+    assert folders == [("events_by_minute", 2), ("events_by_did", 1)]
+    assert texts(sink, spark) == {"e1": "new", "old": "", "new": ""}
+    assert sink.events_by_minute(spark).count() == 3
+
+
+def test_replays_are_made_from_one_evaluation(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    data = events(spark, event("e1", text="a"), event("e2", text=None), event("e2", text=None))
+    sent = queries._with_replay(data.mapInArrow(count, data.schema))
+    assert sent.columns == [*data.columns, "arrival"]
+    assert sorted((r.id, r.text or "", r.arrival) for r in sent.collect()) == [
+        ("e1", "a", 1), ("e1", "a (again)", 2), *[("e2", "", n) for n in (1, 1, 2, 2)]]
+    assert seen.value == 3
+    kept = latest_by_key(sent, schemas.BY_DID_KEY, ["arrival"])
+    assert {(r.id, r.text) for r in kept.collect()} == {("e1", "a (again)"), ("e2", None)}
